@@ -1,15 +1,19 @@
-"""The queries opN_<name> and the pipeline, and their SQL where SQL can say it."""
+"""The queries opN_<name>, and DuckDB SQL for those that SQL can express."""
 
 from __future__ import annotations
 
-
-from . import media, packing
+from . import linededup, media, mixing, packing, urlfilter
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_transport_stream": media.op2_transport_stream,
+    "op4_url_filter": urlfilter.op4_url_filter,
+    "op5_line_dedup": linededup.op5_line_dedup,
+    "op6_mixing": mixing.op6_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
-
-
+ORACLE_SQL: dict[str, str] = {
+    "op4_url_filter": urlfilter.ORACLE,
+    "op5_line_dedup": linededup.ORACLE,
+    "op6_mixing": mixing.ORACLE,
+}
