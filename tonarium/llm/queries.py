@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import linededup, media, mixing, packing, urlfilter
+from . import linededup, media, mixing, packing, simhash, topk, urlfilter
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_transport_stream": media.op2_transport_stream,
+    "op3_topk": topk.op3_topk,
     "op4_url_filter": urlfilter.op4_url_filter,
     "op5_line_dedup": linededup.op5_line_dedup,
     "op6_mixing": mixing.op6_mixing,
+    "op8_simhash": simhash.op8_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_topk": topk.ORACLE,
     "op4_url_filter": urlfilter.ORACLE,
     "op5_line_dedup": linededup.ORACLE,
     "op6_mixing": mixing.ORACLE,
