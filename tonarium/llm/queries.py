@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import linededup, media, mixing, packing, simhash, topk, urlfilter
+from . import linededup, media, mixing, packing, simhash, sufdedup, topk, toxicity, urlfilter
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -11,7 +11,9 @@ QUERIES = {
     "op4_url_filter": urlfilter.op4_url_filter,
     "op5_line_dedup": linededup.op5_line_dedup,
     "op6_mixing": mixing.op6_mixing,
+    "op7_suffix_dedup": sufdedup.op7_suffix_dedup,
     "op8_simhash": simhash.op8_simhash,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
