@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import linededup, media, mixing, packing, simhash, sufdedup, topk, toxicity, urlfilter
+from . import htmltext, linededup, media, mixing, packing, simhash, sufdedup, topk, toxicity, urlfilter
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_mixing": mixing.op6_mixing,
     "op7_suffix_dedup": sufdedup.op7_suffix_dedup,
     "op8_simhash": simhash.op8_simhash,
+    "op9_html_text": htmltext.op9_html_text,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
