@@ -51,7 +51,7 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, schedule=SCHEDULE, share:
     before, after = by_level.rowsBetween(Window.unboundedPreceding, -1), by_level.rowsBetween(0, Window.unboundedFollowing)
     everything = Window.partitionBy()
     totals = totals.select("*", ((F.sum("source_size").over(everything) * share - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / F.sum("_w").over(after)).alias("_try"))
-    level = F.min(F.when(F.col("_try") <= F.col("_level"), F.col("_try"))).over(everything)
+    level = F.max(F.when(F.col("_try") <= F.col("_level"), F.col("_try"))).over(everything)
     target = F.least(F.col("_cap"), level * F.col("_w"))
     totals = totals.select("_key", "source_size", F.coalesce(target, "_cap").alias("target"), F.ceil(F.sqrt("_n")).alias("_buckets"), "_a", "_b")
     return totals.withColumn("_quota", F.floor(F.col("target") + 0.5).cast("long"))
@@ -112,7 +112,7 @@ tried AS (
   SELECT *, cap / w AS lev,
          (sum(s) OVER ()::DOUBLE * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
          / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS try FROM weighed),
-aimed AS (SELECT *, least(cap, min(CASE WHEN try <= lev THEN try END) OVER () * w) AS target FROM tried),
+aimed AS (SELECT *, least(cap, max(CASE WHEN try <= lev THEN try END) OVER () * w) AS target FROM tried),
 quota AS (SELECT *, floor(target + 0.5)::BIGINT AS q FROM aimed),
 begun AS (
   SELECT z.doc_id, z.size, t.s, t.target, t.q, t.a, t.b,
