@@ -1,10 +1,575 @@
-"""Queries by name over the driver's tables, and DuckDB SQL for each."""
+"""Queries by name over the driver's tables, and DuckDB SQL for each.
+
+The tables hold no dictionaries, so the queries read words of ``documents`` as
+dictionary entries: the source's number is the order of sources, the place in
+the text the order inside one, accented letters are stress marks.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import dialect as X
+from ..functions import features
+from ..operators import evaluate, merge, quality, resolve, sampling, variants
+from ..profiles import LATIN, WRONG_APOSTROPHES
 
+D, S = X.DUCK, X.SPARK
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    """Register a function as the query of its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- words ------------------------------------------------------------------
+
+SRC = "coalesce(try_cast(substr(source, 4) as int), -1)"
+POS = "CASE {s} % 5 WHEN 0 THEN 'NOUN' WHEN 1 THEN 'VERB' WHEN 2 THEN 'ADJ' WHEN 3 THEN 'X' ELSE NULL END"
+FEATS = """CASE {s} % 3 WHEN 0 THEN '{{"Case":"Nom","Number":"Sing"}}' WHEN 1 THEN '{{"Case":"Gen","Gender":"Masc","Tense":"Past"}}' END"""
+
+
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, i, form: every word of every document."""
+    docs = read(spark, sf_dir, "documents")
+    return docs.select("doc_id", "lang", "source", F.posexplode(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), 1)).alias("i", "form"))
+
+
+TOKENS = r"""tokens AS (SELECT doc_id, lang, source, unnest(range(len(ws)))::INT AS i, unnest(ws) AS form
+  FROM (SELECT doc_id, lang, source, regexp_extract_all(text, '\p{L}+') AS ws FROM documents))"""
+
+
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the accented languages as dictionary entries."""
+    rows = tokens(spark, sf_dir).where("lang IN ('es', 'fr')")
+    rows = rows.selectExpr("doc_id", "lang", "i", "form", f"{SRC} AS src_ord", "doc_id * 1000000 + i AS form_ord", f"{X.marked(S, 'form', LATIN)} AS marked")
+    return rows.selectExpr(
+        "*", f"{X.dictionary_form(S, 'form', LATIN)} AS lemma", f"{X.stress_indices(S, 'marked', LATIN)} AS stress", f"{POS.format(s='src_ord')} AS pos", f"{FEATS.format(s='src_ord')} AS feats"
+    )
+
+
+ENTRIES = (
+    TOKENS
+    + f""", marks AS (SELECT doc_id, lang, i, form, {SRC} AS src_ord, doc_id * 1000000 + i AS form_ord, {X.marked(D, "form", LATIN)} AS marked FROM tokens WHERE lang IN ('es', 'fr')),
+entries AS (SELECT *, {X.dictionary_form(D, "form", LATIN)} AS lemma, {X.stress_indices(D, "marked", LATIN)} AS stress, {POS.format(s="src_ord")} AS pos, {FEATS.format(s="src_ord")} AS feats FROM marks)"""
+)
+
+
+def word_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """form, pos, feats: distinct lower-case forms with their first source's data."""
+    rows = tokens(spark, sf_dir).selectExpr("lower(form) AS form", f"{SRC} AS src_ord").groupBy("form").agg(F.min("src_ord").alias("src_ord"))
+    return rows.selectExpr("form", f"coalesce({POS.format(s='src_ord')}, 'X') AS pos", f"{FEATS.format(s='src_ord')} AS feats")
+
+
+FORMS = TOKENS + f""", firsts AS (SELECT lower(form) AS form, min({SRC}) AS src_ord FROM tokens GROUP BY 1),
+forms AS (SELECT form, coalesce({POS.format(s="src_ord")}, 'X') AS pos, {FEATS.format(s="src_ord")} AS feats FROM firsts)"""
+
+
+@query(
+    f"""WITH {TOKENS} SELECT doc_id, i, form, {X.lookup_form(D, "form")} AS form_norm,
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(form, '[A-ZÄÖÜÁÉÍÓÚÑÇÈÊ]', 'X', 'g'), '[^X]', 'x', 'g'), 'X{{5,}}', 'XXXX', 'g'), 'x{{5,}}', 'xxxx', 'g') AS shape,
+  substr(form, 1, 1) AS prefix, right(form, 3) AS suffix, (form = upper(form))::INT AS is_upper, (form = lower(form))::INT AS is_lower, (i = 0)::INT AS is_sent_start FROM tokens"""
+)
+def tokenize_docs(spark, sf_dir):
+    """Every word with its surface attributes."""
+    shape = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(form, '[A-ZÄÖÜÁÉÍÓÚÑÇÈÊ]', 'X'), '[^X]', 'x'), 'X{5,}', 'XXXX'), 'x{5,}', 'xxxx')"
+    return tokens(spark, sf_dir).selectExpr(
+        "doc_id", "i", "form", f"{X.lookup_form(S, 'form')} AS form_norm", f"{shape} AS shape", "substr(form, 1, 1) AS prefix", "right(form, 3) AS suffix", "int(form = upper(form)) AS is_upper", "int(form = lower(form)) AS is_lower", "int(i = 0) AS is_sent_start"
+    )
+
+
+WRONG = WRONG_APOSTROPHES.replace("'", "''")
+
+
+@query(f"SELECT conv_id, turn, md5({X.normal_apostrophes(D, 'text')}) AS digest, length(text) - length(translate(text, '{WRONG}', '')) AS n_wrong FROM conversations")
+def normalize_apostrophe(spark, sf_dir):
+    """Every turn with one apostrophe; how many were wrong."""
+    wrong = S.text(WRONG_APOSTROPHES)
+    return read(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", f"md5({X.normal_apostrophes(S, 'text')}) AS digest", f"bigint(length(text) - length(translate(text, {wrong}, ''))) AS n_wrong")
+
+
+@query(f"SELECT unicode(c)::INT AS code, (c = 'ʼ')::INT AS is_right, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[ʼ{WRONG}]')) AS c FROM (SELECT text FROM documents UNION ALL SELECT text FROM conversations)) GROUP BY c")
+def apostrophe_report(spark, sf_dir):
+    """How often each apostrophe character stands in documents and turns."""
+    texts = read(spark, sf_dir, "documents").select("text").union(read(spark, sf_dir, "conversations").select("text"))
+    return quality.apostrophe_report(texts, "text")
+
+
+@query(f"""WITH {ENTRIES} SELECT DISTINCT form, marked, {X.without_marks(D, "marked")} AS bare, {D.json("stress")} AS stress FROM entries""")
+def stress_indices(spark, sf_dir):
+    """Distinct forms: marked, without marks, ordinals of the stressed vowels."""
+    return entries(spark, sf_dir).selectExpr("form", "marked", f"{X.without_marks(S, 'marked')} AS bare", f"{S.json('stress')} AS stress").distinct()
+
+
+@query(f"""WITH {FORMS} SELECT form, {D.json(X.vowel_positions(D, "form", LATIN))} AS vowels, {X.dictionary_form(D, "form", LATIN)} AS form_norm, {X.djb2(D, "form", 4096)} AS hash FROM forms""")
+def vowel_positions(spark, sf_dir):
+    """Distinct forms: places of the vowels, dictionary form, hash."""
+    return word_forms(spark, sf_dir).selectExpr("form", f"{S.json(X.vowel_positions(S, 'form', LATIN))} AS vowels", f"{X.dictionary_form(S, 'form', LATIN)} AS form_norm", f"{X.djb2(S, 'form', 4096)} AS hash")
+
+
+@query(f"""WITH {FORMS} SELECT form, {X.mark_stress(D, "form", "k", LATIN)} AS marked, {X.ipa(D, "form", "k", LATIN)} AS ipa
+  FROM (SELECT form, (length(form) % 4)::INT AS k, {X.vowel_positions(D, "lower(form)", LATIN)} AS v FROM forms)""")
+def mark_and_transcribe(spark, sf_dir):
+    """Distinct forms stressed at vowel number length mod 4, and their sounds."""
+    rows = word_forms(spark, sf_dir).selectExpr("form", "length(form) % 4 AS k", f"{X.vowel_positions(S, 'lower(form)', LATIN)} AS v")
+    return rows.selectExpr("form", f"{X.mark_stress(S, 'form', 'k', LATIN)} AS marked", f"{X.ipa(S, 'form', 'k', LATIN)} AS ipa")
+
+
+# --- features ---------------------------------------------------------------
+
+
+def _feature_query(group: str) -> None:
+    def run(spark, sf_dir):
+        return features.feature_columns(word_forms(spark, sf_dir), LATIN, [group])
+
+    run.__name__ = f"features_{group}"
+    run.__doc__ = f"Features of the group {group} for every distinct form."
+    query(f"WITH {FORMS} " + features.feature_sql(LATIN, [group], "SELECT * FROM forms"))(run)
+
+
+for _group in ("shape", "hashes", "clusters", "endings", "contexts", "syllables", "morphology", "universal", "three_syllables", "two_syllables"):
+    _feature_query(_group)
+
+
+# --- merging ----------------------------------------------------------------
+
+FIELDS = ["form", "stress", "pos", "feats"]
+
+
+@query(
+    f"""WITH {ENTRIES}, keyed AS (SELECT *, row_number() OVER (PARTITION BY lemma, form, stress, pos, feats ORDER BY src_ord, form_ord) AS rn, min(src_ord) OVER (PARTITION BY lemma) AS first_src FROM entries)
+SELECT lemma, src_ord, form_ord, form, {D.json("stress")} AS stress, pos, feats FROM keyed WHERE rn = 1 OR src_ord = first_src"""
+)
+def merge_sources(spark, sf_dir):
+    """All of a lemma's first source and the distinct forms of the others."""
+    rows = merge.merge_sources(entries(spark, sf_dir).select("lemma", "src_ord", "form_ord", *FIELDS), FIELDS)
+    return rows.withColumn("stress", F.to_json("stress"))
+
+
+@query(f"""WITH {ENTRIES}, p AS (SELECT DISTINCT lemma, stress FROM entries WHERE len(stress) > 0) SELECT lemma, to_json(list(stress ORDER BY stress))::VARCHAR AS patterns FROM p GROUP BY lemma""")
+def lemma_patterns(spark, sf_dir):
+    """Each lemma's stress patterns."""
+    return merge.lemma_patterns(entries(spark, sf_dir)).withColumn("patterns", F.to_json("patterns"))
+
+
+@query(f"""WITH {ENTRIES} SELECT lemma, {D.json("stress")} AS stress, min_by(form, form_ord + src_ord * 1000000000000) AS form FROM entries GROUP BY lemma, stress""")
+def dedupe_first_form(spark, sf_dir):
+    """The first form of each lemma and pattern."""
+    rows = entries(spark, sf_dir).select("lemma", "stress", "form", "src_ord", "form_ord")
+    return merge.first_by(rows, ["lemma", "stress"]).select("lemma", F.to_json("stress").alias("stress"), "form")
+
+
+@query(
+    f"""WITH {ENTRIES}, u AS (SELECT lemma, pos, list_sort(list_distinct(flatten(list(stress)))) AS stress, min_by(struct_pack(form := form, marked := marked), form_ord + src_ord * 1000000000000) AS r FROM entries GROUP BY lemma, pos)
+SELECT lemma, pos, {D.json("stress")} AS stress, r.form AS form, r.marked AS marked FROM u"""
+)
+def variative_merge(spark, sf_dir):
+    """The union of a word's patterns, other fields from its first row."""
+    return merge.union_of_stress(entries(spark, sf_dir), ["lemma", "pos"], ["form", "marked"]).withColumn("stress", F.to_json("stress"))
+
+
+@query(
+    f"""WITH {ENTRIES}, c AS (SELECT lemma, count(DISTINCT {D.json("stress")}) AS p, count(DISTINCT coalesce(pos, 'X') || '|' || coalesce(feats, '')) AS m, count(DISTINCT lang) AS d FROM entries GROUP BY lemma),
+t AS (SELECT lemma, CASE WHEN p <= 1 THEN 'single' WHEN m > 1 THEN 'morphological_variant' WHEN d > 1 THEN 'grammatical_homonym' ELSE 'free_variant' END AS variant_type FROM c)
+SELECT lemma, variant_type, (variant_type IN ('morphological_variant', 'grammatical_homonym'))::INT AS is_disambiguable, (variant_type <> 'single')::INT AS is_homonym FROM t"""
+)
+def variant_type(spark, sf_dir):
+    """Each lemma's kind of ambiguity; the language stands for the definition."""
+    return variants.variant_types(entries(spark, sf_dir).select("lemma", F.to_json("stress").alias("pattern"), "pos", "feats", F.col("lang").alias("definition")))
+
+
+@query(
+    f"""WITH {ENTRIES}, c AS (SELECT lemma, pos, count(*) AS n, min(src_ord * 1000000000000 + form_ord) AS first FROM entries WHERE pos <> 'X' GROUP BY lemma, pos),
+b AS (SELECT lemma, pos FROM c QUALIFY row_number() OVER (PARTITION BY lemma ORDER BY n DESC, first) = 1)
+SELECT l.lemma, coalesce(b.pos, 'X') AS pos FROM (SELECT DISTINCT lemma FROM entries) l LEFT JOIN b USING (lemma)"""
+)
+def lemma_pos(spark, sf_dir):
+    """Each lemma's most frequent part of speech."""
+    return variants.lemma_pos(entries(spark, sf_dir))
+
+
+HETERONYMS = f"""{ENTRIES}, seen AS (SELECT lemma AS form_norm, x AS idx, min(o) AS o FROM (SELECT lemma, unnest(stress) AS x, form_ord + 0.001 * unnest(range(len(stress))) AS o FROM entries) GROUP BY 1, 2),
+listed AS (SELECT DISTINCT lemma AS form_norm FROM entries WHERE length(lemma) = 5),
+het AS (SELECT form_norm, list(idx ORDER BY o) AS s FROM seen GROUP BY form_norm),
+heteronyms AS (SELECT h.form_norm, s[1] AS stress, s[2] AS stress2, len(s)::INT AS n_stresses, (len(s) > 1 AND l.form_norm IS NOT NULL) AS is_variative, (len(s) > 1 AND l.form_norm IS NULL) AS is_heteronym FROM het h LEFT JOIN listed l USING (form_norm))"""
+
+
+def heteronym_rows(spark, sf_dir):
+    rows = entries(spark, sf_dir)
+    forms = rows.select(F.col("lemma").alias("form_norm"), F.col("form_ord").alias("ord"), "stress")
+    return variants.heteronyms(forms, rows.where("length(lemma) = 5").select(F.col("lemma").alias("form_norm")))
+
+
+@query(f"WITH {HETERONYMS} SELECT form_norm, stress, stress2, n_stresses, is_variative::INT AS is_variative, is_heteronym::INT AS is_heteronym FROM heteronyms")
+def heteronyms(spark, sf_dir):
+    """The compact dictionary; words of five letters stand for the word list."""
+    return heteronym_rows(spark, sf_dir).withColumns({c: F.col(c).cast("int") for c in ("is_variative", "is_heteronym")})
+
+
+@query(f"WITH {HETERONYMS} SELECT CASE WHEN is_variative THEN 'variative' WHEN is_heteronym THEN 'heteronym' ELSE 'unique' END AS kind, count(*) AS n FROM heteronyms GROUP BY 1")
+def heteronym_kinds(spark, sf_dir):
+    """Forms by kind of stress."""
+    kind = F.when(F.col("is_variative"), "variative").when(F.col("is_heteronym"), "heteronym").otherwise("unique")
+    return heteronym_rows(spark, sf_dir).groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"""WITH {ENTRIES}, k AS (SELECT *, {D.json("stress")} AS s FROM entries WHERE pos IS NOT NULL AND feats IS NOT NULL),
+f AS (SELECT * FROM k QUALIFY min(s) OVER (PARTITION BY form, pos, feats) = max(s) OVER (PARTITION BY form, pos, feats))
+SELECT pos, feats, count(*) AS n, count(DISTINCT form) AS forms FROM f GROUP BY pos, feats"""
+)
+def conflict_filter(spark, sf_dir):
+    """Rows left when forms with several patterns go, by part of speech."""
+    rows = entries(spark, sf_dir).withColumn("s", F.to_json("stress"))
+    kept = variants.conflict_filter(rows, ["form", "pos", "feats"], "s")
+    return kept.groupBy("pos", "feats").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("form").alias("forms"))
+
+
+@query(f"""WITH {ENTRIES} SELECT lemma, count(DISTINCT marked) AS n_values, string_agg(DISTINCT marked, '|' ORDER BY marked) AS "values" FROM entries GROUP BY lemma HAVING count(DISTINCT marked) > 1""")
+def conflict_report(spark, sf_dir):
+    """Lemmas with several marked forms."""
+    return variants.conflict_report(entries(spark, sf_dir), "lemma", "marked")
+
+
+@query(f"""WITH {ENTRIES} SELECT lemma, form, pos, src_ord FROM entries QUALIFY row_number() OVER (PARTITION BY lemma, form ORDER BY src_ord DESC, form_ord DESC) = 1""")
+def insert_or_replace(spark, sf_dir):
+    """The last row of each lemma and form."""
+    rows = entries(spark, sf_dir).select("lemma", "form", "pos", "src_ord", "form_ord")
+    return merge.first_by(rows, ["lemma", "form"], [F.desc("src_ord"), F.desc("form_ord")]).drop("form_ord")
+
+
+@query("""SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1""")
+def insert_or_ignore(spark, sf_dir):
+    """The first event of each user and type."""
+    rows = read(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value", "ts")
+    return merge.first_by(rows, ["user_id", "event_type"], ["ts", "event_id"]).drop("ts")
+
+
+@query(
+    f"""WITH {ENTRIES}, lp AS (SELECT lemma, min(pos) AS lemma_pos FROM entries WHERE pos <> 'X' GROUP BY lemma), e AS (SELECT DISTINCT e.lemma, e.pos, e.feats, lp.lemma_pos FROM entries e LEFT JOIN lp USING (lemma)),
+x AS (SELECT *, CASE WHEN lemma LIKE '%ment' THEN 'NOUN' WHEN lemma LIKE '%ar' THEN 'VERB' END AS p1, CASE WHEN length(lemma) > 6 THEN 'NOUN' END AS p2, CASE WHEN lemma LIKE '%os' THEN '{{"Number":"Plur"}}' END AS f1 FROM e)
+SELECT lemma, coalesce(CASE WHEN pos <> 'X' THEN pos END, CASE WHEN lemma_pos <> 'X' THEN lemma_pos END, p1, p2, 'X') AS pos,
+  CASE WHEN pos <> 'X' THEN 1.0 WHEN lemma_pos <> 'X' THEN 0.9 WHEN p1 IS NOT NULL THEN 0.85 WHEN p2 IS NOT NULL THEN 0.7 ELSE 0.0 END::DOUBLE AS pos_confidence,
+  coalesce(feats, f1) AS feats, CASE WHEN feats IS NOT NULL THEN 1.0 WHEN f1 IS NOT NULL THEN 0.85 ELSE 0.0 END::DOUBLE AS features_confidence FROM x"""
+)
+def enrich_chain(spark, sf_dir):
+    """Part of speech and features from the data, the lemma, two rules."""
+    rows = entries(spark, sf_dir)
+    best = rows.where("pos <> 'X'").groupBy("lemma").agg(F.min("pos").alias("lemma_pos"))
+    rows = rows.join(best, "lemma", "left").select("lemma", "pos", "feats", "lemma_pos").distinct()
+    first = F.expr("CASE WHEN lemma LIKE '%ment' THEN 'NOUN' WHEN lemma LIKE '%ar' THEN 'VERB' END")
+    plural = F.when(F.col("lemma").endswith("os"), '{"Number":"Plur"}')
+    found = variants.enrich(F.col("pos"), F.col("feats"), F.col("lemma_pos"), [(first, plural, 0.85), (F.when(F.length("lemma") > 6, "NOUN"), F.lit(None).cast("string"), 0.7)])
+    return rows.select("lemma", *[c.alias(k) for k, c in found.items()])
+
+
+# --- resolution -------------------------------------------------------------
+
+LEXICON = """lexicon AS (SELECT lemma AS form_norm, stress, pos AS p, feats, min(form_ord) AS ord FROM entries WHERE len(stress) > 0 GROUP BY lemma, stress, pos, feats)"""
+RESOLVED = f"""{ENTRIES}, {LEXICON},
+scored AS (SELECT t.form_ord AS token_id, t.lang, t.lemma AS form_norm, x.stress, x.ord,
+  0.4 * coalesce((x.p = upper(t.pos))::INT, 0)::DOUBLE + CASE WHEN t.feats IS NOT NULL AND x.feats IS NOT NULL THEN 0.4 *
+    len(list_filter(json_keys(t.feats), lambda k: coalesce(json_extract_string(t.feats, '$.' || k) = json_extract_string(x.feats, '$.' || k), FALSE)))::DOUBLE / len(json_keys(t.feats)) ELSE 0.0 END AS score,
+  count(x.form_norm) OVER (PARTITION BY t.form_ord) AS nv FROM entries t LEFT JOIN lexicon x ON x.form_norm = t.lemma),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY token_id ORDER BY score DESC, ord) = 1),
+resolved AS (SELECT token_id, lang, form_norm, stress, CASE WHEN nv = 0 THEN 0.0 WHEN nv = 1 THEN 1.0 ELSE score END::DOUBLE AS score,
+  CASE WHEN nv = 0 THEN 'none' WHEN nv = 1 THEN 'exact' WHEN score >= 0.8 THEN 'exact' WHEN score >= 0.5 THEN 'partial' ELSE 'fallback' END AS confidence, nv AS n_variants FROM best)"""
+
+
+def resolved_tokens(spark, sf_dir):
+    rows = entries(spark, sf_dir).withColumn("m", F.from_json("feats", "map<string,string>"))
+    lexicon = rows.where(F.size("stress") > 0).groupBy("lemma", "stress", "pos", "feats").agg(F.min("form_ord").alias("ord"))
+    lexicon = lexicon.select(F.col("lemma").alias("form_norm"), "ord", "stress", F.array("pos").alias("pos"), F.transform_values(F.from_json("feats", "map<string,string>"), lambda _, v: F.array(v)).alias("feats"))
+    lexicon = lexicon.withColumn("feats", F.coalesce("feats", F.create_map().cast("map<string,array<string>>")))
+    return resolve.resolve(rows.select(F.col("form_ord").alias("token_id"), F.col("lemma").alias("form_norm"), "pos", F.col("m").alias("feats")), lexicon)
+
+
+@query(f"WITH {RESOLVED} SELECT token_id, form_norm, {D.json('stress')} AS stress, round(score, 6) AS score, confidence, n_variants FROM resolved")
+def resolve_stress(spark, sf_dir):
+    """Every word with the variant that fits its morphology best."""
+    return resolved_tokens(spark, sf_dir).select("token_id", "form_norm", F.to_json("stress").alias("stress"), F.round("score", 6).alias("score"), "confidence", F.col("n_variants").cast("long").alias("n_variants"))
+
+
+@query(f"WITH {RESOLVED} SELECT token_id // 1000000 AS doc_id, count(*) AS words, count(stress) AS stressed, count(stress) * 100.0::DOUBLE / count(*) AS percent FROM resolved GROUP BY 1")
+def coverage_by_doc(spark, sf_dir):
+    """Words, stressed words and their share, by document."""
+    return resolve.coverage(resolved_tokens(spark, sf_dir).withColumn("doc_id", F.expr("token_id div 1000000")), "doc_id")
+
+
+HYBRID = "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 10 THEN (l_partkey % 5)::INT END AS m, l_discount * 10 AS ms, CASE WHEN l_tax > 0.02 THEN (l_suppkey % 5)::INT END AS k FROM lineitem"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, CASE WHEN m IS NOT NULL AND ms >= 0.70 THEN m WHEN k IS NOT NULL THEN k ELSE m END AS stress FROM ({HYBRID})")
+def hybrid_resolve(spark, sf_dir):
+    """Sure model answers, else the lookup's, else the model's."""
+    rows = read(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "CASE WHEN l_quantity > 10 THEN int(l_partkey % 5) END AS m", "l_discount * 10 AS ms", "CASE WHEN l_tax > 0.02 THEN int(l_suppkey % 5) END AS k")
+    return rows.select("l_orderkey", "l_linenumber", resolve.hybrid(F.col("m"), F.col("ms"), F.col("k")).alias("stress"))
+
+
+@query(
+    """SELECT o.o_orderkey, c.c_name, count(l.l_orderkey) AS children, coalesce(string_agg(l.l_linenumber || ':' || l.l_returnflag, '|' ORDER BY l.l_linenumber, l.l_returnflag), '') AS feats
+FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey LEFT JOIN customer c ON c.c_custkey = o.o_custkey GROUP BY o.o_orderkey, c.c_name"""
+)
+def word_form_join(spark, sf_dir):
+    """Parents with their children as one text and a name from a dictionary."""
+    children = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("children"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag"))), lambda s: F.concat_ws(":", s["l_linenumber"], s["l_returnflag"])), "|").alias("feats"))
+    orders, names = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), read(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    rows = orders.join(children, F.col("o_orderkey") == F.col("l_orderkey"), "left").join(names, F.col("o_custkey") == F.col("c_custkey"), "left")
+    return rows.select("o_orderkey", "c_name", F.coalesce("children", F.lit(0).cast("long")).alias("children"), F.coalesce("feats", F.lit("")).alias("feats"))
+
+
+# --- samples and splits -----------------------------------------------------
+
+
+def syllabled(spark, sf_dir):
+    return word_forms(spark, sf_dir).selectExpr("form", "pos", f"int({X.vowel_count(S, 'form', LATIN)}) AS syllables")
+
+
+SYLLABLED = f"{FORMS}, words AS (SELECT form, pos, {X.vowel_count(D, 'form', LATIN)}::INT AS syllables FROM forms)"
+
+
+@query(
+    f"""WITH {SYLLABLED}, r AS (SELECT *, least(syllables, 7) AS bucket, md5('42|' || form || '|' || pos) AS d FROM words WHERE syllables >= 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY d, form, pos) AS k FROM r)
+SELECT form, pos, syllables, bucket FROM k ORDER BY (k > 50)::INT, d, form, pos LIMIT 1000"""
+)
+def stratified_sample(spark, sf_dir):
+    """1000 words, at least 50 of each number of syllables."""
+    return sampling.stratified_sample(syllabled(spark, sf_dir), 1000)
+
+
+@query(f"""WITH {SYLLABLED} SELECT CASE WHEN ('0x' || substr(md5(form), 1, 8))::BIGINT % 10 < 1 THEN 'test' ELSE 'train' END AS split, count(*) AS n, sum(syllables)::BIGINT AS syllables FROM words GROUP BY 1""")
+def group_split(spark, sf_dir):
+    """Forms and syllables of the training and the test part."""
+    rows = syllabled(spark, sf_dir).withColumn("split", sampling.group_split(F.col("form")))
+    return rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("syllables").alias("syllables"))
+
+
+@query(
+    """WITH r AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY md5('42|' || event_id), event_id) AS k FROM events)
+SELECT event_id, event_type FROM r WHERE k <= CASE event_type WHEN 'view' THEN 85 WHEN 'click' THEN 10 WHEN 'purchase' THEN 5 ELSE 0 END"""
+)
+def weighted_batch(spark, sf_dir):
+    """85, 10 and 5 events of three kinds."""
+    return sampling.weighted_batch(read(spark, sf_dir, "events").select("event_id", "event_type"), "event_type", {"view": 85, "click": 10, "purchase": 5}, "event_id")
+
+
+@query("SELECT o_orderkey, c::INT AS copy FROM (SELECT o_orderkey, unnest(range(1, 1 + (o_orderkey % 4)::INT)) AS c FROM orders)")
+def oversample(spark, sf_dir):
+    """Every order as often as its key modulo 4."""
+    return sampling.oversample(read(spark, sf_dir, "orders").select("o_orderkey"), F.expr("int(o_orderkey % 4)")).select("o_orderkey", "copy")
+
+
+@query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY (event_type = 'purchase') DESC, ts DESC, event_id) <= 3")
+def latest_versions(spark, sf_dir):
+    """Each user's three newest events, purchases first."""
+    rows = read(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts")
+    return sampling.newest_versions(rows, ["user_id"], 3, (F.col("event_type") == "purchase").desc(), F.desc("ts"), "event_id").drop("ts")
+
+
+@query(f"WITH {ENTRIES} SELECT lemma, form FROM entries WHERE src_ord % 2 = 0 UNION SELECT lemma, form FROM entries WHERE src_ord % 3 = 0 EXCEPT SELECT lemma, form FROM entries WHERE src_ord % 5 = 0")
+def feature_set_union(spark, sf_dir):
+    """Words of some sources that no other source has (union and anti-set)."""
+    rows = entries(spark, sf_dir).select("lemma", "form", "src_ord")
+    part = lambda k: rows.where(f"src_ord % {k} = 0").select("lemma", "form")
+    return part(2).unionByName(part(3)).distinct().join(part(5).distinct(), ["lemma", "form"], "left_anti")
+
+
+# --- evaluation -------------------------------------------------------------
+
+
+def predictions(spark, sf_dir):
+    """Labels with two rule predictions: quality by length, toxicity by digits."""
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    rows = labels.join(docs, "doc_id")
+    return rows.selectExpr("doc_id", "quality AS y", "int(n_chars > 700) AS yhat", "int(length(text) % 3 > 0) AS b", "int(1 + n_chars % 9) AS syllables")
+
+
+PREDICTIONS = "p AS (SELECT doc_id, quality AS y, (n_chars > 700)::INT AS yhat, (length(text) % 3 > 0)::INT AS b, (1 + n_chars % 9)::INT AS syllables FROM labels JOIN documents USING (doc_id))"
+
+
+@query(f"WITH {PREDICTIONS} SELECT least(syllables, 7) AS bucket, count(*) AS n, round(100.0::DOUBLE * sum((y = yhat)::INT) / count(*), 4) AS accuracy FROM p GROUP BY ROLLUP (least(syllables, 7))")
+def accuracy_by_bucket(spark, sf_dir):
+    """Accuracy by number of syllables, and of all."""
+    return evaluate.accuracy_by_bucket(predictions(spark, sf_dir))
+
+
+@query(f"WITH {PREDICTIONS} SELECT y, yhat, count(*) AS n FROM p GROUP BY y, yhat")
+def confusion(spark, sf_dir):
+    """The confusion matrix."""
+    return evaluate.confusion(predictions(spark, sf_dir))
+
+
+@query(
+    f"""WITH {PREDICTIONS}, l AS (SELECT y AS label FROM p UNION SELECT yhat FROM p),
+m AS (SELECT label, (SELECT count(*) FROM p WHERE y = label) AS s, (SELECT count(*) FROM p WHERE yhat = label) AS q, (SELECT count(*) FROM p WHERE y = label AND yhat = label) AS tp FROM l),
+f AS (SELECT s, tp, CASE WHEN s + q > 0 THEN 2.0::DOUBLE * tp / (s + q) ELSE 0 END AS f1 FROM m)
+SELECT round(sum(tp)::DOUBLE / sum(s), 6) AS accuracy, round(avg(f1), 6) AS macro_f1, round(sum(f1 * s) / sum(s), 6) AS weighted_f1 FROM f"""
+)
+def macro_f1(spark, sf_dir):
+    """Accuracy and F1, by labels and by rows."""
+    return evaluate.summary_metrics(predictions(spark, sf_dir))
+
+
+@query(
+    f"""WITH {PREDICTIONS}, c AS (SELECT count(*) FILTER (WHERE yhat = y AND b = y) AS both_right, count(*) FILTER (WHERE yhat <> y AND b <> y) AS both_wrong, count(*) FILTER (WHERE yhat = y AND b <> y) AS only_a, count(*) FILTER (WHERE yhat <> y AND b = y) AS only_b FROM p)
+SELECT *, CASE WHEN abs((only_a - only_b)::DOUBLE / (both_right + both_wrong + only_a + only_b)) < 0.001 THEN 'draw' WHEN only_a > only_b THEN 'a' ELSE 'b' END AS verdict FROM c"""
+)
+def agreement(spark, sf_dir):
+    """Where two predictions are right and wrong."""
+    return evaluate.agreement(predictions(spark, sf_dir).withColumnRenamed("yhat", "a"))
+
+
+@query(f"WITH {PREDICTIONS} SELECT count(*) AS scored, count(*) FILTER (WHERE b = y OR b = 2) AS \"right\", round(100.0::DOUBLE * count(*) FILTER (WHERE b = y OR b = 2) / count(*), 4) AS accuracy FROM p WHERE syllables <> 3")
+def hand_accuracy(spark, sf_dir):
+    """Accuracy where one of several labels is right and some have none."""
+    rows = predictions(spark, sf_dir).selectExpr("CASE WHEN syllables <> 3 THEN array(y, 2) END AS expected", "b AS yhat")
+    return evaluate.hand_accuracy(rows)
+
+
+@query(f"""WITH {PREDICTIONS}, c AS (SELECT syllables AS label, count(*) AS n FROM p GROUP BY 1), r AS (SELECT *, sqrt(sum(n) OVER ()::DOUBLE / n) AS w FROM c) SELECT label, n, round(w / avg(w) OVER (), 6) AS weight FROM r""")
+def class_weights(spark, sf_dir):
+    """Weights against uneven classes."""
+    return evaluate.class_weights(predictions(spark, sf_dir).select(F.col("syllables").alias("y")))
+
+
+def trials(spark, sf_dir):
+    """Orders as trials: priority as phase, price as fitness."""
+    return read(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS trial", "o_orderpriority AS phase", "round(o_totalprice / 1000000, 6) AS fitness", "o_custkey % 60 / 2.0D AS minutes", "o_orderstatus = 'F' AS pruned", "double(o_custkey % 300) AS leaves", "double(o_orderkey % 17) AS depth"
+    )
+
+
+TRIALS = "trials AS (SELECT o_orderkey AS trial, o_orderpriority AS phase, round(o_totalprice / 1000000, 6) AS fitness, o_custkey % 60 / 2.0::DOUBLE AS minutes, o_orderstatus = 'F' AS pruned, (o_custkey % 300)::DOUBLE AS leaves, (o_orderkey % 17)::DOUBLE AS depth FROM orders)"
+
+
+@query(f"WITH {TRIALS} SELECT (row_number() OVER (ORDER BY fitness DESC, trial))::INT AS rank, trial, phase, fitness FROM trials ORDER BY fitness DESC, trial LIMIT 30")
+def leaderboard(spark, sf_dir):
+    """The thirty best trials."""
+    return evaluate.leaderboard(trials(spark, sf_dir).select("trial", "phase", "fitness")).select("rank", "trial", "phase", "fitness")
+
+
+@query(
+    f"""WITH {TRIALS} SELECT phase, count(*) AS n, max(fitness) AS best, round(avg(fitness), 6) AS mean, min(fitness) AS worst, round(stddev_pop(fitness), 6) AS std, round(sum(minutes), 4) AS minutes,
+  round(100.0::DOUBLE * count(*) FILTER (WHERE pruned) / count(*), 4) AS pruned_percent FROM trials GROUP BY phase"""
+)
+def phase_stats(spark, sf_dir):
+    """Statistics of each phase of a search."""
+    return evaluate.phase_stats(trials(spark, sf_dir))
+
+
+@query(
+    f"""WITH {TRIALS}, g AS (SELECT *, row_number() OVER w AS n, fitness - lag(fitness) OVER w AS gain FROM trials WINDOW w AS (PARTITION BY phase ORDER BY trial)),
+u AS (SELECT *, max(CASE WHEN gain > 0.002 THEN n END) OVER (PARTITION BY phase ORDER BY trial ROWS UNBOUNDED PRECEDING) AS up,
+  max(fitness) OVER l - min(fitness) OVER l AS s, count(*) OVER l AS c FROM g WINDOW l AS (PARTITION BY phase ORDER BY trial ROWS 9 PRECEDING))
+SELECT phase, trial, round(s, 6) AS span, (c = 10 AND s < 0.002)::INT AS is_flat, (n - coalesce(up, 1))::INT AS since_gain FROM u"""
+)
+def plateau(spark, sf_dir):
+    """Where a phase of a search stands still."""
+    return evaluate.plateau(trials(spark, sf_dir), ["phase"])
+
+
+@query(
+    f"""WITH {TRIALS}, r AS (SELECT *, row_number() OVER (ORDER BY fitness DESC, trial) AS b, row_number() OVER (ORDER BY fitness, trial) AS w FROM trials),
+l AS (SELECT 'leaves' AS parameter, leaves AS value, b, w FROM r UNION ALL SELECT 'depth', depth, b, w FROM r UNION ALL SELECT 'minutes', minutes, b, w FROM r),
+m AS (SELECT parameter, round(avg(value) FILTER (WHERE b <= 10), 6) AS top, round(avg(value) FILTER (WHERE w <= 10), 6) AS bottom FROM l GROUP BY parameter)
+SELECT *, CASE WHEN top > bottom THEN 'higher' WHEN top < bottom THEN 'lower' ELSE 'none' END AS direction FROM m"""
+)
+def hyperparam_insight(spark, sf_dir):
+    """Parameters of the best and the worst trials."""
+    return evaluate.parameter_insight(trials(spark, sf_dir), ["leaves", "depth", "minutes"])
+
+
+@query(f"""WITH {TRIALS}, r AS (SELECT *, row_number() OVER (ORDER BY trial) AS a, row_number() OVER (ORDER BY trial DESC) AS z, greatest(1, count(*) OVER () // 3) AS t FROM trials)
+SELECT round(avg(fitness) FILTER (WHERE a <= t), 6) AS early, round(avg(fitness) FILTER (WHERE z <= t), 6) AS late FROM r""")
+def progression(spark, sf_dir):
+    """Mean fitness early and late in a search."""
+    return evaluate.progression(trials(spark, sf_dir))
+
+
+@query(
+    """SELECT p_partkey, round(CASE WHEN a > 0 AND e < a THEN t * 0.5 ELSE t END, 6) AS fitness FROM (SELECT p_partkey, a, e, 0.30 * f + 0.25 * e + 0.20 * h + 0.25 * s + 0.02 * (1 - least(1.0, m / 50.0)) AS t FROM
+(SELECT p_partkey, p_retailprice / 3000 AS f, (p_size * 2 / 100.0)::DOUBLE AS e, (p_partkey % 100)::DOUBLE / 100 AS h, (p_partkey % 7)::DOUBLE / 7 AS s, (p_partkey % 90)::DOUBLE AS m, 0.4::DOUBLE AS a FROM part))"""
+)
+def fitness(spark, sf_dir):
+    """Parts as models: one figure from several."""
+    rows = read(spark, sf_dir, "part").selectExpr("p_partkey", "p_retailprice / 3000 AS f", "p_size * 2 / 100.0D AS e", "double(p_partkey % 100) / 100 AS h", "double(p_partkey % 7) / 7 AS s", "double(p_partkey % 90) AS m")
+    parts = {"f1": F.col("f"), "external": F.col("e"), "hand": F.col("h"), "syllables": F.col("s")}
+    return rows.select("p_partkey", evaluate.fitness("global", parts, F.col("m"), F.lit(0.4), F.col("e")).alias("fitness"))
+
+
+@query(
+    """WITH m AS (SELECT l_orderkey AS row_id, l_discount AS fitness, [l_tax * 5, 0.3, l_quantity / 100] AS p FROM lineitem),
+w AS (SELECT row_id, exp(fitness - max(fitness) OVER (PARTITION BY row_id)) AS w, unnest(p) AS p, unnest(range(3))::INT AS label FROM m),
+v AS (SELECT row_id, label, round(sum(w * p), 9) AS v FROM w GROUP BY row_id, label)
+SELECT yhat, count(*) AS n FROM (SELECT row_id, label AS yhat FROM v QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY v DESC, label) = 1) GROUP BY yhat"""
+)
+def soft_vote(spark, sf_dir):
+    """Votes of several models weighted by their fitness."""
+    members = read(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS row_id", "l_discount AS fitness", "array(l_tax * 5, 0.3D, l_quantity / 100) AS p")
+    return evaluate.soft_vote(members).groupBy("yhat").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- quality ----------------------------------------------------------------
+
+
+@query(" UNION ALL ".join(f"""SELECT '{c}' AS "column", count(*) FILTER (WHERE {c} IS NULL) AS nulls, {f"count(*) FILTER (WHERE {c} = '')" if c in ("text", "lang", "source") else "0::BIGINT"} AS empty, count(*) AS "rows" FROM documents""" for c in ("doc_id", "text", "lang", "source", "n_chars")))
+def null_counts(spark, sf_dir):
+    """Nulls and empty texts of every column, in one pass."""
+    return quality.null_counts(read(spark, sf_dir, "documents"))
+
+
+@query("""SELECT count(*) AS "rows", count(*) FILTER (WHERE props IS NOT NULL AND NOT json_valid(props)) AS invalid FROM events""")
+def json_validity(spark, sf_dir):
+    """Rows whose properties aren't JSON."""
+    return quality.json_validity(read(spark, sf_dir, "events"), "props")
+
+
+@query("""SELECT source AS value, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, value NULLS LAST LIMIT 10""")
+def distribution(spark, sf_dir):
+    """The ten most frequent sources."""
+    return quality.distribution(read(spark, sf_dir, "documents"), "source")
+
+
+@query(
+    f"""WITH {ENTRIES}, s AS (SELECT count(*) AS total, count(DISTINCT lemma) AS lemmas, count(DISTINCT form) AS forms, count(*) FILTER (WHERE len(stress) > 0) AS stressed, count(*) FILTER (WHERE len(stress) > 1) AS multi, count(*) FILTER (WHERE pos = 'NOUN') AS nouns FROM entries)
+SELECT name, value FROM (UNPIVOT s ON total, lemmas, forms, stressed, multi, nouns INTO NAME name VALUE value)"""
+)
+def db_stats(spark, sf_dir):
+    """Counts of the dictionary, in one pass."""
+    return quality.stats(
+        entries(spark, sf_dir), total=F.count(F.lit(1)), lemmas=F.count_distinct("lemma"), forms=F.count_distinct("form"), stressed=F.count_if(F.size("stress") > 0), multi=F.count_if(F.size("stress") > 1), nouns=F.count_if(F.col("pos") == "NOUN")
+    )
+
+
+@query(
+    """WITH d AS (SELECT md5(concat_ws(chr(31), coalesce(event_id::VARCHAR, chr(0)), coalesce(user_id::VARCHAR, chr(0)), coalesce(event_type, chr(0)), coalesce(props, chr(0)))) AS d FROM events),
+s AS (SELECT count(*) AS "rows", """
+    + ", ".join(f"sum(('0x' || substr(d, {1 + 8 * i}, 8))::BIGINT)::BIGINT AS s{i}" for i in range(4))
+    + """ FROM d) SELECT "rows", md5(concat_ws(',', s0::VARCHAR, s1::VARCHAR, s2::VARCHAR, s3::VARCHAR)) AS fingerprint FROM s"""
+)
+def content_hash(spark, sf_dir):
+    """A fingerprint of the events that doesn't depend on their order."""
+    return quality.content_hash(read(spark, sf_dir, "events"), ["event_id", "user_id", "event_type", "props"])
+
+
+@query(f"""WITH {ENTRIES} SELECT pos, count(*) AS n, count(DISTINCT lemma) AS lemmas, count(DISTINCT form) AS forms, round(avg(length(form)), 6) AS mean_length FROM entries GROUP BY pos""")
+def pos_distribution(spark, sf_dir):
+    """Words by part of speech."""
+    return entries(spark, sf_dir).groupBy("pos").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("lemma").alias("lemmas"), F.count_distinct("form").alias("forms"), F.round(F.avg(F.length("form")), 6).alias("mean_length"))
