@@ -40,7 +40,7 @@ WORDS = re.compile(
     r"(?:^|[^a-z])(?:nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-?bar|aside|ads?|advert\w*|adbox|banner|promo\w*|sponsor\w*|cookies?|consent|notices?|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|"
     r"share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|replies|respond|footer|foot|header|masthead|copyright|legal|toolbar|widget|pagination|pager|tags|toc|skip)(?:[^a-z]|$)"
 )
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)", re.S)
 LABEL = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 MARK = re.compile(r"\bdata-text\s*=\s*\"([01])\"")
 NAMES = ("words", "density", "before_words", "before_density", "after_words", "after_density", "aside", "article", "heading", "list", "outside")
@@ -97,7 +97,7 @@ def blocks(page: str) -> list[Block]:
                 raw = None
             continue
         if not closing and name in RAW:
-            if name not in INLINE:
+            if name in ("head", "title"):
                 close()
             if (m[3] or "").rstrip().endswith("/"):
                 continue

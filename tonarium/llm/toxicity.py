@@ -226,7 +226,8 @@ def features(text: str, automaton: Automaton, classes: np.ndarray, vetoed: set[s
                 seen = True
             else:
                 other += weight
-    return [1.0, math.log1p(exact), float(seen), math.log1p(fuzzy), math.log1p(other), quotes / hits if hits else 0.0, min(10.0, 100 * (exact + other) / words) if words else 0.0]
+    # a misspelled term counts half; its own sum lets the fit correct that
+    return [1.0, math.log1p(exact + 0.5 * fuzzy), float(seen), math.log1p(fuzzy), math.log1p(other), quotes / hits if hits else 0.0, min(10.0, 100 * (exact + other) / words) if words else 0.0]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
@@ -287,14 +288,14 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def _features(texts: DataFrame, lexicons: list[Automaton], vetoed: set[str]) -> list:
+def _features(texts: DataFrame, lexicons: list[Automaton], vetoed: list[set[str]]) -> list:
     """(label, fold, features) of the sample: at most SAMPLE rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = [a.classes() for a in lexicons]
         for batch in batches:
             y, fold = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            x = [features(t, lexicons[f], classes[f], vetoed) for t, f in zip(batch.column(0).to_pylist(), fold, strict=True)]
+            x = [features(t, lexicons[f], classes[f], vetoed[f]) for t, f in zip(batch.column(0).to_pylist(), fold, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(fold, pa.int32()), pa.array(x, pa.list_(pa.float64()))], ["y", "fold", "x"])
 
     return texts.select("text", "y", "fold").mapInArrow(run, "y int, fold int, x array<double>").collect()
@@ -353,8 +354,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
                         break
             yield batch.take(pa.array(keep, pa.int64())) if keep else batch.slice(0, 0)
 
-    vetoed = {r.form for r in stats.where((clean > 0) & (F.length("form") >= FUZZY - 1) & ~F.col("form").endswith("*")).select("form").mapInArrow(misspelled, "form string").collect()}
-    rows = _features(texts, automata[:2], vetoed)
+    known_clean = stats.where((clean > 0) & (F.length("form") >= FUZZY - 1) & ~F.col("form").endswith("*"))
+    found = known_clean.select("form", "n00", "n01").mapInArrow(misspelled, "form string, n00 long, n01 long").collect()
+    vetoed = {r.form for r in found}
+    rows = _features(texts, automata[:2], [{r.form for r in found if r.n01}, {r.form for r in found if r.n00}])
     weights = np.array([-4.0, 1.0, 2.0, 0.5, 2.5, -0.5, 0.0])
     if n1 >= 5 and n0 >= 5:
         x, y = np.array([r.x for r in rows]), np.array([r.y for r in rows], float)
