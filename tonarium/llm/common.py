@@ -12,8 +12,15 @@ from pyspark.sql import functions as F
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
+def steady_reads(spark: SparkSession) -> None:
+    """Read Parquet in order, not in parallel ranges: those keep a direct
+    buffer as large as a column chunk for each thread, outside the heap."""
+    spark.conf.set("parquet.hadoop.vectored.io.enabled", "false")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, through Spark's own reader."""
+    steady_reads(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -37,6 +44,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     either side, so that adaptive execution can split skewed partitions.
     """
     spark = df.sparkSession
+    steady_reads(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
