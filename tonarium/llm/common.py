@@ -37,6 +37,10 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Folders that this process wrote, for clean().
+_made: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and reread it.
 
@@ -46,17 +50,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     steady_reads(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(df: DataFrame) -> None:
-    """Delete a table made by written(); df must not be used any more."""
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df as a table in the shared folder, bucketed and sorted by key: joins on
+    the key don't shuffle it again."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    steady_reads(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    label = f"{name}_{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{label}")
+    df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key).option("path", _made[-1]).saveAsTable(label)
+    return spark.table(label)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete what written() and bucketed() have left; results that were not
+    stored can't be read afterwards."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for table_ in [t.name for t in spark.catalog.listTables() if any(p.endswith(f"/{t.name}") for p in _made)]:
+        spark.sql(f"DROP TABLE IF EXISTS {table_}")
+    for path in _made:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    _made.clear()
 
 
 def text_of(column: str = "text"):

@@ -33,7 +33,6 @@ empty result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table, text_of, written
+from .common import bucketed, table, text_of, written
 
 LENGTH = 400
 GRAM = 64
@@ -348,15 +347,6 @@ def _remove(length: int):
     return run
 
 
-def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
-    """df as a table in the shared folder, bucketed and sorted by key."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    label = f"{name}_{uuid.uuid4().hex}"
-    df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key).option("path", f"{shared_dir(spark)}/{label}").saveAsTable(label)
-    return spark.table(label)
-
-
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (array of begin, end in bytes: what is
     removed), kept (binary: the rest)."""
