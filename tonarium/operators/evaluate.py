@@ -135,3 +135,16 @@ def soft_vote(members: DataFrame) -> DataFrame:
     rows = members.withColumn("_w", F.exp(F.col("fitness") - top)).select("row_id", "_w", F.posexplode("p").alias("label", "p"))
     votes = rows.groupBy("row_id", "label").agg(F.sum(F.col("_w") * F.col("p")).alias("v"))
     return votes.groupBy("row_id").agg(F.max_by("label", F.struct("v", -F.col("label"))).alias("yhat"))
+
+
+def landscape(trials: DataFrame, parameters: list[str], n: int = 10) -> DataFrame:
+    """parameter, least, most, mean over the n best trials."""
+    best = trials.orderBy(F.desc("fitness"), "trial").limit(n)
+    long = best.unpivot([], parameters, "parameter", "value")
+    return long.groupBy("parameter").agg(F.min("value").alias("least"), F.max("value").alias("most"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+def class_distribution(rows: DataFrame) -> DataFrame:
+    """label, n, share: the largest share is what the majority class scores."""
+    counts = rows.groupBy(F.col("y").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("label", "n", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 4).alias("share"))

@@ -68,3 +68,18 @@ def search(train: DataFrame, test: DataFrame, *, trials: int = 4, seed: int = 42
 def importances(model: PipelineModel, n: int = 20) -> list[tuple[str, float]]:
     assembler, forest = model.stages
     return sorted(zip(assembler.getInputCols(), forest.featureImportances.toArray().tolist(), strict=True), key=lambda x: (-x[1], x[0]))[:n]
+
+
+def save(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def same_answers(a: DataFrame, b: DataFrame) -> DataFrame:
+    """n, agree: two models' answers for the same forms (a stored model and the
+    one that it was made from must agree on all)."""
+    met = a.select("form", "pos", F.col("yhat").alias("x")).join(b.select("form", "pos", F.col("yhat").alias("z")), ["form", "pos"])
+    return met.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("x").eqNullSafe(F.col("z"))).alias("agree"))

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dialect as X
-from ..functions import features
-from ..operators import evaluate, merge, quality, resolve, sampling, variants
+from ..functions import features, registry
+from ..operators import evaluate, merge, quality, resolve, sampling, service, variants
 from ..profiles import LATIN, WRONG_APOSTROPHES
 
 D, S = X.DUCK, X.SPARK
@@ -573,3 +573,132 @@ def content_hash(spark, sf_dir):
 def pos_distribution(spark, sf_dir):
     """Words by part of speech."""
     return entries(spark, sf_dir).groupBy("pos").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("lemma").alias("lemmas"), F.count_distinct("form").alias("forms"), F.round(F.avg(F.length("form")), 6).alias("mean_length"))
+
+
+# --- service, checks, further reports ----------------------------------------
+
+
+@query(f"""WITH {ENTRIES}, w AS (SELECT DISTINCT lower(c_mktsegment) AS word FROM customer UNION SELECT lemma FROM entries WHERE length(lemma) = 4)
+SELECT DISTINCT lemma, form FROM entries WHERE lemma IN (SELECT word FROM w) OR form IN (SELECT word FROM w)""")
+def point_lookup(spark, sf_dir):
+    """Rows whose lemma or form is asked for."""
+    rows = entries(spark, sf_dir)
+    words = read(spark, sf_dir, "customer").selectExpr("lower(c_mktsegment) AS word").union(rows.where("length(lemma) = 4").selectExpr("lemma AS word"))
+    return service.point_lookup(rows.select("lemma", "form"), words)
+
+
+@query(f"""WITH {ENTRIES}, v AS (SELECT lemma AS form_norm, count(DISTINCT {D.json("stress")}) AS n_variants, coalesce(string_agg(DISTINCT pos, ',' ORDER BY pos), '') AS pos_tags FROM entries GROUP BY lemma)
+SELECT form_norm, n_variants, (n_variants > 1)::INT AS is_heteronym, pos_tags FROM v""")
+def service_view(spark, sf_dir):
+    """What the lookup service says of each form."""
+    return service.service_view(entries(spark, sf_dir).select(F.col("lemma").alias("form_norm"), "stress", "pos"))
+
+
+@query(rf"""SELECT role, count(*) AS turns, count(*) FILTER (WHERE regexp_matches(w, '^[\p{{L}}ʼ''’]+$')) AS words FROM (SELECT role, unnest(string_split_regex(text, ' +')) AS w FROM conversations) GROUP BY role""")
+def token_gate(spark, sf_dir):
+    """Pieces of turns between blanks, and how many are words."""
+    rows = read(spark, sf_dir, "conversations").select("role", F.explode(F.split("text", " +")).alias("w"))
+    return rows.groupBy("role").agg(F.count(F.lit(1)).alias("turns"), F.count_if(service.word_gate("w")).alias("words"))
+
+
+@query("""SELECT o_orderkey, split_part(o_orderpriority, '-', 1) AS a, o_orderstatus || 'x' AS b FROM orders""")
+def parse_features(spark, sf_dir):
+    """Feature texts parsed; the later of equal keys counts."""
+    rows = read(spark, sf_dir, "orders").selectExpr("o_orderkey", "concat('A:', split_part(o_orderpriority, '-', 1), '|B:old|B:', o_orderstatus, 'x') AS f")
+    parsed = rows.select("o_orderkey", service.parse_features("f").alias("m"))
+    return parsed.select("o_orderkey", F.col("m")["A"].alias("a"), F.col("m")["B"].alias("b"))
+
+
+@query(f"""WITH {ENTRIES} SELECT CASE WHEN src_ord % 4 = 1 THEN 'unknown part of speech' WHEN src_ord % 4 = 2 THEN 'unknown feature' END AS error, count(*) AS n FROM entries GROUP BY 1""")
+def validation(spark, sf_dir):
+    """Rows by what is wrong with them."""
+    rows = entries(spark, sf_dir).selectExpr("CASE WHEN src_ord % 4 = 1 THEN 'NOPE' ELSE pos END AS pos", "CASE WHEN src_ord % 4 = 2 THEN map('Colour', 'Red') WHEN src_ord % 4 = 3 THEN map('Case', 'Nom') END AS feats")
+    return service.validated(rows).groupBy("error").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"""WITH {ENTRIES}, e AS (SELECT lemma AS word, (length(lemma) % 3)::INT AS expected FROM (SELECT DISTINCT lemma FROM entries WHERE length(lemma) BETWEEN 4 AND 6)),
+s AS (SELECT lemma, list_distinct(flatten(list(stress))) AS seen FROM entries GROUP BY lemma) SELECT word, expected, list_contains(seen, expected)::INT AS ok FROM e JOIN s ON s.lemma = e.word"""
+)
+def smoke_check(spark, sf_dir):
+    """Words whose expected stress is among those seen."""
+    rows = entries(spark, sf_dir)
+    expected = rows.where("length(lemma) BETWEEN 4 AND 6").selectExpr("lemma AS word", "int(length(lemma) % 3) AS expected").distinct()
+    return service.smoke_check(rows.select(F.col("lemma").alias("form_norm"), "stress"), expected)
+
+
+@query("""SELECT p_partkey, round((p_size::DOUBLE) * CASE p_partkey % 4 WHEN 0 THEN 1024.0 WHEN 1 THEN 1.0 WHEN 2 THEN 1 / 1024.0 END, 9) AS mb FROM part""")
+def size_strings(spark, sf_dir):
+    """Sizes as texts, in megabytes; texts that are no size give null."""
+    text = "CASE p_partkey % 4 WHEN 0 THEN concat(p_size, ' GB') WHEN 1 THEN concat(p_size, 'MiB') WHEN 2 THEN concat(p_size, ' KB') ELSE 'n/a' END AS s"
+    return read(spark, sf_dir, "part").selectExpr("p_partkey", text).select("p_partkey", F.round(service.size_mb("s"), 9).alias("mb"))
+
+
+@query(f"WITH {TRIALS} SELECT trial, greatest(2.0, round(leaves * 0.5, 6))::DOUBLE AS low, least(256.0, round(leaves * 1.5, 6))::DOUBLE AS high FROM trials")
+def narrowed_range(spark, sf_dir):
+    """Half to one and a half times each trial's leaves, within bounds."""
+    low, high = service.narrowed(F.col("leaves"), 2.0, 256.0)
+    return trials(spark, sf_dir).select("trial", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+
+
+@query(f"""WITH {TRIALS}, b AS (SELECT * FROM trials ORDER BY fitness DESC, trial LIMIT 10), l AS (SELECT 'leaves' AS parameter, leaves AS value FROM b UNION ALL SELECT 'depth', depth FROM b UNION ALL SELECT 'minutes', minutes FROM b)
+SELECT parameter, min(value) AS least, max(value) AS most, round(avg(value), 6) AS mean FROM l GROUP BY parameter""")
+def landscape(spark, sf_dir):
+    """Where the ten best trials lie."""
+    return evaluate.landscape(trials(spark, sf_dir), ["leaves", "depth", "minutes"])
+
+
+@query(f"WITH {PREDICTIONS} SELECT syllables AS label, count(*) AS n, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 4) AS share FROM p GROUP BY syllables")
+def class_distribution(spark, sf_dir):
+    """Classes and their shares."""
+    return evaluate.class_distribution(predictions(spark, sf_dir).select(F.col("syllables").alias("y")))
+
+
+@query(
+    f"""WITH {ENTRIES}, c AS (SELECT lemma, count(DISTINCT {D.json("stress")}) AS p, count(DISTINCT coalesce(pos, 'X') || '|' || coalesce(feats, '')) AS m, count(DISTINCT lang) AS d FROM entries GROUP BY lemma),
+t AS (SELECT lemma, CASE WHEN p <= 1 THEN 'single' WHEN m > 1 THEN 'morphological_variant' WHEN d > 1 THEN 'grammatical_homonym' ELSE 'free_variant' END AS variant_type FROM c)
+SELECT variant_type, count(*) AS n, count(DISTINCT lemma) AS lemmas, count(DISTINCT form) AS forms FROM entries JOIN t USING (lemma) GROUP BY variant_type"""
+)
+def variant_distribution(spark, sf_dir):
+    """Rows, lemmas and forms of each kind of ambiguity."""
+    rows = entries(spark, sf_dir)
+    kinds = variants.variant_types(rows.select("lemma", F.to_json("stress").alias("pattern"), "pos", "feats", F.col("lang").alias("definition")))
+    return rows.join(kinds, "lemma").groupBy("variant_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("lemma").alias("lemmas"), F.count_distinct("form").alias("forms"))
+
+
+@query(f"""WITH {ENTRIES} SELECT count(*) AS total, count(*) FILTER (WHERE len(stress) > 1) AS multi, count(*) FILTER (WHERE pos IS NULL) AS no_pos, count(*) FILTER (WHERE feats IS NULL) AS no_feats, count(*) FILTER (WHERE feats IS NOT NULL AND pos = 'NOUN') AS full_nouns FROM entries""")
+def coverage_counts(spark, sf_dir):
+    """How much of the dictionary has stress, part of speech, features."""
+    return entries(spark, sf_dir).agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(F.size("stress") > 1).alias("multi"), F.count_if(F.col("pos").isNull()).alias("no_pos"), F.count_if(F.col("feats").isNull()).alias("no_feats"), F.count_if(F.col("feats").isNotNull() & (F.col("pos") == "NOUN")).alias("full_nouns")
+    )
+
+
+SOUND_VOWELS = "ɑɐɛeɪiɔouæøy"
+_IPA = X.ipa(D, "form", "k", LATIN)
+_CUT = D.each("cs", "c, i", f"c || CASE WHEN instr('{SOUND_VOWELS}', c) > 0 AND <i> + 2 < len(cs) AND instr('{SOUND_VOWELS}ˈ', cs[<i> + 2]) = 0 AND instr('{SOUND_VOWELS}', cs[<i> + 3]) > 0 THEN '.' ELSE '' END")
+
+
+@query(
+    f"""WITH {FORMS}, s AS (SELECT form, list_filter(string_split({_IPA}, ''), lambda c: c <> '') AS cs FROM (SELECT form, (length(form) % 3)::INT AS k, {X.vowel_positions(D, "lower(form)", LATIN)} AS v FROM forms))
+SELECT form, coalesce({D.join(_CUT, "''")}, '') AS syllables FROM s"""
+)
+def syllables(spark, sf_dir):
+    """Sounds of every form, cut into syllables."""
+    rows = word_forms(spark, sf_dir).selectExpr("form", "length(form) % 3 AS k", f"{X.vowel_positions(S, 'lower(form)', LATIN)} AS v")
+    return rows.selectExpr("form", f"{X.ipa(S, 'form', 'k', LATIN)} AS ipa").select("form", F.array_join(registry.syllables("ipa", SOUND_VOWELS), ".").alias("syllables"))
+
+
+@query(f"""WITH {SYLLABLED} SELECT form, pos FROM words ORDER BY md5('7|' || form || '|' || pos), form LIMIT 100""")
+def hash_sample(spark, sf_dir):
+    """A hundred forms in the order of a digest."""
+    return syllabled(spark, sf_dir).orderBy(sampling.digest("form", "pos", seed=7), "form").limit(100).select("form", "pos")
+
+
+@query(f"""WITH {ENTRIES}, m AS (SELECT lemma, src_ord % 3 AS key, max_by(form, src_ord * 1000000000000 + form_ord) AS value FROM entries GROUP BY 1, 2)
+SELECT lemma, string_agg(key || '=' || value, ',' ORDER BY key) AS meta FROM m GROUP BY lemma""")
+def merged_meta(spark, sf_dir):
+    """Data of a lemma's entries; the later source wins."""
+    rows = entries(spark, sf_dir).selectExpr("lemma", "src_ord", "form_ord", "map(src_ord % 3, form) AS meta")
+    found = F.array_join(F.transform(F.map_entries("meta"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return merge.merged_meta(rows).select("lemma", found.alias("meta"))
