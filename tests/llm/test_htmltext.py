@@ -21,6 +21,7 @@ PAGES = [
     ('<article><p>Good.</p><div class="ad">Buy now, it is a very good thing to buy.</div><p>Text.</p><section id="comments"><p>I like this text very much, thank you.</p></section></article>', "Good. Text."),
     ('<article><p>a<script>var t="</p><p>no";</script>b<style>p{}</style></p><!-- <p>no</p> --><form><p>Name</p></form><aside>Side</aside><p>c', "ab c"),
     ('<header><h1>Site</h1></header><main><p>x &quot;y&quot; &#8364; &am</p></main><div class="cookie-banner"><p>We use cookies here and there.</p></div>', 'x "y" € &am'),
+    ('<div class="post-header"><h1>Big news of the day</h1></div><article><div class="header"><h2>Part</h2></div><figure><figcaption>A boat</figcaption></figure><p hidden>no</p><p style="display: none">no</p><ins class="adsbygoogle">x</ins><p>En<span class="x">d</span> <span class="ad">buy</span></p></article>', "Part A boat End"),
     ("", ""), ("<", "<"), ("<p", ""), ("<article><p>cut off <a href='x", "cut off"), ("<article></b></p></div><p>ok</article>", "ok"),
 ]
 

@@ -35,13 +35,16 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 #: Elements whose content is no text of the page.
 RAW = set("script style noscript template iframe object svg math canvas textarea select title head".split())
 TEXT_ONLY = ("script", "style", "textarea", "title", "iframe", "noscript")
-ASIDE = set("nav header footer aside form menu dialog button fieldset figcaption".split())
+ASIDE = set("nav header footer aside form menu dialog button fieldset".split())
 WORDS = re.compile(
-    r"(?:^|[^a-z])(?:nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-?bar|aside|ads?|advert\w*|adbox|banner|promo\w*|sponsor\w*|cookies?|consent|notices?|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|"
+    r"(?:^|[^a-z])(?:nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-?bar|aside|ads?|adsby\w*|advert\w*|adbox|banner|promo\w*|sponsor\w*|cookies?|consent|notices?|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|"
     r"share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|replies|respond|footer|foot|header|masthead|copyright|legal|toolbar|widget|pagination|pager|tags|toc|skip)(?:[^a-z]|$)"
 )
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)", re.S)
 LABEL = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: A header of an article, not of a page.
+OWN_HEADER = re.compile(r"(?:article|post|entry|story|content)[-_ ]*header")
+HIDDEN = re.compile(r"(?:^|\s)hidden(?:$|[\s=/])|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 MARK = re.compile(r"\bdata-text\s*=\s*\"([01])\"")
 NAMES = ("words", "density", "before_words", "before_density", "after_words", "after_density", "aside", "article", "heading", "list", "outside")
 #: Depth of open elements that is followed; deeper ones count as their parent.
@@ -56,6 +59,15 @@ class Block:
         self.aside, self.article, self.heading, self.listed, self.mark = state
 
 
+def _labels(attributes: str) -> str:
+    return " ".join(x or y or z for x, y, z in LABEL.findall(attributes)).lower() if "=" in attributes else ""
+
+
+def _is_aside(attributes: str) -> bool:
+    """Does an inline element's name or its being hidden set it apart?"""
+    return bool(WORDS.search(_labels(attributes)) or HIDDEN.search(attributes))
+
+
 def blocks(page: str) -> list[Block]:
     """The flat text blocks of a page, in page order."""
     out: list[Block] = []
@@ -110,7 +122,7 @@ def blocks(page: str) -> list[Block]:
         if name == "a":
             links = 0 if closing else 1
             continue
-        if name in INLINE:
+        if name in INLINE and not (stack[-1][0] == name if closing else m[3] and name not in VOID and _is_aside(m[3])):
             continue
         close()
         if name in VOID:
@@ -126,10 +138,12 @@ def blocks(page: str) -> list[Block]:
             stack.pop()
         _, aside, article, heading, listed, mark = stack[-1]
         attributes = m[3] or ""
-        labels = " ".join(x or y or z for x, y, z in LABEL.findall(attributes)).lower() if "=" in attributes else ""
+        labels = _labels(attributes)
         main = name in ("article", "main")
         inner_header = name == "header" and article
+        labels = OWN_HEADER.sub(" ", labels.replace("header", " ") if article else labels)
         aside |= (name in ASIDE and not inner_header) or (bool(WORDS.search(labels)) and not main and name not in ("body", "html"))
+        aside |= bool(attributes) and bool(HIDDEN.search(attributes))
         found = MARK.search(attributes)
         if len(stack) < DEPTH:
             stack.append((name, aside, article or main, name in ("h1", "h2", "h3", "h4", "h5", "h6"), listed or name in ("ul", "ol", "dl", "menu"), found[1] if found else mark))
