@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Parts of speech and feature keys that a form may have.
-UPOS = "NOUN VERB ADJ ADV PRON PROPN NUM DET ADP AUX CCONJ CONJ SCONJ PART INTJ PUNCT SYM X".split()
-FEATURE_KEYS = "Case Gender Number Animacy Aspect Tense Person VerbForm Voice Degree Reflex Polarity PronType NumType Poss Mood Foreign Abbr NameType Variant Style Typo Definite".split()
+UPOS = "ADJ ADP ADV AUX CCONJ DET INTJ NOUN NUM PART PRON PROPN PUNCT SCONJ SYM VERB X".split()
+FEATURE_KEYS = "Gender Animacy Number Case Definite Degree VerbForm Mood Tense Aspect Voice Evident Polarity Person Polite Clusivity PronType NumType Poss Reflex Foreign Abbr Typo".split()
 
 
 def point_lookup(forms: DataFrame, words: DataFrame) -> DataFrame:
