@@ -105,19 +105,20 @@ def plateau(trials: DataFrame, keys: list[str], width: int = 10, flat: float = 0
 
 def parameter_insight(trials: DataFrame, parameters: list[str], n: int = 10) -> DataFrame:
     """parameter, mean among the n best and the n worst trials, direction."""
-    ranked = trials.withColumn("_b", F.row_number().over(Window.orderBy(F.desc("fitness"), "trial"))).withColumn("_w", F.row_number().over(Window.orderBy("fitness", "trial")))
-    ranked = ranked.where((F.col("_b") <= n) | (F.col("_w") <= n))
-    long = ranked.unpivot(["_b", "_w"], parameters, "parameter", "value")
-    means = long.groupBy("parameter").agg(F.round(F.avg(F.when(F.col("_b") <= n, F.col("value"))), 6).alias("top"), F.round(F.avg(F.when(F.col("_w") <= n, F.col("value"))), 6).alias("bottom"))
+    best = trials.orderBy(F.desc("fitness"), "trial").limit(n).withColumn("_top", F.lit(True))
+    worst = trials.orderBy("fitness", "trial").limit(n).withColumn("_top", F.lit(False))
+    long = best.unionByName(worst).unpivot(["_top"], parameters, "parameter", "value")
+    means = long.groupBy("parameter").agg(F.round(F.avg(F.when(F.col("_top"), F.col("value"))), 6).alias("top"), F.round(F.avg(F.when(~F.col("_top"), F.col("value"))), 6).alias("bottom"))
     return means.withColumn("direction", F.when(F.col("top") > F.col("bottom"), "higher").when(F.col("top") < F.col("bottom"), "lower").otherwise("none"))
 
 
 def progression(trials: DataFrame) -> DataFrame:
     """Mean fitness of the first and the last third (at least one trial)."""
-    n = trials.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / 3)).alias("_third"))
-    ranked = trials.withColumn("_a", F.row_number().over(Window.orderBy("trial"))).withColumn("_z", F.row_number().over(Window.orderBy(F.desc("trial"))))
-    ranked = ranked.join(F.broadcast(n))
-    return ranked.agg(F.round(F.avg(F.when(F.col("_a") <= F.col("_third"), F.col("fitness"))), 6).alias("early"), F.round(F.avg(F.when(F.col("_z") <= F.col("_third"), F.col("fitness"))), 6).alias("late"))
+    third = max(1, trials.count() // 3)
+    early = trials.orderBy("trial").limit(third).select("fitness", F.lit(True).alias("_early"))
+    late = trials.orderBy(F.desc("trial")).limit(third).select("fitness", F.lit(False).alias("_early"))
+    mean = lambda test: F.round(F.avg(F.when(test, F.col("fitness"))), 6)
+    return early.unionByName(late).agg(mean(F.col("_early")).alias("early"), mean(~F.col("_early")).alias("late"))
 
 
 def class_weights(rows: DataFrame) -> DataFrame:

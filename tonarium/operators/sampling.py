@@ -15,9 +15,12 @@ def stratified_sample(words: DataFrame, n: int, floor: int = 50, seed: int = 42)
     the rest of n from all others, by digest.  words: form, pos, syllables."""
     rows = words.dropDuplicates(["form", "pos"]).where("syllables >= 2")
     rows = rows.withColumn("bucket", F.least("syllables", F.lit(7))).withColumn("_d", digest("form", "pos", seed=seed))
-    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("bucket").orderBy("_d", "form", "pos")))
-    first = (F.col("_k") > floor).cast("int")
-    return rows.orderBy(first, "_d", "form", "pos").limit(n).drop("_d", "_k")
+    order = ("_d", "form", "pos")
+    # both parts keep few rows of each task before anything is shuffled
+    first = rows.withColumn("_k", F.row_number().over(Window.partitionBy("bucket").orderBy(*order))).where(F.col("_k") <= floor).drop("_k")
+    rest = rows.orderBy(*order).limit(n + 6 * floor).join(first.select("form", "pos"), ["form", "pos"], "left_anti")
+    both = first.withColumn("_r", F.lit(0)).unionByName(rest.withColumn("_r", F.lit(1)))
+    return both.orderBy("_r", *order).limit(n).drop("_d", "_r")
 
 
 def group_split(key: Column, tenths: int = 1) -> Column:
@@ -30,7 +33,8 @@ def weighted_batch(rows: DataFrame, kind: str, shares: dict[str, int], id_col: s
     """So many rows of each kind, by digest."""
     rank = F.row_number().over(Window.partitionBy(kind).orderBy(digest(id_col, seed=seed), id_col))
     quota = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])
-    return rows.withColumn("_k", rank).where(F.col("_k") <= F.coalesce(F.try_element_at(quota, F.col(kind)), F.lit(0))).drop("_k")
+    rows = rows.withColumn("_k", rank).where(F.col("_k") <= max(shares.values()))
+    return rows.where(F.col("_k") <= F.coalesce(F.try_element_at(quota, F.col(kind)), F.lit(0))).drop("_k")
 
 
 def oversample(rows: DataFrame, weight: Column) -> DataFrame:
