@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of, written
+from .common import table, written
 
 #: Labelled rows that are learned from, at most.
 SAMPLE = 10_000
@@ -365,9 +365,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     return Model(lexicons[2], vetoed, weights)
 
 
-def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, score (0 to 1), hits: terms found, as (begin, end, term, edits),
-    in code points of the text."""
+    in code points of the text, and the columns of ``keep`` as they are, so
+    that a filter on the score needs no join."""
     automaton, vetoed, weights, terms = Automaton(model.terms), model.vetoed, model.weights, model.terms
     hit_type = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("term", pa.string()), ("edits", pa.int32())]))
 
@@ -376,7 +377,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                texts = part.column(1).to_pylist()
+                texts = [t or "" for t in part.column(1).to_pylist()]
                 # one run of the automaton over all texts; most have no hit
                 points = np.frombuffer("\n".join(texts).encode("utf-32-le"), np.uint32)
                 starts, ends, states, _ = automaton.match(points, classes) if len(points) else (np.zeros(0, int),) * 3 + (0,)
@@ -389,9 +390,12 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
                         hits[d].append({"begin": begin, "end": end, "term": terms[automaton.term[s]][0], "edits": int(automaton.distance[s])})
                 x = np.array([features(t, automaton, classes, vetoed) if h else [1.0] + [0.0] * (FEATURES - 1) for t, h in zip(texts, hits, strict=True)])
                 y = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(y), pa.array(hits, hit_type)], ["doc_id", "score", "hits"])
+                kept = [part.column(1 if c == text_col else 2 + others.index(c)) for c in keep]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(y), pa.array(hits, hit_type), *kept], ["doc_id", "score", "hits", *keep])
 
-    return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, score double, hits array<struct<begin:bigint,end:bigint,term:string,edits:int>>")
+    others, kinds = [c for c in keep if c != text_col], dict(docs.dtypes)
+    schema = f"doc_id {kinds[id_col]}, score double, hits array<struct<begin:bigint,end:bigint,term:string,edits:int>>" + "".join(f", `{c}` {kinds[c]}" for c in keep)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(others)]).mapInArrow(run, schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
