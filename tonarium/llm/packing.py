@@ -95,6 +95,7 @@ def windows(sizes: list[int], capacity: int) -> list[list[int]]:
 #: Words that need no normalisation but lower case: printable ASCII and the
 #: letters of Latin-1.  Contractions and special tokens go to the library.
 PLAIN = re.compile("[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 PART = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
 
@@ -181,17 +182,28 @@ class Words:
         """Put the ids of new words into the cache."""
         if len(self.parts) > self.limit:
             self.parts.clear()
-        split: dict[str, list[str]] = {}
+        if not self.fast:
+            self.words.update((w, self.whole(w)) for w in words)
+            return
+        letters, ended, split = [], [], {}
         for w in words:
-            if self.fast and PLAIN.fullmatch(w) and "<|" not in w:
+            if w.isascii() and w.isalpha() or LETTERS.fullmatch(w):
+                letters.append(w)
+            elif w[-1] in ".," and LETTERS.fullmatch(w, 0, len(w) - 1):
+                ended.append(w)
+            elif PLAIN.fullmatch(w) and "<|" not in w:
                 split[w] = PART.findall(w.lower())
             else:
                 self.words[w] = self.whole(w)
-        new = list({x for parts in split.values() for x in parts}.difference(self.parts))
+        low, heads = [w.lower() for w in letters], [w[:-1].lower() for w in ended]
+        new = {".", ",", *low, *heads}.union(*split.values()).difference(self.parts)
         if new:
             self.parts.update(zip(new, self.merges([x.encode() for x in new]), strict=True))
+        ids = self.parts.__getitem__
+        self.words.update(zip(letters, map(ids, low), strict=True))
+        self.words.update(zip(ended, [ids(h) + ids(w[-1]) for w, h in zip(ended, heads, strict=True)], strict=True))
         for w, parts in split.items():
-            self.words[w] = b"".join(map(self.parts.__getitem__, parts))
+            self.words[w] = b"".join(map(ids, parts))
 
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
         """Each text's ids and the end id, as little-endian unsigned 32-bit numbers."""
