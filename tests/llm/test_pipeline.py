@@ -1,5 +1,7 @@
+from collections import Counter
+
 import corpus_pipeline
-from tonarium.llm import simhash, toxicity
+from tonarium.llm import mixing, simhash, toxicity
 
 
 def test_stages_by_hand(spark, tmp_path):
@@ -34,3 +36,14 @@ def test_stages_by_hand(spark, tmp_path):
     assert kept.count() > 0
     assert corpus_pipeline.run(spark, sf_dir).count() == kept.count()
     assert toxicity.THRESHOLD == 0.3
+
+
+def test_mix_holds_what_is_planned_for_null_and_repeated_ids(spark):
+    text = lambda k: " ".join(f"t{k}w{j}" for j in range(5 + k % 7))
+    rows = [(None if k % 3 == 0 else k // 2, text(k), "en", f"s{k % 3}" if k % 5 else None, k) for k in range(60)]
+    docs = corpus_pipeline.common.written(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "mix-test")
+    got = Counter(tuple(r) for r in corpus_pipeline.mixed(spark, docs, "").collect())
+    plan = mixing.plan_mix(docs, keep=tuple(corpus_pipeline.COLUMNS)).collect()
+    due = Counter({tuple(r.kept): sum(c.words * 2 > r["size"] for c in r.copies) for r in plan})
+    assert got == +due and sum(n for row, n in got.items() if row[0] is None) > 10
+    assert sum(r.taken for r in plan) == sum(r.taken for r in mixing.plan_mix(docs).collect())

@@ -63,21 +63,24 @@ def time_of(share: Column, a: Column, b: Column) -> Column:
     return F.when(below > 0, share * (a + b) / below).otherwise(F.lit(0.0))
 
 
-def plan_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, schedule=SCHEDULE, share: float = SHARE, cap: int = CAP) -> DataFrame:
+def plan_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, schedule=SCHEDULE, share: float = SHARE, cap: int = CAP, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target, taken (words, repeats counted),
     copies (array of training position and words, one for each time that the
-    document is taken; the last document of a source may be taken in part)."""
+    document is taken; the last document of a source may be taken in part),
+    and kept (a struct of the columns in keep, if any).  Kept columns also order
+    rows of one doc_id, and aren't stored on the way: docs is read three times."""
+    kept = [F.struct(*keep).alias("kept")] if keep else []
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(text_of(text_col)).alias("size"))
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(text_of(text_col)).alias("size"), *kept)
     sized = sized.select("*", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("_key"), order.alias("_order"))
-    sized = written(sized, "mix-sizes")
+    sized = sized if keep else written(sized, "mix-sizes")
     targets = written(source_targets(sized, weights, schedule, share, cap), "mix-targets")
     rank = F.conv(F.substring("_order", 1, 8), 16, 10).cast("long")
     placed = sized.join(targets, "_key").withColumn("_bucket", F.floor(rank * F.col("_buckets") / 4294967296.0).cast("long"))
     sums = placed.groupBy("_key", "_bucket").agg(F.sum("size").alias("_sum"))
     sums = sums.select("_key", "_bucket", (F.sum("_sum").over(Window.partitionBy("_key").orderBy("_bucket")) - F.col("_sum")).alias("_offset"))
     sums = written(sums, "mix-offsets")
-    within = Window.partitionBy("_key", "_bucket").orderBy("_order", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("_key", "_bucket").orderBy("_order", "doc_id", *([F.xxhash64("kept")] if keep else [])).rowsBetween(Window.unboundedPreceding, 0)
     placed = placed.withColumn("_before", F.sum("size").over(within) - F.col("size"))
     placed = placed.join(sums, ["_key", "_bucket"]).withColumn("_begin", F.col("_offset") + F.col("_before"))
     copy = lambda e: F.struct(
@@ -86,7 +89,7 @@ def plan_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     )
     due = F.filter(F.sequence(F.lit(0), F.lit(cap - 1)), lambda e: (F.col("size") > 0) & (F.col("_begin") + e * F.col("source_size") < F.col("_quota")))
     placed = placed.withColumn("copies", F.transform(due, copy))
-    return placed.select("doc_id", "size", "source_size", "target", F.aggregate("copies", F.lit(0).cast("long"), lambda n, c: n + c["words"]).alias("taken"), "copies")
+    return placed.select("doc_id", "size", "source_size", "target", F.aggregate("copies", F.lit(0).cast("long"), lambda n, c: n + c["words"]).alias("taken"), "copies", *(["kept"] if keep else []))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
