@@ -45,3 +45,14 @@ def test_frame(spark):
     got = htmltext.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert sorted((str(r.page_id), r.text) for r in got) == [("1", PAGES[0][1]), ("1", PAGES[0][1]), ("2", ""), ("None", "")]
     assert htmltext.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+@pytest.mark.parametrize("depth", [10, 600, 50_000])
+def test_containers_and_closing_tags_at_any_depth(depth):
+    deep = "<div>" * depth + '<div class="ad"><p>Buy now, it is a very good thing to buy.</p></div>' + "</div>" * depth
+    page = f"<body><article><p>Good words.</p>{deep}<p>Text after it.</p></article><footer><p>Made by hand.</p></footer></body>"
+    assert text(page) == "Good words. Text after it."
+    rows = "<ul>" + "<li><div>x" * depth + '<nav><a href="1">Home</a></nav></ul><p>End of the text.</p>'
+    found = htmltext.blocks(f"<article>{rows}</article>" + "</p>" * depth)
+    assert [b.aside for b in found if b.text in ("Home", "End of the text.")] == [True, False]
+    assert found[-1].article and not found[-1].listed

@@ -47,8 +47,6 @@ OWN_HEADER = re.compile(r"(?:article|post|entry|story|content)[-_ ]*header")
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:$|[\s=/])|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 MARK = re.compile(r"\bdata-text\s*=\s*\"([01])\"")
 NAMES = ("words", "density", "before_words", "before_density", "after_words", "after_density", "aside", "article", "heading", "list", "outside")
-#: Depth of open elements that is followed; deeper ones count as their parent.
-DEPTH = 512
 
 
 class Block:
@@ -75,6 +73,8 @@ def blocks(page: str) -> list[Block]:
     linked = 0
     # name, in an aside container, in an article, in a heading, in a list, mark
     stack: list[tuple] = [("", False, False, False, False, None)]
+    # open elements by name, so that a stray closing tag searches nothing
+    opened: dict[str, int] = {}
     links = 0
 
     def close() -> None:
@@ -129,13 +129,15 @@ def blocks(page: str) -> list[Block]:
             continue
         if closing:
             links = 0
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
+            while opened.get(name):
+                last = stack.pop()[0]
+                opened[last] -= 1
+                if last == name:
                     break
             continue
         if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack[-1][0] == name:
             stack.pop()
+            opened[name] -= 1
         _, aside, article, heading, listed, mark = stack[-1]
         attributes = m[3] or ""
         labels = _labels(attributes)
@@ -145,8 +147,8 @@ def blocks(page: str) -> list[Block]:
         aside |= (name in ASIDE and not inner_header) or (bool(WORDS.search(labels)) and not main and name not in ("body", "html"))
         aside |= bool(attributes) and bool(HIDDEN.search(attributes))
         found = MARK.search(attributes)
-        if len(stack) < DEPTH:
-            stack.append((name, aside, article or main, name in ("h1", "h2", "h3", "h4", "h5", "h6"), listed or name in ("ul", "ol", "dl", "menu"), found[1] if found else mark))
+        opened[name] = opened.get(name, 0) + 1
+        stack.append((name, aside, article or main, name in ("h1", "h2", "h3", "h4", "h5", "h6"), listed or name in ("ul", "ol", "dl", "menu"), found[1] if found else mark))
     if raw is None:
         rest = page[at:]
         put(rest if not re.match(r"</?[a-zA-Z!]", rest) else "")
