@@ -1,4 +1,7 @@
 import random
+import struct
+
+import numpy as np
 
 from tonarium.llm import media
 
@@ -43,3 +46,31 @@ def test_columns(spark):
     assert media.decode_transport_stream(media.encode_transport_stream(empty)).collect() == []
     none = spark.createDataFrame([(1, 2, None)], "doc_id long, n_bytes long, media binary")
     assert media.decode_transport_stream(none).first().payload is None
+
+
+def table_packets(pid, table_id, number, body):
+    """A section over as many packets as it needs."""
+    whole = struct.pack(">BHHBBB", table_id, 0xB000 | len(body) + 9, number, 0xC1, 0, 0) + body
+    data = b"\0" + whole + struct.pack(">I", media.crc_mpeg(whole))
+    cuts = [data[k : k + 184] for k in range(0, len(data), 184)]
+    return b"".join((struct.pack(">BHB", 0x47, (0x4000 if k == 0 else 0) | pid, 0x10 | k & 15) + c).ljust(188, b"\xff") for k, c in enumerate(cuts))
+
+
+def test_long_tables_and_several_streams():
+    rng = random.Random(3)
+    data = {pid: rng.randbytes(n) for pid, n in ((0x201, 40_000), (0x202, 500), (0x301, 70_000))}
+    packets = []
+    for pid, payload in data.items():
+        rows = np.frombuffer(media.mux(payload, b""), np.uint8).reshape(-1, 188).copy()
+        rows[:, 1], rows[:, 2] = rows[:, 1] & 0xE0 | pid >> 8, pid & 0xFF
+        packets.append(rows.tobytes())
+    entry = lambda pid, info: struct.pack(">BHH", 6, 0xE000 | pid, 0xF000 | len(info)) + info
+    pat = table_packets(0, 0, 1, struct.pack(">HHHHHH", 0, 0xE010, 1, 0xE200, 2, 0xE300))
+    one = table_packets(0x200, 2, 1, struct.pack(">HH", 0xE201, 0xF000) + entry(0x201, b"x" * 300) + entry(0x202, b""))
+    two = table_packets(0x300, 2, 2, struct.pack(">HH", 0xE301, 0xF000 | 200) + b"y" * 200 + entry(0x301, b""))
+    got, units, facts = media.demux(pat + one + two + pat + b"".join(packets), {})
+    assert got == b"".join(data.values()) and {u[4] for u in units} == set(data)
+    assert all(got[u[1] : u[1] + u[2]] in data[u[4]] for u in units) and sum(u[2] for u in units) == len(got)
+    assert facts["pid"] == 0x201 and facts["cc_errors"] == facts["sync_errors"] == facts["table_errors"] == 0
+    got, _, facts = media.demux(pat + one[:188] + two + b"".join(packets), {})
+    assert got == data[0x301] and facts["table_errors"] == 1

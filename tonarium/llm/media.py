@@ -6,7 +6,8 @@ unit, cut into transport packets of 188 bytes.  The first transport packet of a
 unit carries the random-access flag and a clock reference; elementary packets
 carry a presentation timestamp of the 90 kHz clock.
 
-The reader follows the tables to the elementary stream, checks sync bytes and
+The reader follows the tables, whose sections may span packets, to the
+elementary streams of all programs, counts unreadable tables, checks sync bytes and
 continuity counters, reassembles the elementary packets, and stores each unit's
 timestamp, its place in the payload and whether a decoder can start there.
 
@@ -104,49 +105,110 @@ def mux(payload: bytes, prologue: bytes, unit: int = UNIT) -> bytes:
     return b"".join(parts)
 
 
-def section(packet: np.ndarray) -> bytes:
-    """The table section in a packet; empty if its checksum is wrong."""
-    raw = packet.tobytes()
-    at = 4 + (1 + raw[4] if raw[3] & 0x20 else 0)
-    at += 1 + raw[at]
-    end = at + 3 + (struct.unpack_from(">H", raw, at + 1)[0] & 0x0FFF)
-    return raw[at : end - 4] if end <= PACKET and crc_mpeg(raw[at:end]) == 0 else b""
-
-
-def demux(media: bytes, known: dict[bytes, bytes]) -> tuple[bytes, list[tuple[int, int, int, bool]], dict[str, int]]:
-    """Payload, units (pts, offset, length, random access), and counts.
-
-    known: sections by packet, so that a table that many streams share is
+def sections(packets: np.ndarray) -> tuple[list[bytes], int]:
+    """The table sections in the packets of one PID, without their checksums,
+    and how many were cut off or have a wrong checksum."""
+    out: list[bytes] = []
+    errors, held, before = 0, b"", b""
+
+    def drain() -> None:
+        nonlocal errors, held
+        while len(held) >= 3 and held[0] != 0xFF:
+            end = 3 + (struct.unpack_from(">H", held, 1)[0] & 0x0FFF)
+            if len(held) < end:
+                return
+            if end >= 12 and crc_mpeg(held[:end]) == 0:
+                out.append(held[: end - 4])
+            else:
+                errors += 1
+            held = held[end:]
+        if held[:1] == b"\xff":  # stuffing
+            held = b""
+
+    for packet in packets:
+        raw = packet.tobytes()
+        if raw == before or not raw[3] & 0x10:  # sent twice, or without payload
+            continue
+        if held and (raw[3] - before[3]) & 0x0F != 1:
+            errors, held = errors + 1, b""
+        before = raw
+        data = raw[4 + (1 + raw[4] if raw[3] & 0x20 else 0) :]
+        if raw[1] & 0x40:
+            rest = 1 + data[0] if data else 0
+            if held:
+                held += data[1:rest]
+                drain()
+                errors += bool(held)
+            held = data[rest:]
+        elif held:
+            held += data
+        drain()
+    return out, errors + bool(held)
+
+
+def demux(media: bytes, known: dict[bytes, tuple[list[bytes], int]]) -> tuple[bytes, list[tuple[int, int, int, bool, int]], dict[str, int]]:
+    """Payload, units (pts, offset, length, random access, pid), and counts.
+
+    The payload holds all elementary streams of all programs, one after the
+    other, in the order of the tables; pid and type are those of the first.
+
+    known: sections by packets, so that a table that many streams share is
     checked once; it is bounded by the caller's use for one batch.
     """
-    facts = {"packets": len(media) // PACKET, "pid": -1, "type": -1, "cc_errors": 0, "sync_errors": 0}
+    facts = {"packets": len(media) // PACKET, "pid": -1, "type": -1, "cc_errors": 0, "sync_errors": 0, "table_errors": 0}
     rows = np.frombuffer(media, np.uint8, facts["packets"] * PACKET).reshape(-1, PACKET)
     good = rows[:, 0] == 0x47 if len(rows) else np.zeros(0, bool)
     facts["sync_errors"] = int((~good).sum()) + (len(media) % PACKET > 0)
     rows = rows[good]
     pids = (rows[:, 1] & 0x1F).astype(np.int32) << 8 | rows[:, 2]
 
-    def body(pid: int) -> bytes:
-        found = np.flatnonzero(pids == pid)
-        if not len(found):
-            return b""
-        key = rows[found[0]].tobytes()
+    def current(pid: int, table_id: int) -> list[bytes]:
+        """Sections of a table that are in force."""
+        found = rows[pids == pid]
+        key = found.tobytes()
         if key not in known:
-            known[key] = section(rows[found[0]])
-        return known[key]
-
-    pat = body(0)
-    pmt_pid = struct.unpack_from(">H", pat, 10)[0] & 0x1FFF if len(pat) >= 12 else -1
-    pmt = body(pmt_pid) if pmt_pid >= 0 else b""
-    if len(pmt) >= 12:
-        at = 12 + (struct.unpack_from(">H", pmt, 10)[0] & 0x0FFF)
-        if len(pmt) >= at + 5:
-            facts["type"], facts["pid"] = pmt[at], struct.unpack_from(">H", pmt, at + 1)[0] & 0x1FFF
-    rows = rows[pids == facts["pid"]]
+            known[key] = sections(found)
+        if pid not in seen:
+            seen.add(pid)
+            facts["table_errors"] += known[key][1]
+        return [s for s in known[key][0] if s[0] == table_id and s[5] & 1]
+
+    seen: set[int] = set()
+    pat = current(0, 0x00)
+    facts["table_errors"] += bool(len(media)) and not pat and not facts["table_errors"]
+    programs = dict.fromkeys(struct.unpack_from(">HH", s, at) for s in pat for at in range(8, len(s) - 3, 4))
+    streams: dict[int, int] = {}
+    for number, pid in programs:
+        if number == 0:  # the network's table, no program
+            continue
+        errors = facts["table_errors"]
+        pmt = [s for s in current(pid & 0x1FFF, 0x02) if struct.unpack_from(">H", s, 3)[0] == number]
+        facts["table_errors"] += not pmt and facts["table_errors"] == errors
+        for s in pmt:
+            at = 12 + (struct.unpack_from(">H", s, 10)[0] & 0x0FFF) if len(s) >= 12 else len(s)
+            while at + 5 <= len(s):
+                streams.setdefault(struct.unpack_from(">H", s, at + 1)[0] & 0x1FFF, s[at])
+                at += 5 + (struct.unpack_from(">H", s, at + 3)[0] & 0x0FFF)
+    parts: list[bytes] = []
+    units: list[tuple[int, int, int, bool, int]] = []
+    at = 0
+    for pid, kind in streams.items():
+        if facts["pid"] < 0:
+            facts["pid"], facts["type"] = pid, kind
+        own, found, errors = elementary(rows[pids == pid])
+        facts["cc_errors"] += errors
+        parts.append(own)
+        units += [(pts, at + offset, n, start, pid) for pts, offset, n, start in found]
+        at += len(own)
+    return b"".join(parts), units, facts
+
+
+def elementary(rows: np.ndarray) -> tuple[bytes, list[tuple[int, int, int, bool]], int]:
+    """Payload and units of one stream's packets, and its continuity errors."""
     if not len(rows):
-        return b"", [], facts
+        return b"", [], 0
     counters = rows[:, 3] & 0x0F
-    facts["cc_errors"] = int(((counters[1:] - counters[:-1] & 0x0F) != 1).sum())
+    cc_errors = int(((counters[1:] - counters[:-1] & 0x0F) != 1).sum())
     adapted = rows[:, 3] & 0x20 > 0
     offset = np.where(adapted, 5 + rows[:, 4].astype(np.int32), 4)
     starts = rows[:, 1] & 0x40 > 0
@@ -166,7 +228,7 @@ def demux(media: bytes, known: dict[bytes, bytes]) -> tuple[bytes, list[tuple[in
         units.append((pts, at, len(data), start))
         parts.append(data)
         at += len(data)
-    return b"".join(parts), units, facts
+    return b"".join(parts), units, cc_errors
 
 
 def padded(text: bytes, multiple: int) -> bytes:
@@ -189,28 +251,28 @@ def encode_transport_stream(docs: DataFrame, *, id_col: str = "doc_id", text_col
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-UNITS = "array<struct<pts:bigint,offset:bigint,length:bigint,random_access:boolean>>"
+UNITS = "array<struct<pts:bigint,offset:bigint,length:bigint,random_access:boolean,pid:bigint>>"
 
 
 def decode_transport_stream(streams: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media and what is read from it: payload, units
-    (timestamp, place, length, random access), packets, pid, stream_type,
-    cc_errors, sync_errors."""
-    units_type = pa.list_(pa.struct([("pts", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("random_access", pa.bool_())]))
+    (timestamp, place, length, random access, pid), packets, pid, stream_type,
+    cc_errors, sync_errors, table_errors."""
+    units_type = pa.list_(pa.struct([("pts", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("random_access", pa.bool_()), ("pid", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, bytes] = {}
+        known: dict[bytes, tuple[list[bytes], int]] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 if len(known) > 1000:
                     known.clear()
                 read = [demux(m, known) if m is not None else (None, None, {}) for m in part.column(2).to_pylist()]
-                units = [u if u is None else [{"pts": p, "offset": o, "length": n, "random_access": r} for p, o, n, r in u] for _, u, _ in read]
-                facts = [pa.array([f.get(k) for _, _, f in read], pa.int64()) for k in ("packets", "pid", "type", "cc_errors", "sync_errors")]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([p for p, _, _ in read], pa.binary()), pa.array(units, units_type), *facts], ["doc_id", "n_bytes", "media", "payload", "units", "packets", "pid", "stream_type", "cc_errors", "sync_errors"])
+                units = [u if u is None else [{"pts": p, "offset": o, "length": n, "random_access": r, "pid": i} for p, o, n, r, i in u] for _, u, _ in read]
+                facts = [pa.array([f.get(k) for _, _, f in read], pa.int64()) for k in ("packets", "pid", "type", "cc_errors", "sync_errors", "table_errors")]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([p for p, _, _ in read], pa.binary()), pa.array(units, units_type), *facts], ["doc_id", "n_bytes", "media", "payload", "units", "packets", "pid", "stream_type", "cc_errors", "sync_errors", "table_errors"])
 
-    return streams.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id long, n_bytes long, media binary, payload binary, units {UNITS}, packets long, pid long, stream_type long, cc_errors long, sync_errors long")
+    return streams.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id long, n_bytes long, media binary, payload binary, units {UNITS}, packets long, pid long, stream_type long, cc_errors long, sync_errors long, table_errors long")
 
 
 def op2_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
