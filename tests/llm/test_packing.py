@@ -64,3 +64,36 @@ def test_pieces(spark):
 
 def test_empty_table(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), packing.tokenizer_path()).collect() == []
+
+
+def test_all_documents_equal_the_library():
+    import os
+
+    import pyarrow.parquet as pq
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no tables")
+    texts = [t or "" for t in pq.read_table(path).column("text").to_pylist()]
+    words = packing.Words(packing.tokenizer_path(), limit=5000)  # forgets on the way
+    got = [x for at in range(0, len(texts), 100) for x in words.encode(texts[at : at + 100], b"")]
+    assert got == [words.whole(t) for t in texts]
+
+
+def test_long_texts_are_cut_at_white_space(monkeypatch):
+    monkeypatch.setattr(packing, "CHUNK", 50)
+    words = packing.Words(packing.tokenizer_path())
+    texts = ["", "tree house " * 200, "x" * 300 + " y", "l'été " * 80, "no", "", "antidisestablishmentarianism 12,345.67 " * 9, "donaudampfschifffahrtsgesellschaft"]
+    assert words.encode(texts, b"") == [words.whole(t) for t in texts]
+
+
+def test_many_empty_texts_wait_for_a_whole_window():
+    import time
+
+    import pyarrow as pa
+
+    run = packing._pack(packing.CAPACITY, packing.tokenizer_path(), packing.END_ID, packing.BATCH)
+    began = time.process_time()
+    out = pa.Table.from_batches(run([pa.RecordBatch.from_pydict({"doc_id": list(range(16_384)), "text": [""] * 16_384})]))
+    assert out.num_rows == 16_384 and time.process_time() - began < 6
+    assert len(set(out["sequence_id"].to_pylist())) <= 8

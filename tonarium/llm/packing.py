@@ -24,6 +24,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,12 +36,16 @@ from .common import table, text_of
 
 CAPACITY = 4096
 END_ID = 2
-#: Remainders that are differenced at once: bounds a task's memory.
+#: Remainders that are differenced at once, or as many more as a window takes:
+#: bounds a task's memory.
 BATCH = 1024
-#: Words whose ids a task remembers at most.
+#: One part in ROOM of a window is left free for uneven loads.
+ROOM = 96
+#: Parts of words whose ids a task remembers, at most (about 60 bytes each).
 WORD_CACHE = 500_000
-#: Python's white space that the tokenizer doesn't take for white space.
-ODD_SPACE = "\x1c\x1d\x1e\x1f"
+#: Code points that are looked at at once.
+CHUNK = 1 << 20
+SPACES = re.compile("[ \t-\r]")
 NONE = np.iinfo(np.int64).max
 
 
@@ -82,38 +87,52 @@ def karmarkar_karp(sizes: list[int], k: int) -> list[list[int]]:
     return out
 
 
-def windows(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Deal items of at most capacity into as few windows as differencing allows."""
-    k = max(1, -(-sum(sizes) // capacity))
+def windows(sizes: list[int], capacity: int, k: int = 1) -> list[list[int]]:
+    """Deal items of at most capacity into as few windows as differencing allows,
+    k at least."""
+    k = max(k, -(-sum(sizes) // capacity))
     while True:
         dealt = karmarkar_karp(sizes, k)
-        if max((sum(sizes[i] for i in x) for x in dealt), default=0) <= capacity:
+        worst = max((sum(sizes[i] for i in x) for x in dealt), default=0)
+        if worst <= capacity:
             return [x for x in dealt if x]
-        k += 1
-
-
-#: Words that need no normalisation but lower case: printable ASCII and the
-#: letters of Latin-1.  Contractions and special tokens go to the library.
-PLAIN = re.compile("[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-PART = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+        k += max(1, k * (worst - capacity) // capacity)
+
+
+#: Characters that need no normalisation but lower case: printable ASCII and
+#: the letters of Latin-1.  Words with others, contractions and special tokens
+#: go to the library.
+SPACE, LETTER, DIGIT, SIGN, ODD = range(5)
+KIND = np.full(257, ODD, np.uint8)
+KIND[9:14] = KIND[32] = SPACE
+KIND[33:127] = SIGN
+KIND[48:58] = DIGIT
+KIND[[*range(65, 91), *range(97, 123), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]] = LETTER
+KIND[ord("'")] = ODD
+LOWER = np.arange(257, dtype=np.uint16)
+LOWER[[*range(65, 91), *range(0xC0, 0xD7), *range(0xD8, 0xDF)]] += 32
+#: The first n bytes of a little-endian number.
+HEAD = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+SHORT = 16
 
 
 class Words:
-    """A tokenizer that knows each distinct word's ids once it has met it.
+    """A tokenizer that merges each distinct part of a word once.
 
     The tokenizer drops white space and never joins across it, so a text's ids
-    are the ids of its words.  The library itself encodes any word that needs
-    its normaliser; plain words go through merges(), which applies the file's
-    own merge list to many words at once (tests hold it against the library).
+    are the ids of its words, and a plain word's those of its parts: runs of
+    letters, single digits, runs of signs.  A chunk's parts are found, reduced
+    to distinct ones and looked up as arrays; those of up to SHORT letters are
+    told apart by two numbers that hold their bytes.  New ones go through
+    merges(), which applies the file's own merge list to many parts at once
+    (tests hold it against the library).  The library itself encodes any word
+    that needs its normaliser.
     """
 
     def __init__(self, path: str, limit: int = WORD_CACHE):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
         spec = json.loads(self.tokenizer.to_str())
         model, vocab = spec["model"], spec["model"].get("vocab", {})
         kinds = [x.get("type") for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", ())]
@@ -128,6 +147,17 @@ class Words:
             made = np.array([vocab[x + y] for x, y in pairs], np.int64)
             order = np.argsort(keys)
             self.size, self.keys, self.ranks, self.made = len(vocab), keys[order], order, made
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the memory of parts."""
+        none = np.zeros(0, np.uint64)
+        #: hash, first and second eight bytes of known parts, sorted by hash
+        self.hash, self.first, self.second = none, none, none
+        #: where their ids begin, and how many there are
+        self.at, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+        self.odd: dict[str, np.ndarray] = {}
 
     def rank(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """The place of each pair in the merge list; NONE if it isn't there."""
@@ -135,9 +165,11 @@ class Words:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], NONE)
 
-    def merges(self, parts: list[bytes]) -> list[bytes]:
-        """The ids of each part: the earliest merge of each, leftmost first,
-        until none applies."""
+    def merges(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the parts, one after the other, and how many each has: the
+        earliest merge of each part, leftmost first, until none applies."""
+        if not parts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         raw = np.frombuffer(b"".join(parts), np.uint8)
         sizes = np.array([len(x) for x in parts])
         ends = np.cumsum(sizes) - 1
@@ -167,54 +199,103 @@ class Words:
             for i in (moved, moved[moved > 0] - 1):
                 j = np.minimum(i + 1, len(ids) - 1)
                 ranks[i] = np.where((i < j) & (word[i] == word[j]), self.rank(ids[i], ids[j]), NONE)
-        if not done_ids:
-            return []
         word = np.concatenate(done_word)
         order = np.argsort(word, kind="stable")
-        out = np.concatenate(done_ids)[order].astype("<u4").tobytes()
-        cuts = (np.cumsum(np.bincount(word, minlength=len(parts))) * 4).tolist()
-        return [out[i:j] for i, j in zip([0, *cuts[:-1]], cuts, strict=True)]
+        return np.concatenate(done_ids)[order].astype(np.uint32), np.bincount(word, minlength=len(parts))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        """Put the ids of new words into the cache."""
-        if len(self.parts) > self.limit:
-            self.parts.clear()
-        if not self.fast:
-            self.words.update((w, self.whole(w)) for w in words)
-            return
-        letters, ended, split = [], [], {}
-        for w in words:
-            if w.isascii() and w.isalpha() or LETTERS.fullmatch(w):
-                letters.append(w)
-            elif w[-1] in ".," and LETTERS.fullmatch(w, 0, len(w) - 1):
-                ended.append(w)
-            elif PLAIN.fullmatch(w) and "<|" not in w:
-                split[w] = PART.findall(w.lower())
-            else:
-                self.words[w] = self.whole(w)
-        low, heads = [w.lower() for w in letters], [w[:-1].lower() for w in ended]
-        new = {".", ",", *low, *heads}.union(*split.values()).difference(self.parts)
-        if new:
-            self.parts.update(zip(new, self.merges([x.encode() for x in new]), strict=True))
-        ids = self.parts.__getitem__
-        self.words.update(zip(letters, map(ids, low), strict=True))
-        self.words.update(zip(ended, [ids(h) + ids(w[-1]) for w, h in zip(ended, heads, strict=True)], strict=True))
-        for w, parts in split.items():
-            self.words[w] = b"".join(map(ids, parts))
+    def known(self, key: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The place of each part among those remembered, -1 for new ones."""
+        if not len(self.hash):
+            return np.full(len(key), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.hash, key), len(self.hash) - 1)
+        return np.where((self.hash[at] == key) & (self.first[at] == first) & (self.second[at] == second), at, -1)
+
+    def learn(self, key: np.ndarray, first: np.ndarray, second: np.ndarray) -> None:
+        """Remember the ids of new parts: of one hash only the first."""
+        place = np.searchsorted(self.hash, key)
+        if len(self.hash):
+            keep = self.hash[np.minimum(place, len(self.hash) - 1)] != key
+            place, key, first, second = place[keep], key[keep], first[keep], second[keep]
+        raw = np.column_stack([first, second]).astype("<u8").view(f"S{SHORT}").ravel().tolist()
+        ids, n = self.merges([x.decode("latin-1").encode() for x in raw])
+        at = len(self.ids) + np.cumsum(n) - n
+        self.ids = np.concatenate([self.ids, ids])
+        known = (self.hash, self.first, self.second, self.at, self.n)
+        self.hash, self.first, self.second, self.at, self.n = (np.insert(x, place, y) for x, y in zip(known, (key, first, second, at, n), strict=True))
+
+    def chunk(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of a text, and for each of its parts where it starts (in code
+        points) and how many ids it has."""
+        points = np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 256)
+        kind = KIND[points]
+        kind[:-1][(points[:-1] == ord("<")) & (points[1:] == ord("|"))] = ODD
+        edge = np.flatnonzero(np.diff(np.r_[True, kind == SPACE, True].astype(np.int8)))
+        begin, end = edge[::2], edge[1::2]
+        if not len(begin):
+            return np.zeros(0, np.uint32), begin, begin
+        odd = np.logical_or.reduceat(np.r_[kind == ODD, False], np.column_stack([begin, end]).ravel())[::2]
+        if odd.any():  # an odd word is one part
+            mark = np.zeros(len(kind) + 1, np.int8)
+            mark[begin[odd]], mark[end[odd]] = 1, -1
+            kind[np.cumsum(mark[:-1]) > 0] = ODD
+        before = np.r_[np.uint8(SPACE), kind[:-1]]
+        starts = np.flatnonzero((kind != SPACE) & ((kind != before) | (kind == DIGIT)))
+        sizes = np.minimum(np.r_[starts[1:], len(kind)], end[np.searchsorted(end, starts, "right")]) - starts
+        low = np.zeros(len(points) + SHORT, np.uint8)
+        low[: len(points)] = LOWER[points]
+        words = np.ndarray((len(low) - 7,), "<u8", low, 0, (1,))  # eight bytes from each place
+        first, second = words[starts] & HEAD[np.minimum(sizes, 8)], words[starts + 8] & HEAD[np.clip(sizes - 8, 0, 8)]
+        short = (sizes <= SHORT) & (kind[starts] != ODD)
+        key = first * np.uint64(0x9E3779B97F4A7C15) ^ second * np.uint64(0xD6E8FEB86659FD93)
+        key ^= key >> np.uint64(32)
+        key[~short] = 0
+        distinct, some, which = np.unique(key, return_index=True, return_inverse=True)
+        new = (self.known(distinct, first[some], second[some]) < 0) & short[some]
+        self.learn(distinct[new], first[some[new]], second[some[new]])
+        place = self.known(distinct, first[some], second[some])[which]
+        # parts of one hash but other bytes are not what was looked up
+        rest = np.flatnonzero(~short | (place < 0) | (first != first[some][which]) | (second != second[some][which]))
+        place[rest] = 0
+        at, n = (self.at[place], self.n[place]) if len(self.at) else (np.zeros(len(place), np.int64), np.zeros(len(place), np.int64))
+        ids = self.ids
+        if len(rest):
+            found = []
+            for i, j in zip(starts[rest].tolist(), (starts + sizes)[rest].tolist(), strict=True):
+                word = text[i:j]
+                if word not in self.odd:
+                    self.odd[word] = np.frombuffer(self.whole(word), np.uint32)
+                found.append(self.odd[word])
+            n[rest] = [len(x) for x in found]
+            at[rest] = len(ids) + np.cumsum(n[rest]) - n[rest]
+            ids = np.concatenate([ids, *found])
+        total = np.cumsum(n)
+        return ids[np.repeat(at - total + n, n) + np.arange(total[-1])], starts, n
 
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
         """Each text's ids and the end id, as little-endian unsigned 32-bit numbers."""
-        if len(self.words) > self.limit:
-            self.words.clear()
-        split = [None if any(c in t for c in ODD_SPACE) else t.split() for t in texts]
-        seen: set[str] = set()
-        for words in split:
-            seen.update(words or ())
-        self.learn(seen.difference(self.words))
-        return [(self.whole(t) if words is None else b"".join(map(self.words.__getitem__, words))) + end for t, words in zip(texts, split, strict=True)]
+        if not self.fast:
+            return [self.whole(t) + end for t in texts]
+        if len(self.hash) > self.limit or len(self.odd) > self.limit:
+            self.forget()
+        text = "\n".join(texts)
+        cuts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        flat, counts = [], np.zeros(len(texts), np.int64)
+        at = 0
+        while at < len(text):
+            stop = min(len(text), at + CHUNK)
+            if stop < len(text):  # cut at white space, so that no word is cut
+                gap = SPACES.search(text, stop)
+                stop = gap.start() if gap else len(text)
+            ids, starts, n = self.chunk(text[at:stop])
+            flat.append(ids.astype("<u4", copy=False).tobytes())
+            if len(starts):
+                counts += np.bincount(np.searchsorted(cuts, starts + at, "right") - 1, n, len(texts)).astype(np.int64)
+            at = stop
+        ids, cuts = b"".join(flat), (np.cumsum(np.r_[0, counts]) * 4).tolist()
+        return [ids[i:j] + end for i, j in zip(cuts, cuts[1:], strict=False)]
 
 
 def _pack(capacity: int, path: str, end_id: int, batch_pieces: int):
@@ -229,6 +310,7 @@ def _pack(capacity: int, path: str, end_id: int, batch_pieces: int):
         sequence = (context.partitionId() if context else 0) << 40
         rows: list[tuple] = []
         pending: list[tuple] = []  # (doc_id, start, ids, doc_tokens)
+        held = 0  # their ids
 
         def emit(pieces: list[tuple]) -> None:
             nonlocal sequence
@@ -240,26 +322,27 @@ def _pack(capacity: int, path: str, end_id: int, batch_pieces: int):
             sequence += 1
 
         def flush(last: bool) -> None:
-            nonlocal pending
-            total = sum(len(x[2]) // 4 for x in pending)
+            nonlocal pending, held
+            total = held
             k = total // capacity
-            goal = k * (capacity - capacity // 80) if k else 0  # room for uneven loads
-            pending.sort(key=lambda x: -len(x[2]))
+            goal = k * (capacity - capacity // ROOM)  # room for uneven loads
+            pending.sort(key=lambda x: len(x[2]))
             rest = []
-            while total > goal:
-                x = pending.pop()
-                n, over = len(x[2]) // 4, total - goal
+            while total > goal:  # the least piece that is as long as what is over, else the longest
+                over = total - goal
+                x = pending.pop(min(bisect_left(pending, over * 4, key=lambda x: len(x[2])), len(pending) - 1))
+                n = len(x[2]) // 4
                 if last and n > over:  # cut it: the sum then is the goal
                     pending.append((x[0], x[1], x[2][: (n - over) * 4], x[3]))
                     x = (x[0], x[1] + n - over, x[2][(n - over) * 4 :], x[3])
                     n = over
                 rest.append(x)
                 total -= n
-            for window in windows([len(x[2]) // 4 for x in pending], capacity) if pending else ():
+            for window in windows([len(x[2]) // 4 for x in pending], capacity, k) if pending else ():
                 emit([pending[i] for i in window])
-            pending = rest
+            pending, held = rest, sum(len(x[2]) // 4 for x in rest)
             if last:
-                total = sum(len(x[2]) // 4 for x in rest)
+                total = held
                 while total:
                     room = 1 << (min(total, capacity).bit_length() - 1)
                     total -= room
@@ -292,7 +375,8 @@ def _pack(capacity: int, path: str, end_id: int, batch_pieces: int):
                         start += capacity
                     if start < total:
                         pending.append((doc, start, ids[start * 4 :], total))
-                        if len(pending) >= batch_pieces:
+                        held += total - start
+                        if len(pending) >= batch_pieces and held >= capacity:
                             flush(False)
                 yield from out()
         flush(True)
