@@ -34,3 +34,11 @@ def test_repeated_rows_and_null_ids(spark):
     got = sorted((str(r.doc_id), r.text) for r in linededup.dedup_lines(frame).collect())
     assert got == [("2", ""), ("2", ""), ("3", "x"), ("None", text)]
     assert linededup.dedup_lines(frame.limit(0)).collect() == []
+
+
+def test_columns_of_any_name(spark):
+    names = ["_doc", "_text", "_covered", "_key", "n_lines", "_at", "c0", "doc_id", "text"]
+    rows = [tuple(f"{n}{i}" for n in names[:-2]) + (i, "a\nb\nc\nown%d" % i) for i in range(3)]
+    got = linededup.dedup_lines(spark.createDataFrame(rows, names))
+    assert got.columns == [n for n in names if n != "n_lines"] + ["n_lines", "n_lines_removed"]
+    assert sorted((r.doc_id, r._doc, r._covered, r.c0, r.text, r.n_lines) for r in got.collect()) == [(i, f"_doc{i}", f"_covered{i}", f"c0{i}", "own%d" % i if i else "a\nb\nc\nown0", 4) for i in range(3)]

@@ -15,7 +15,8 @@ Cases: a null text stays null, an empty one empty; a text of fewer lines than a
 window has no window and stays as it is; rows that repeat a doc_id and text are
 one document and are all kept alike; of different texts under one doc_id the
 smaller hash comes first; an empty table gives an empty result; other columns
-pass through, whatever their names.
+pass through, whatever their names, but for columns of the names n_lines and
+n_lines_removed, which the new ones replace.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ WINDOW = 3
 def occurrences(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
     """doc, hash of its text, position, window hash: one row for each window."""
     lines = F.split(text_col, "\n", -1)
-    docs = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_doc"), F.xxhash64(text_col).alias("_text"), lines.alias("_lines"))
+    docs = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_doc"), F.xxhash64(F.col(text_col)).alias("_text"), lines.alias("_lines"))
     docs = docs.where(F.size("_lines") >= window)
     key = lambda i: F.unhex(F.md5(F.array_join(F.slice("_lines", i, window), "\n")))
     return docs.select("_doc", "_text", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("_lines") - (window - 1)), key)).alias("_at", "_key"))
@@ -41,19 +42,22 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """The documents, later occurrences of repeated windows removed from the
     text, and two more columns: n_lines and n_lines_removed (long; null text:
     null and 0)."""
-    found = occurrences(docs, id_col, text_col, window)
+    names = docs.columns
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])  # no name of its own can clash
+    id_col, text_col = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
+    found = written(occurrences(docs, id_col, text_col, window), "line-occurrences")
     first = found.groupBy("_key").agg(F.min(F.struct("_doc", "_text", "_at")).alias("_first"), F.count(F.lit(1)).alias("_n"))
     first = written(first.where("_n > 1").select("_key", "_first"), "line-windows")
     later = found.join(first, "_key").where(~F.struct("_doc", "_text", "_at").eqNullSafe(F.col("_first")))
     covered = F.array_distinct(F.flatten(F.transform(F.collect_set("_at"), lambda p: F.sequence(p, p + (window - 1)))))
     later = later.groupBy("_doc", "_text").agg(covered.alias("_covered"))
-    lines = F.split(F.col(f"d.{text_col}"), "\n", -1)
+    lines = F.split(F.col(text_col), "\n", -1)
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_covered")), lambda i: F.get(lines, i))
-    joined = docs.alias("d").join(later.alias("l"), F.col(f"d.{id_col}").eqNullSafe(F.col("_doc")) & (F.xxhash64(f"d.{text_col}") == F.col("_text")), "left")
-    text = F.when(F.col("_covered").isNull(), F.col(f"d.{text_col}")).otherwise(F.array_join(kept, "\n"))
+    joined = docs.join(later, F.col(id_col).eqNullSafe(F.col("_doc")) & (F.xxhash64(F.col(text_col)) == F.col("_text")), "left")
+    text = F.when(F.col("_covered").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     return joined.select(
-        *[text.alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns],
-        F.when(F.col(f"d.{text_col}").isNotNull(), F.size(lines).cast("long")).alias("n_lines"),
+        *[(text if c == text_col else F.col(c)).alias(name) for c, name in zip(docs.columns, names, strict=True) if name not in ("n_lines", "n_lines_removed")],
+        F.when(F.col(text_col).isNotNull(), F.size(lines).cast("long")).alias("n_lines"),
         F.when(F.col("_covered").isNull(), F.lit(0)).otherwise(F.size("_covered")).cast("long").alias("n_lines_removed"),
     )
 
