@@ -34,7 +34,7 @@ from .common import table, written
 
 K, EVERY = 5, 50
 BLOCK, CHUNK, QUERIES = 64, 4096, 512
-#: Index chunks of one tile once there are more than TILES tiles.
+#: Index chunks of one tile; tiles, at least (as far as there are chunks).
 TILE_CHUNKS, TILES = 64, 16
 #: Query chunks whose best rows a task holds.
 HELD = 500
@@ -184,12 +184,12 @@ def top_k(queries: DataFrame, index: DataFrame, *, k: int = K, block: int = BLOC
     if min(k, block, chunk, query_chunk) < 1:
         raise ValueError("sizes must be positive")
     chunks = written(chunked(index, chunk, block), "topk-index")
-    asked = chunked(queries.coalesce(max(1, min(TILES, queries.rdd.getNumPartitions()))), query_chunk, query_chunk)
+    queries = written(queries, "topk-queries")  # by as many tasks as read the table
+    asked = chunked(queries.coalesce(max(1, -(-queries.count() // query_chunk))), query_chunk, query_chunk)
     asked = asked.select(*[F.col(c).alias(f"q_{c}") for c in ("uid", "n", "d", "ids", "vectors")])
     n = chunks.count()
     tiles = max(1, min(n, max(TILES, -(-n // TILE_CHUNKS))))
-    tile = F.pmod(F.row_number().over(Window.orderBy("uid")), F.lit(tiles)) if n <= TILES else F.pmod(F.xxhash64("uid"), F.lit(tiles))
-    pairs = chunks.withColumn("tile", tile.cast("int")).join(asked.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).hint("shuffle_merge"), "tile")
+    pairs = chunks.withColumn("tile", F.pmod(F.xxhash64("uid"), F.lit(tiles)).cast("int")).join(asked.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).hint("shuffle_merge"), "tile")
     names = ["q_uid", "q_n", "q_d", "q_ids", "q_vectors", "n", "d", "ids", "vectors", "high", "low"]
     found = pairs.select(*names).mapInArrow(_search(k, block), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
