@@ -34,3 +34,10 @@ def test_rules_of_all_kinds(spark):
     rules = urlfilter.rules_frame(spark, [("b", "", "allow"), ("b", "", "block"), (None, "/", "allow"), ("a.b", "/c", "allow")])
     assert {(r.page_id, r.rule, r.verdict) for r in urlfilter.filter_urls(frame, rules).collect()} == {(1, "a.b/c", "allow"), (None, "b", "block")}
     assert urlfilter.filter_urls(frame.limit(0), rules).collect() == []
+
+
+def test_host_and_path_stay_apart_and_ties(spark):
+    rules = urlfilter.rules_frame(spark, [("b", "c", "block"), ("x.y", "/", "allow"), ("y", "/zz", "block"), ("q", "/a", "allow"), ("q", "/a", "block")])
+    urls = ["http://bc/", "http://b/c", "http://x.y/zz", "http://q/a", "http://q/b"]
+    got = urlfilter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()
+    assert [(r.rule, r.verdict) for r in sorted(got, key=lambda r: r.page_id)] == [(None, "allow"), (None, "allow"), ("x.y/", "allow"), ("q/a", "block"), (None, "allow")]

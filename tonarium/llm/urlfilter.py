@@ -2,7 +2,7 @@
 
 Each URL is expanded into expressions, one for each host suffix and each prefix
 of its path that has the length of some rule's path.  An expression's digest
-is SHA-256; expressions meet rules in an equi-join on the digests' first 32
+is SHA-256 over host, separator and path; expressions meet rules in an equi-join on the digests' first 32
 bits, full digests confirm, and of the confirmed rules the longest decides.
 All of it is DataFrame expressions.
 
@@ -11,9 +11,11 @@ shuffles and adaptive execution splits a common prefix.  The rows of one URL
 are reduced to its best rule before anything is shuffled.
 
 Cases: a null url, or one without ``://``, has an empty host and path and fits
-no rule; repeated rows each get their verdict; rules of the same expression
-count once, and block wins among them; without rules every verdict is the
-default; null rules are ignored; further columns are ignored.
+no rule; repeated rows each get their verdict; rules of the same host and path
+count once, and block wins among them; of two rules as long as each other that
+fit one url, the one of the longer host wins (its path is the shorter);
+without rules every verdict is the default; null rules are ignored; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from .common import table, written
 
 #: Rules that may be sent to every executor: about 20 MB.
 BROADCAST_ROWS = 100_000
+#: Stands between host and path; no URL holds it.
+SEPARATOR = "\x00"
 #: Hexadecimal digits of a short hash prefix.
 PREFIX = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -52,7 +56,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id",
     null), verdict (the rule's, else ``default``)."""
     pages = with_host_and_path(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")))
     listed = rules.where("host is not null and path is not null and verdict is not null")
-    listed = listed.groupBy(F.concat("host", "path").alias("rule"), F.length("path").alias("n")).agg(F.max("verdict").alias("rule_verdict"))
+    # host and path stay apart: "b" with "c/" is not "bc" with "/"
+    listed = listed.groupBy(F.concat_ws(SEPARATOR, "host", "path").alias("rule"), F.length("path").alias("n")).agg(F.max("verdict").alias("rule_verdict"))
     listed = written(listed, "url-rules")
     lengths = [r.n for r in listed.select("n").distinct().collect()]  # at most the longest path
     listed = listed.select("rule", "rule_verdict", F.sha2("rule", 256).alias("rule_digest"), F.substring(F.sha2("rule", 256), 1, PREFIX).alias("short"))
@@ -66,12 +71,12 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id",
         F.transform(F.array(*[F.lit(n) for n in sorted(lengths)]), lambda n: F.when(n <= F.length("path"), F.substring(F.col("path"), F.lit(1), n))),
         lambda p: p.isNotNull(),
     )
-    expressions = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.sha2(F.concat(s, p), 256))))
+    expressions = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.sha2(F.concat(s, F.lit(SEPARATOR), p), 256))))
     tried = pages.withColumn("row", F.monotonically_increasing_id()).select("row", "page_id", "host", "path", F.explode_outer(expressions).alias("digest"))
     met = tried.join(listed, F.substring("digest", 1, PREFIX) == F.col("short"), "left")
-    confirmed = F.when(F.col("digest") == F.col("rule_digest"), F.struct(F.length("rule").alias("n"), F.col("rule_verdict").alias("verdict"), "rule"))
+    confirmed = F.when(F.col("digest") == F.col("rule_digest"), F.struct(F.length("rule").alias("n"), F.instr("rule", SEPARATOR).alias("host_n"), F.col("rule_verdict").alias("verdict"), "rule"))
     best = met.groupBy("row", "page_id", "host", "path").agg(F.max(confirmed).alias("best"))
-    return best.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    return best.select("page_id", "host", "path", F.replace(F.col("best.rule"), F.lit(SEPARATOR), F.lit("")).alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
