@@ -1,3 +1,5 @@
+import numpy as np
+
 import random
 
 import pytest
@@ -54,3 +56,49 @@ def test_documents_of_all_kinds(spark):
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_neighbours_looked_up_or_compared():
+    rng = np.random.default_rng(5)
+    for free, n in ((18, 6000), (40, 300), (12, 4000), (3, 8), (0, 1)):
+        spread = np.zeros(n, np.uint64)
+        for bit in rng.choice(64, free, replace=False).tolist():
+            spread |= rng.integers(0, 2, n, np.uint64) << np.uint64(bit)
+        values = np.unique(spread ^ np.uint64(0x0123456789ABCDEF))
+        a, b = simhash.near(values, 3)
+        group = {int(v): int(v) for v in values}
+        group |= dict(zip(a.tolist(), b.tolist(), strict=True))
+        root = lambda v: v if group[v] == v else root(group[v])
+        x = values[:600]
+        i, j = np.nonzero(np.bitwise_count(x[:, None] ^ x[None]) <= 3)
+        assert all(root(int(x[p])) == root(int(x[q])) for p, q in zip(i.tolist(), j.tolist(), strict=True))
+        assert len(a) < max(1, len(values))
+    # a key of 32,768 members stays a forest
+    values = np.unique(rng.integers(0, 1 << 18, 60_000, np.uint64))[:32_768]
+    a, b = simhash.near(values, 3)
+    assert len(a) < len(values)
+
+
+def test_query_against_brute_force(spark):
+    import os
+
+    import xxhash
+
+    if not os.path.exists("/root/testdata/sf0.001"):
+        import pytest
+
+        pytest.skip("no tables")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+
+    def print_of(text):
+        words = [w for w in (text or "").translate({c: c + 32 for c in range(65, 91)}).replace("\x0b", " ").replace("\x0c", " ").replace("\t", " ").replace("\r", " ").replace("\n", " ").split(" ") if w]
+        hashes = [xxhash.xxh64_intdigest(" ".join(words[k : k + 3]).encode(), 42) for k in range(max(1, len(words) - 2))] if words else []
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    prints = {r.doc_id: print_of(r.text) for r in docs}
+    least = {d: d for d in prints}
+    for d in sorted(prints):
+        near = {least[e] for e in prints if (prints[d] ^ prints[e]).bit_count() <= 3}
+        least = {e: min(near) if x in near else x for e, x in least.items()}
+    got = simhash.op8_simhash(spark, "/root/testdata/sf0.001").collect()
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == {d: (f"{p:016x}", least[d]) for d, p in prints.items()}

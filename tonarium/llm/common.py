@@ -27,11 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Where the setting is absent (tests on one machine) a temporary folder is
-    made once per session and remembered in the session's settings.
+    Where the setting is absent and the master is local (tests) a temporary
+    folder is made once per session and remembered in the session's settings.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tonarium-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -52,7 +54,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _made.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.written_to = path
+    return found
 
 
 def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
@@ -67,16 +71,32 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     return spark.table(label)
 
 
-def clean(spark: SparkSession) -> None:
-    """Delete what written() and bucketed() have left; results that were not
-    stored can't be read afterwards."""
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for table_ in [t.name for t in spark.catalog.listTables() if any(p.endswith(f"/{t.name}") for p in _made)]:
-        spark.sql(f"DROP TABLE IF EXISTS {table_}")
-    for path in _made:
+    for path in paths:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(conf).delete(where, True)
-    _made.clear()
+        _made.remove(path)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what written() returned, once all that needs it is written."""
+    for df in frames:
+        _delete(df.sparkSession, [p for p in (getattr(df, "written_to", None),) if p in _made])
+
+
+def made() -> int:
+    """How many tables written() and bucketed() have left."""
+    return len(_made)
+
+
+def clean(spark: SparkSession, since: int = 0, but: DataFrame | None = None) -> None:
+    """Delete what written() and bucketed() have left since made() returned that
+    number, but one table; results that were not stored can't be read afterwards."""
+    paths = [p for p in _made[since:] if p != getattr(but, "written_to", None)]
+    for table_ in [t.name for t in spark.catalog.listTables() if any(p.endswith(f"/{t.name}") for p in paths)]:
+        spark.sql(f"DROP TABLE IF EXISTS {table_}")
+    _delete(spark, paths)
 
 
 def text_of(column: str = "text"):

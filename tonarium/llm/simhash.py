@@ -13,7 +13,8 @@ the task, which keeps every component and emits at most one link a member.  A
 key with more than CROWD members is not compared at once: its members are filed
 again, under the same kind of variants of the other segment, whose two
 quarters must again agree but for one bit.  A second key leaves 18 free bits,
-so its group is bounded by its values, whatever the input.
+so its group is bounded by its values, whatever the input, and each member has
+987 neighbours at most, which are looked up.
 
 Components come from alternating large-star and small-star steps over the
 links, each written to the shared folder.
@@ -27,6 +28,8 @@ gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of, written
+from .common import discard, table, text_of, written
 
 SEED = 42
 DISTANCE = 3
@@ -109,16 +112,40 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def near(values: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of sorted distinct values within the distance, in blocks."""
-    left, right = [], []
-    step = max(1, 2_000_000 // max(1, len(values)))
-    for at in range(0, len(values), step):
-        part = values[at : at + step]
-        i, j = np.nonzero(np.bitwise_count(part[:, None] ^ values[None, at:]) <= distance)
-        keep = i < j
-        left.append(part[i[keep]])
-        right.append(values[at:][j[keep]])
-    return np.concatenate(left), np.concatenate(right)
+    """Links that connect all pairs of sorted distinct values within the distance.
+
+    Compares all pairs in blocks, or looks up each value's neighbours if their
+    number, which the bits in which the values differ bound, is the smaller.
+    Pairs are reduced to a forest as they come."""
+    links, held = [(values[:0], values[:0])], 0
+    free = int(np.bitwise_or.reduce(values ^ values[:1])) if len(values) else 0
+    bits = [1 << b for b in range(64) if free >> b & 1]
+    around = sum(math.comb(len(bits), k) for k in range(1, distance + 1))
+
+    def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if around < len(values) // 2:
+            for k in range(1, distance + 1):
+                for some in itertools.combinations(bits, k):
+                    other = values ^ np.uint64(sum(some))
+                    at = np.minimum(np.searchsorted(values, other), len(values) - 1)
+                    hit = (values[at] == other) & (values < other)
+                    yield values[hit], other[hit]
+            return
+        step = max(1, 2_000_000 // max(1, len(values)))
+        for at in range(0, len(values), step):
+            part = values[at : at + step]
+            i, j = np.nonzero(np.bitwise_count(part[:, None] ^ values[None, at:]) <= distance)
+            keep = i < j
+            yield part[i[keep]], values[at:][j[keep]]
+
+    for a, b in pairs():
+        links.append((a, b))
+        held += len(a)
+        if held > LINKS:
+            links = [forest(*map(np.concatenate, zip(*links, strict=True)))]
+            held = len(links[0][0])
+            held = 0 if held > LINKS // 2 else held  # a forest is no larger than the values
+    return forest(*map(np.concatenate, zip(*links, strict=True)))
 
 
 def _link(distance: int, crowd: int | None):
@@ -154,7 +181,7 @@ def _link(distance: int, crowd: int | None):
             ok = np.bitwise_count(a ^ b) <= distance
             yield from put(a[ok], b[ok])
             for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-                yield from put(*forest(*near(values[s : s + n], distance)))
+                yield from put(*near(values[s : s + n], distance))
 
         def stream() -> Iterator[pa.RecordBatch]:
             keys, values = np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -219,23 +246,31 @@ def components(edges: DataFrame, name: str = "simhash-components") -> DataFrame:
     """node, root: for every node of the links (a, b), the smallest node that
     is reachable, by alternating large-star and small-star steps."""
 
+    made: list[DataFrame] = []
+
+    def stored(rows: DataFrame) -> DataFrame:
+        made.append(written(rows, name))
+        return made[-1]
+
     def star(pairs: DataFrame, both: bool) -> DataFrame:
         """Hang neighbours on the smallest one: all of them if both, else the
         node itself and its smaller ones."""
         if both:
             pairs = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            least = written(pairs.groupBy("a").agg(F.least("a", F.min("b")).alias("least")), name)
+            least = stored(pairs.groupBy("a").agg(F.least("a", F.min("b")).alias("least")))
             return pairs.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
-        least = written(pairs.groupBy("a").agg(F.min("b").alias("least")), name)
+        least = stored(pairs.groupBy("a").agg(F.min("b").alias("least")))
         hung = pairs.join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b")
         return hung.unionByName(least.select("a", F.col("least").alias("b")))
 
     ordered = lambda e: e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
-    edges = written(ordered(edges), name)
+    edges = stored(ordered(edges))
     before = mark(edges)
     while before[0]:
-        edges = written(ordered(star(ordered(star(edges, True)), False)), name)
+        edges = stored(ordered(star(ordered(star(edges, True)), False)))
+        discard(*made[:-1])  # this round's table holds all that is known
+        made = made[-1:]
         now = mark(edges)
         if now == before:
             break
