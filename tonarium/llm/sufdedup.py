@@ -244,8 +244,7 @@ def _shard(length: int, ranges: int):
     kind 1: a run of window digests for range a, from shard b; kind 2: segment
     number a of shard b."""
 
-    def solve(shard: int, split: bool, rows: list[tuple]) -> Iterator[dict]:
-        unique = {(anchor, segment): (weight, data) for anchor, segment, weight, data in rows}
+    def solve(shard: int, split: bool, unique: dict[tuple, tuple]) -> Iterator[dict]:
         names = sorted(unique)
         weights = np.array([unique[x][0] for x in names], np.int64)
         data = [unique[x][1] for x in names]
@@ -270,19 +269,21 @@ def _shard(length: int, ranges: int):
                 yield {"kind": 1, "a": r, "b": shard, "run": out[i:j].tobytes()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, split, rows = None, False, []
+        now, split, unique = None, False, {}
 
         def flush() -> Iterator[pa.RecordBatch]:
-            found = list(solve(now, split, rows)) if rows else []
+            found = list(solve(now, split, unique)) if unique else []
             for at in range(0, len(found), 5000):
                 yield pa.RecordBatch.from_pylist(found[at : at + 5000], schema=pa.schema(FOUND))
 
         for batch in batches:
-            for shard, one, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if shard != now:
-                    yield from flush()
-                    now, split, rows = shard, one, []
-                rows.append(tuple(row))
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                for shard, one, anchor, segment, weight, data in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    if shard != now:
+                        yield from flush()
+                        now, split, unique = shard, one, {}
+                    unique.setdefault((anchor, segment), (weight, data))  # every task sent its own copy
         yield from flush()
 
     return run
@@ -398,4 +399,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its repeated strings of 400 bytes."""
     found = remove_repeats(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        (F.col("n_removed") > 0).alias("has_repeat"), F.length("kept").cast("long").alias("kept_bytes"),
+    )
