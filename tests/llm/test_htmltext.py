@@ -13,7 +13,7 @@ def text(page):
 
 def test_tree_learns_its_table():
     x, y = htmltext.labelled_blocks()
-    assert ((TREE.predict(x) > 0.5) == y).mean() == 1.0 and 40 < len(y) < 200
+    assert ((TREE.predict(x) > 0.5) == y).mean() > 0.97 and 100 < len(y) < 400
 
 
 PAGES = [
@@ -22,6 +22,11 @@ PAGES = [
     ('<article><p>a<script>var t="</p><p>no";</script>b<style>p{}</style></p><!-- <p>no</p> --><form><p>Name</p></form><aside>Side</aside><p>c', "ab c"),
     ('<header><h1>Site</h1></header><main><p>x &quot;y&quot; &#8364; &am</p></main><div class="cookie-banner"><p>We use cookies here and there.</p></div>', 'x "y" € &am'),
     ('<div class="post-header"><h1>Big news of the day</h1></div><article><div class="header"><h2>Part</h2></div><figure><figcaption>A boat</figcaption></figure><p hidden>no</p><p style="display: none">no</p><ins class="adsbygoogle">x</ins><p>En<span class="x">d</span> <span class="ad">buy</span></p></article>', "Part A boat End"),
+    ('<div class="layout with-sidebar"><article><h1>A</h1><p>Text of it.</p></article><div class="sidebar"><p>Side words here.</p></div></div>', "A Text of it."),
+    ('<div class="no-sidebar"><main class="has-comments"><p>Text of it.</p><section class="comments"><p>Nice text.</p></section></main></div>', "Text of it."),
+    ('<form id="aspnetForm"><nav>x</nav><article><h1><a href=1>A title</a></h1><p><a href=2>All of this is a link</a></p><p>End.</article></form>', "A title All of this is a link End."),
+    ('<div class="has-comments-sidebar"><div><p>The bells were cast in the year of the great flood and hung in the spring that followed it, when the roads were dry.</p><p>They ring.</p></div><div class="comments"><p>My cat hates them.</p></div></div>',
+     "The bells were cast in the year of the great flood and hung in the spring that followed it, when the roads were dry. They ring."),
     ("", ""), ("<", "<"), ("<p", ""), ("<article><p>cut off <a href='x", "cut off"), ("<article></b></p></div><p>ok</article>", "ok"),
 ]
 
@@ -56,3 +61,23 @@ def test_containers_and_closing_tags_at_any_depth(depth):
     found = htmltext.blocks(f"<article>{rows}</article>" + "</p>" * depth)
     assert [b.aside for b in found if b.text in ("Home", "End of the text.")] == [True, False]
     assert found[-1].article and not found[-1].listed
+
+
+def test_neighbours_decide_where_nothing_is_named():
+    split = {htmltext.NAMES[f] for f in TREE.feature if f >= 0}
+    assert split & {"before_words", "after_words"} or split & {"before_density", "after_density"}
+    assert split & {"words", "density"} and split & {"named", "share"}
+    long = "The ferry leaves the pier at seven in the morning and comes back when the tide lets it, which is seldom before noon."
+    page = f"<div><a href=1>Home</a> <a href=2>Map</a></div><div>Since then</div><div><a href=3>Log in</a></div><div>{long}</div><div>It is slow.</div><div>{long}</div><div><a href=4>Older</a></div>"
+    assert text(page) == f"{long} It is slow. {long}"
+    # the same short block beside links is no text, beside text it is
+    got = [(b.text, s > 0.5) for b, s in zip(htmltext.blocks(page), htmltext.main_text(page, TREE)[1], strict=True)]
+    assert ("Since then", False) in got and ("It is slow.", True) in got
+
+
+def test_deep_wrappers_and_long_pages():
+    inner = "<article><p>Good words.</p></article>"
+    for k in range(300):
+        inner = f'<div class="with-sidebar level{k}">{inner}</div><div class="sidebar">x</div>'
+    assert text(inner) == "Good words."
+    assert text("<article>" + "<p>word</p>" * 20_000 + "</article>").count("word") == 20_000

@@ -2,10 +2,14 @@
 
 A page is cut into flat blocks at block-level tags; inline markup stays inside
 a block.  A block's features are its own and its neighbours' word counts and
-link densities, and what encloses it: heading, list, article, and containers
-whose element or whose class, id or role speaks of menus, notices, adverts,
-forms or reader comments.  A decision tree grown on a small labelled table
-(LABELLED below, blocks of hand-written pages) says which blocks are text.
+link densities, and what encloses it: heading, list, article, elements of
+menus, headers and footers, and named containers, those whose class, id or role
+speaks of adverts, notices or reader comments, with their share of the page's
+words.  A named container that an article or the page's main part stands in is
+a wrapper ("with-sidebar") and counts for nothing.  A decision tree grown on a
+small labelled table (LABELLED below, blocks of hand-written pages) says which
+blocks are text; where a page has no telling elements or names, its neighbours
+say what a short block is.
 
 Scripts, styles and other raw content never become blocks.  Character
 references are decoded as HTML 5 does; white space in a block becomes one
@@ -35,7 +39,7 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 #: Elements whose content is no text of the page.
 RAW = set("script style noscript template iframe object svg math canvas textarea select title head".split())
 TEXT_ONLY = ("script", "style", "textarea", "title", "iframe", "noscript")
-ASIDE = set("nav header footer aside form menu dialog button fieldset".split())
+ASIDE = set("nav header footer aside menu dialog button fieldset".split())
 WORDS = re.compile(
     r"(?:^|[^a-z])(?:nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-?bar|aside|ads?|adsby\w*|advert\w*|adbox|banner|promo\w*|sponsor\w*|cookies?|consent|notices?|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|"
     r"share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|replies|respond|footer|foot|header|masthead|copyright|legal|toolbar|widget|pagination|pager|tags|toc|skip)(?:[^a-z]|$)"
@@ -46,15 +50,16 @@ LABEL = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']
 OWN_HEADER = re.compile(r"(?:article|post|entry|story|content)[-_ ]*header")
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:$|[\s=/])|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 MARK = re.compile(r"\bdata-text\s*=\s*\"([01])\"")
-NAMES = ("words", "density", "before_words", "before_density", "after_words", "after_density", "aside", "article", "heading", "list", "outside")
+NAMES = ("words", "density", "before_words", "before_density", "after_words", "after_density", "aside", "article", "heading", "list", "outside", "named", "share")
 
 
 class Block:
-    __slots__ = ("text", "words", "linked", "aside", "article", "heading", "listed", "mark")
+    __slots__ = ("text", "words", "linked", "aside", "article", "heading", "listed", "mark", "box", "named", "share")
 
     def __init__(self, text: str, words: int, linked: int, state: tuple):
         self.text, self.words, self.linked = text, words, linked
-        self.aside, self.article, self.heading, self.listed, self.mark = state
+        self.aside, self.article, self.heading, self.listed, self.mark, self.box = state
+        self.named, self.share = False, 1.0
 
 
 def _labels(attributes: str) -> str:
@@ -71,8 +76,10 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     linked = 0
-    # name, in an aside container, in an article, in a heading, in a list, mark
-    stack: list[tuple] = [("", False, False, False, False, None)]
+    # name, in an aside element, in an article, in a heading, in a list, mark, box
+    stack: list[tuple] = [("", False, False, False, False, None, -1)]
+    # named containers: the one around it, is it a wrapper, its words, is it in an article
+    boxes: list[list] = []
     # open elements by name, so that a stray closing tag searches nothing
     opened: dict[str, int] = {}
     links = 0
@@ -138,30 +145,59 @@ def blocks(page: str) -> list[Block]:
         if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack[-1][0] == name:
             stack.pop()
             opened[name] -= 1
-        _, aside, article, heading, listed, mark = stack[-1]
+        _, aside, article, heading, listed, mark, box = stack[-1]
         attributes = m[3] or ""
         labels = _labels(attributes)
         main = name in ("article", "main")
         inner_header = name == "header" and article
         labels = OWN_HEADER.sub(" ", labels.replace("header", " ") if article else labels)
-        aside |= (name in ASIDE and not inner_header) or (bool(WORDS.search(labels)) and not main and name not in ("body", "html"))
+        aside |= name in ASIDE and not inner_header
         aside |= bool(attributes) and bool(HIDDEN.search(attributes))
+        named = name == "form" or bool(WORDS.search(labels))
+        if main and not (name == "article" and any(w.startswith(("comment", "repl", "respon")) for w in labels.split())):
+            around = box
+            while around >= 0 and not boxes[around][1]:
+                boxes[around][1] = True
+                around = boxes[around][0]
+        if named and not main and name not in ("body", "html"):
+            boxes.append([box, False, 0, article])
+            box = len(boxes) - 1
         found = MARK.search(attributes)
         opened[name] = opened.get(name, 0) + 1
-        stack.append((name, aside, article or main, name in ("h1", "h2", "h3", "h4", "h5", "h6"), listed or name in ("ul", "ol", "dl", "menu"), found[1] if found else mark))
+        stack.append((name, aside, article or main, name in ("h1", "h2", "h3", "h4", "h5", "h6"), listed or name in ("ul", "ol", "dl", "menu"), found[1] if found else mark, box))
     if raw is None:
         rest = page[at:]
         put(rest if not re.match(r"</?[a-zA-Z!]", rest) else "")
     close()
+    _name_blocks(out, boxes)
     return out
 
 
+def _name_blocks(found: list[Block], boxes: list[list]) -> None:
+    """Give each block its innermost named container that is no wrapper, as the
+    container's share of all words (0 for one inside an article)."""
+    total = sum(b.words for b in found)
+    for b in found:
+        if b.box >= 0:
+            boxes[b.box][2] += b.words
+    for around, _, words, _ in reversed(boxes):  # inner containers come later
+        if around >= 0:
+            boxes[around][2] += words
+    telling: list[int] = []
+    for k, (around, wraps, _, _) in enumerate(boxes):
+        telling.append(k if not wraps else telling[around] if around >= 0 else -1)
+    for b in found:
+        if b.box >= 0 and telling[b.box] >= 0:
+            _, _, words, inner = boxes[telling[b.box]]
+            b.named, b.share = True, 0.0 if inner else words / total
+
+
 def block_features(found: list[Block]) -> np.ndarray:
     """One row a block, columns as in NAMES."""
     words = np.array([0, *(b.words for b in found), 0], float)
     density = np.array([0, *(min(1.0, b.linked / b.words) for b in found), 0], float)
     any_article = any(b.article for b in found)
-    own = np.array([(b.aside, b.article, b.heading, b.listed, any_article and not b.article) for b in found], float).reshape(-1, 5)
+    own = np.array([(b.aside, b.article, b.heading, b.listed, any_article and not b.article, b.named, b.share) for b in found], float).reshape(-1, 7)
     return np.column_stack([words[1:-1], density[1:-1], words[:-2], density[:-2], words[2:], density[2:], own])
 
 
@@ -180,9 +216,55 @@ LABELLED = (
     '<body><div role="navigation" data-text="0">Start &gt; Science &gt; Stars</div><main data-text="1"><h1>Light</h1><p>The light of the nearest star takes four years to reach us.</p><h2>Why it matters</h2><p>Because we see what was.</p><ol><li>Look up<li>Wait for four years<li>Look again</ol></main><div class="related" data-text="0"><ul><li><a href=1>Why the moon looks larger near the ground</a><li><a href=2>How to buy a telescope</a></ul></div><div class="social" data-text="0">Share this page with your friends</div></body>',
     '<body><div data-text="0"><a href=1>A</a> | <a href=2>B</a> | <a href=3>C</a> | <a href=4>D</a></div><div data-text="1">A notice by the council says that the well in the market square will be closed for repairs from the first of the month, and that water can be had from the well behind the church.</div><div data-text="1">The repairs are expected to last until the harvest, though the mason has been known to take his time over such work.</div><div data-text="0"><a href=9>Print this page</a></div></body>',
     '<body><article data-text="1"><h1>Names</h1><p>Ann.<p>Bob.<p>Cleo.<p>And all the others who were there that day and whose names nobody wrote down in time.</article><p data-text="0">This page was made by hand and is kept by the friends of the parish.</p><p data-text="0">Visits: 1204</p></body>',
+    # a wrapper's name says nothing; no article element
+    '<body><div class="layout with-sidebar"><div data-text="1"><h1>The ferry</h1><p>It crosses the strait four times a day and has done so, in all but the worst weather, for a hundred and ten years.<p>The captain is the fifth of his family.<p>Nobody who lives on the island has ever owned a boat that was large enough to take a cow to the market on the other side.</div><div class="sidebar" data-text="0"><p>Times and prices are shown on the board at the pier.</p><a href=1>All lines</a></div></div></body>',
+    '<body class="has-comments"><div id="no-sidebar-page"><div data-text="1"><h1>Salt</h1><p>Before there was ice there was salt, and whole towns were built on the trade in it between the coast and the hills.<p>Few of them are left.<p>Their store houses have become dwellings, and in one of them there is a school whose walls are still white after rain.</div><div class="comments-list" data-text="0"><p>My aunt went to that school and she told us about those walls.<p>Lovely.</div></div></body>',
+    '<body><form action="page.aspx"><div data-text="1"><h2>Minutes of the meeting</h2><p>The treasurer read out the accounts of the past year, which were found to be in good order by both of the members who had looked at them.<p>There were no questions.<p>It was agreed that the roof of the hall should be mended before the winter, and that two offers should be asked for.</div><div data-text="0"><a href=1>Print</a> <a href=2>Back</a></div></form></body>',
+    '<body><div class="page-header-fixed"><article data-text="1"><h1>Owls</h1><p>They hear a mouse under the snow at a distance of sixty steps.<p>We do not.</article><div class="share-bar" data-text="0">Send this to someone who would like it</div></div></body>',
+    # an article may link
+    '<body><div data-text="0"><a href=1>Home</a></div><article data-text="1"><h1><a href=p>The bridge at noon</a></h1><p>At noon the bridge is closed for as long as the tall ships need to pass.<p><a href=q>The harbour office has the times of all ships.</a><p>Come early.<ul><li><a href=r>North bank</a><li><a href=s>South bank</a><li><a href=t>The island between them</a></ul><p><a href=u>Here</a> is a drawing of it.<nav data-text="0"><a href=v>Next story</a></nav></article><div data-text="0"><a href=2>Terms</a> <a href=3>Contact</a></div></body>',
+    '<body><main data-text="1"><h2><a href=p>Nine songs</a></h2><p><a href=q>The first song</a><p><a href=r>The second song is sung at dusk</a><p>All the others are lost.</main><div data-text="0"><a href=2>Songs by year</a></div></body>',
+    # no telling elements and no names: what stands beside a short block tells what it is
+    '<body><div data-text="0"><a href=1>Front page</a> <a href=2>Weather</a></div><div data-text="0">Issue 41</div><div data-text="0"><a href=3>Letters to the editor</a></div><div data-text="1">The mill at the upper end of the valley was sold on Friday to a family from the coast who mean to grind flour there again.</div><div data-text="1">They start in May.</div><div data-text="1">The wheel will have to be made new, for the old one lay in the stream for twenty years and is rotten through.</div><div data-text="0"><a href=4>Older issues of this paper</a></div><div data-text="0">Printed weekly</div><div data-text="0"><a href=5>Top of page</a></div></body>',
+    '<body><p data-text="0"><a href=1>Home</a> <a href=2>Plants</a> <a href=3>Seeds</a><p data-text="0">Spring list<p data-text="0"><a href=4>Order by post</a><p data-text="1">Sow the beans in rows a hand apart once the nights are mild, and cover them with as much soil as the bean is thick.<p data-text="1">Water them well.<p data-text="1">After ten days the first leaves show, and from then on the slugs are the only thing that you have to fear.<p data-text="1">Good luck.<p data-text="1">When the pods rattle they are ripe, and you may keep the best of them for the year to come in a dry and dark place.<p data-text="0"><a href=5>More plants for sale</a><p data-text="0">Open daily<p data-text="0"><a href=6>How to find us</a></body>',
+    '<body><div data-text="0"><a href=1>Start</a></div><div data-text="0">Welcome, guest</div><div data-text="0"><a href=2>Log in</a> <a href=3>Register</a></div><div data-text="1">My grandfather kept bees</div><div data-text="1">He had eleven hives behind the barn and talked to them every evening, because bees that are told nothing fly away, as everyone in his village knew.</div><div data-text="1">They never flew away.</div><div data-text="1">When he died my father went out to tell them, hat in hand, and stood there for as long as it took, which was the whole of an afternoon.</div><div data-text="0"><a href=4>Previous entry</a> <a href=5>Next entry</a></div><div data-text="0">Powered by a small machine</div><div data-text="0"><a href=6>Imprint</a></div></body>',
+)
+
+#: Further rows of the labelled table, page by page: a block is its number of
+#: words, with a if all are linked and ! if it is text; before it stands r in an
+#: article, o outside of the page's article, s in an element of menus or such,
+#: n in a small named container, w in a named one that holds most of the page,
+#: h in a heading, l in a list.
+LAYOUTS = (
+    "s3a s4a s2 o31 o8 rh6! r40! r3! r28! r7a! r2! r64! o27 o12 s35 s6 s2a",
+    "o2a o3a o44 rh4a! r5! r90! rl2! rl3a! rl6! r33! r1! n45 n3 n26 o60 o1 s14",
+    "s28 s4 rh9! r22! r4! r5! r3! r70! r12! n8 r15! r6! o23 o38 s3a",
+    "o25 rh3! r2! r4! r1! s30 o41 o36 n52 n4 n33",
+    "2a 4a 3 2a h5! 31! 4! 55! 2! 38! 6! 3a 2 4a",
+    "3a 1a 2 5a 3a 24! 60! 3! 2! 41! 5! 7a 3 2a",
+    "1a 6 2a 3a 47! 4! 29! 33! 8! 2a 11a 4 5a",
+    "4a 2a h7! 26! 3! 44! l5! l2! l4! 27! 4! n28 n3 n41",
+    "s2 s5a h4! 36! 5! 30! 2! s24 s40 s3a",
+    "w3a wh5! w34! w4! w52! w3! w29! n30 n2 n4a",
+    "w2a w1a w4 w3a w41! w6! w25! w2! w48! w5! n26 n5",
+    "2a 3 5a 2a 70! 3! 3a 1 6a 2 3a",
+    "n34 n6 3a 2a 28! 5! 39! 4! n31 n2 s27 s9 2a 3",
+    "1a 3a 5 4a 7! 33! 5! 62! 3! 2a 6 1a 2",
+    "o6 o33 o2a wr7! wr31! wr3! wr9a! wr44! n24 o29 s4 s30",
+    "3a 2a 5a 4 27a 3a 30! 4! 58! 2! 25a 3 4a 2a",
 )
 
 
+def layout_blocks(layout: str) -> list[Block]:
+    """The blocks of one of LAYOUTS."""
+    out = []
+    for kinds, words, end in re.findall(r"([a-z]*)(\d+)(\S*)", layout):
+        b = Block("", int(words), int(words) if "a" in end else 0, ("s" in kinds, "r" in kinds, "h" in kinds, "l" in kinds, "1" if "!" in end else "0", -1))
+        b.named, b.share = "n" in kinds or "w" in kinds, 0.15 if "n" in kinds else 0.85 if "w" in kinds else 1.0
+        out.append(b)
+    return out
+
+
 class Tree:
     """A binary decision tree by Gini impurity; leaves hold the share of text."""
 
@@ -225,10 +307,9 @@ class Tree:
         return self.share[node]
 
 
-def labelled_blocks(pages=LABELLED) -> tuple[np.ndarray, np.ndarray]:
+def labelled_blocks(pages=LABELLED, layouts=LAYOUTS) -> tuple[np.ndarray, np.ndarray]:
     x, y = [], []
-    for page in pages:
-        found = blocks(page)
+    for found in (*map(blocks, pages), *map(layout_blocks, layouts)):
         x.append(block_features(found))
         y += [b.mark == "1" for b in found]
     return np.concatenate(x), np.array(y, float)
