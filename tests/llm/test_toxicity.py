@@ -82,3 +82,19 @@ def test_without_labels_or_rows(spark):
     got = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.fit(docs, none)).collect()}
     assert got[1] > got[2]
     assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), none)).collect() == []
+
+
+def test_number_of_terms_follows_from_the_rows():
+    names = [f"term{chr(97 + k // 26 % 26)}{chr(97 + k % 26)}{chr(97 + k // 676)}" for k in range(450)]
+    docs = {t: {10 * k + j for j in range(10)} for k, t in enumerate(names)}
+    toxic = set(range(4500))
+    found = toxicity.choose(names, docs, toxic, set(range(10_000, 20_000)))
+    assert {t for t, _, tier in found if tier == 0} == set(names)
+
+
+def test_few_labels_null_ids_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "a blorg here"), (1, "a blorg here"), (2, "a tree"), (None, "blorg"), (None, None), (3, "blorg"), (4, "the river")], "doc_id long, text string")
+    known = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 1), (4, 0), (None, 0)], "doc_id long, toxic int")
+    scored = toxicity.score(docs, toxicity.fit(docs, known)).collect()
+    assert len(scored) == 7 and all(0 <= r.score <= 1 for r in scored) and sum(r.doc_id is None for r in scored) == 2
+    assert toxicity.logistic(np.zeros((0, toxicity.FEATURES)), np.zeros(0)).tolist() == list(toxicity.PRIOR)

@@ -1,10 +1,10 @@
 """Toxicity: misspelled lexicon terms by Levenshtein automata, read in context.
 
 Lexicon.  Terms and stems (word beginnings) come from labelled rows: those that
-stand in many toxic and hardly any clean texts.  Terms that explain toxic texts
-which no better term explains are primary, further telling ones secondary.  A
-short list of public insults joins the secondary terms unless clean texts have
-them.
+stand in many toxic and hardly any clean texts, by more than chance gives the
+best of so many forms.  Terms that explain toxic texts which no better term
+explains are primary, further telling ones secondary; their number follows from
+the labelled sample alone.
 
 Matching.  The lexicon is a trie; an automaton whose states are sets of (trie
 node, edits so far) accepts each word within a term's number of edits (0 for
@@ -17,18 +17,20 @@ Context.  Each hit is weighed by the words around it: quotation marks and
 reporting words lower it, address in the second person raises it.
 
 Score.  A logistic regression over a few sums of hits, fitted on labelled rows
-whose features come from a lexicon learned on the other half of them.  At most
-SAMPLE labelled rows (those of the smallest hashes) are used; all documents are
-scored, whole.
+whose features come from a lexicon learned on the other half of them, and drawn
+towards PRIOR, which few rows leave almost as it is.  At most SAMPLE labelled
+rows (those of the smallest hashes) are used; all documents are scored, whole.
 
 Cases: null and empty texts have no hits and get the score of that; labels of
 null or without a document are ignored, several labels of one document count
-as toxic if any is; without labels the listed insults alone decide; an empty
-table gives an empty result; other columns are not read.
+as toxic if any is; without toxic labels a short list of public insults is the
+lexicon; an empty table gives an empty result; other columns are not read.
+Letters beyond U+FFFF end a word.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import defaultdict
@@ -43,8 +45,6 @@ from .common import table, written
 
 #: Labelled rows that are learned from, at most.
 SAMPLE = 10_000
-#: Candidate terms looked at, and terms of a lexicon, at most.
-CANDIDATES, TERMS = 600, 200
 THRESHOLD = 0.3
 #: Shortest term that may be misspelled.
 FUZZY = 5
@@ -56,6 +56,8 @@ INSULTS = (
 REPORTING = set("said says say called calls calling quote quoted quotes wrote writes word term phrase sagte sagt nannte zitat dit disait appelé citation dijo dice llamó cita".split())
 ADDRESS = set("you your yours you're u ur du dich dir dein deine ihr euch tu te toi ton ta vous votre tú ti tus usted ustedes".split())
 FEATURES = 7
+#: Weights before any label is seen, in the order of features().
+PRIOR = (-4.0, 1.0, 2.0, 0.5, 2.5, -0.5, 0.0)
 
 
 class Automaton:
@@ -230,12 +232,13 @@ def features(text: str, automaton: Automaton, classes: np.ndarray, vetoed: set[s
     return [1.0, math.log1p(exact + 0.5 * fuzzy), float(seen), math.log1p(fuzzy), math.log1p(other), quotes / hits if hits else 0.0, min(10.0, 100 * (exact + other) / words) if words else 0.0]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
-    """Weights by Newton's steps; the penalty spares the constant."""
-    w, ridge = np.zeros(x.shape[1]), np.diag([1e-6] + [penalty] * (x.shape[1] - 1))
+def logistic(x: np.ndarray, y: np.ndarray, prior: tuple[float, ...] = PRIOR, penalty: float = 0.3) -> np.ndarray:
+    """Weights by Newton's steps, drawn towards the prior ones."""
+    x, origin = x.reshape(-1, len(prior)), np.array(prior)
+    w, ridge = origin.copy(), np.eye(len(prior)) * penalty
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p) + 1e-9)[:, None]) + ridge, x.T @ (y - p) - ridge @ w)
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p) + 1e-9)[:, None]) + ridge, x.T @ (y - p) - ridge @ (w - origin))
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -251,30 +254,33 @@ def choose(candidates: list[str], docs: dict[str, set[int]], toxic: set[int], cl
     telling ones are secondary.  A candidate that ends in * is a stem."""
     own = {c: docs[c] & toxic for c in candidates}
     bad = {c: len(docs[c] & clean) for c in candidates}
-    left, out, chosen = set(toxic), [], set()
+    left, out = set(toxic), []
     least = max(2, len(toxic) // 500)
-    while len(out) < TERMS // 2:
-        best = max(((len(own[c] & left) * max(0.0, float(log_odds(len(own[c] & left), bad[c], len(toxic), len(clean)))), c[-1] != "*", len(c), c) for c in candidates if c not in chosen and len(own[c] & left) >= max(least, 2 * bad[c])), default=None)
-        if best is None or best[0] <= 0:
-            break
-        c = best[-1]
-        chosen.add(c)
+
+    def worth(c: str) -> tuple:
+        n = len(own[c] & left)
+        good = n * float(log_odds(n, bad[c], len(toxic), len(clean))) if n >= max(least, 2 * bad[c]) else 0.0
+        return -max(0.0, good), c[-1] == "*", -len(c), c
+
+    heap = [worth(c) for c in candidates]
+    heapq.heapify(heap)
+    while heap and heap[0][0] < 0:
+        c = heap[0][-1]
+        now = worth(c)
+        if now > heap[0]:  # others explain some of its texts by now
+            heapq.heapreplace(heap, now)
+            continue
+        heapq.heappop(heap)
         left -= own[c]
         out.append((c.rstrip("*"), c[-1] == "*", 0))
     stems = tuple(t for t, stem, _ in out if stem)
     taken = {t for t, _, _ in out}
     for c in candidates:
         t = c.rstrip("*")
-        if len(out) >= TERMS:
-            break
         if c[-1] != "*" and t not in taken and not (stems and t.startswith(stems)) and bad[c] == 0 and len(own[c]) >= max(3, len(toxic) // 100):
             out.append((t, False, 1))
             taken.add(t)
-    for t in INSULTS:
-        if t not in taken and not (stems and t.startswith(stems)) and len(docs.get(t, set()) & clean) <= len(docs.get(t, set()) & toxic):
-            out.append((t, False, 1))
-            taken.add(t)
-    return out
+    return out if toxic else [(t, False, 1) for t in INSULTS]
 
 
 class Model:
@@ -318,9 +324,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     n1, n0 = (sum(size.get((y, f), 0) for f in (0, 1)) for y in (1, 0))
     toxic, clean = F.col("n10") + F.col("n11"), F.col("n00") + F.col("n01")
     gain = toxic * (F.log((toxic + 0.5) / (n1 + 1)) - F.log((clean + 0.5) / (n0 + 1)))
-    listed = stats.where((toxic >= 2) & (toxic >= clean)).orderBy(F.desc(gain), "form").limit(CANDIDATES)
+    # the best of so many forms gains the log of their number by chance; what
+    # remains is bounded by the sample's words
+    listed = stats.where((toxic >= 2) & (toxic >= clean) & (gain > math.log(max(1, stats.count())))).orderBy(F.desc(gain), "form")
     candidates = [r.form for r in listed.collect()]
-    wanted = set(candidates) | set(INSULTS)
+    wanted = set(candidates)
 
     def incidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -358,10 +366,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     found = known_clean.select("form", "n00", "n01").mapInArrow(misspelled, "form string, n00 long, n01 long").collect()
     vetoed = {r.form for r in found}
     rows = _features(texts, automata[:2], [{r.form for r in found if r.n01}, {r.form for r in found if r.n00}])
-    weights = np.array([-4.0, 1.0, 2.0, 0.5, 2.5, -0.5, 0.0])
-    if n1 >= 5 and n0 >= 5:
-        x, y = np.array([r.x for r in rows]), np.array([r.y for r in rows], float)
-        weights = logistic(x, y)
+    weights = logistic(np.array([r.x for r in rows], float), np.array([r.y for r in rows], float))
     return Model(lexicons[2], vetoed, weights)
 
 
