@@ -83,6 +83,9 @@ class Spark:
     def match(self, s: str, regex: str) -> str:
         return f"({s} rlike {self.pattern(regex)})"
 
+    def no_ints(self) -> str:
+        return "cast(array() as array<int>)"
+
 
 class Duck(Spark):
     name = "duck"
@@ -156,6 +159,9 @@ class Duck(Spark):
     def match(self, s: str, regex: str) -> str:
         return f"regexp_matches({s}, {self.pattern(regex)})"
 
+    def no_ints(self) -> str:
+        return "[]::INT[]"
+
 
 def _parts(value: str) -> list[str]:
     out, rest = [], value
@@ -191,7 +197,10 @@ def marked(d: Spark, s: str, p: Profile) -> str:
     out = f"lower({s})"
     for letter, base in p.accented.items():
         out = f"replace({out}, '{letter}', '{base}{MARK}')"
-    return out
+    if not p.accented:
+        return out
+    # most words have none
+    return f"CASE WHEN {d.match(f'lower({s})', '[' + ''.join(p.accented) + ']')} THEN {out} ELSE lower({s}) END"
 
 
 def without_marks(d: Spark, s: str, acute_sign: bool = False) -> str:
@@ -210,7 +219,17 @@ def stress_indices(d: Spark, s: str, p: Profile) -> str:
     """Ordinals of the vowels that stand before a stress mark."""
     n = f"length({s})::INT" if d.name == "duck" else f"length({s})"
     places = d.only(d.ints("1", f"{n} - 1"), "i", f"substr({s}, i + 1, 1) = '{MARK}' AND instr('{p.vowels}', substr({s}, i, 1)) > 0")
-    return d.each(places, "i", f"cast({vowel_count(d, f'substr({s}, 1, i)', p)} - 1 as int)")
+    found = d.each(places, "i", f"cast({vowel_count(d, f'substr({s}, 1, i)', p)} - 1 as int)")
+    return f"CASE WHEN instr({s}, '{MARK}') > 0 THEN {found} WHEN {s} IS NOT NULL THEN {d.no_ints()} END"
+
+
+def mark_many(d: Spark, s: str, stress: str, p: Profile) -> str:
+    """The word with a mark after each vowel whose ordinal the list holds;
+    ordinals that no vowel has are left out."""
+    i = "<i>" if d.name == "duck" else "i"
+    n = vowel_count(d, f"lower(substr({s}, 1, ({i} + 1)::INT))" if d.name == "duck" else f"lower(substr({s}, 1, {i} + 1))", p)
+    body = f"CASE WHEN instr('{p.vowels}', lower(c)) > 0 AND {d.has(stress, f'cast({n} - 1 as int)')} THEN concat(c, '{MARK}') ELSE c END"
+    return d.join(d.each(d.chars(s), "c, i", body), "''")
 
 
 def mark_stress(d: Spark, s: str, k: str, p: Profile) -> str:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+
 ORDER = ("src_ord", "form_ord")
 
 
@@ -23,10 +25,16 @@ def merge_sources(forms: DataFrame, fields: list[str]) -> DataFrame:
 
     Two forms are the same if all ``fields`` are equal, nulls included.
     """
-    same = Window.partitionBy("lemma", "_key").orderBy(*ORDER)
-    rows = forms.withColumn("_key", canonical(fields)).withColumn("_rn", F.row_number().over(same))
-    rows = rows.withColumn("_first", F.min("src_ord").over(Window.partitionBy("lemma")))
-    return rows.where("_rn = 1 OR src_ord = _first").drop("_key", "_rn", "_first")
+    forms = stored(forms, "merge-forms")  # read three times
+    # firsts are aggregates, which combine before the shuffle; the rows of the
+    # first source meet a stored table, so that a common lemma is split
+    first = stored(forms.groupBy("lemma").agg(F.min("src_ord").alias("_first")), "merge-first")
+    own = forms.join(first.where("lemma IS NOT NULL"), "lemma").where("src_ord = _first").select(*forms.columns)
+    others = forms.join(first.where("lemma IS NOT NULL"), "lemma").where("src_ord > _first")
+    others = others.groupBy("lemma", canonical(fields).alias("_key"), "_first").agg(F.min(F.struct(*ORDER, *[c for c in forms.columns if c not in (*ORDER, "lemma")])).alias("_r"))
+    known = stored(own.select("lemma", canonical(fields).alias("_key")).distinct(), "merge-known")
+    others = others.join(known, ["lemma", "_key"], "left_anti").select("lemma", "_r.*").select(*forms.columns)
+    return own.unionByName(others)
 
 
 def lemma_patterns(forms: DataFrame, stress: str = "stress") -> DataFrame:
@@ -47,10 +55,19 @@ def union_of_stress(forms: DataFrame, keys: list[str], rest: list[str], stress:
     """One row a key: the union of all patterns, other fields of the first row
     (words with several right stresses)."""
     first = F.min_by(F.struct(*rest), F.struct(*ORDER)).alias("_r")
-    union = F.array_sort(F.array_distinct(F.flatten(F.collect_list(stress)))).alias(stress)
+    union = F.array_sort(F.array_distinct(F.flatten(F.collect_set(stress)))).alias(stress)
     return forms.groupBy(*keys).agg(union, first).select(*keys, stress, "_r.*")
 
 
+def variative_merge(forms: DataFrame) -> DataFrame:
+    """One row of each lemma, sense, part of speech and number, with the union
+    of the patterns; a form without a number counts as singular, one without a
+    part of speech as X.  Other fields come from the first row."""
+    rows = forms.withColumn("number", F.coalesce(F.col("feats")["Number"], F.lit("Sing"))).withColumn("pos", F.coalesce("pos", F.lit("X")))
+    keys = ["lemma", "sense_id", "pos", "number"]
+    return union_of_stress(rows, keys, [c for c in forms.columns if c not in (*keys, *ORDER, "stress")])
+
+
 def merged_meta(entries: DataFrame) -> DataFrame:
     """lemma, meta (map): keys of all sources, the latest source's value."""
     pairs = entries.select("lemma", *ORDER, F.explode("meta").alias("key", "value"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+
 
 def match_score(token_pos: Column, token_feats: Column, pos: Column, feats: Column) -> Column:
     """0.4 for the part of speech, 0.4 times the share of the token's features
@@ -34,7 +36,8 @@ def resolve(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     tokens: token_id, form_norm, pos, feats (map).  The variant of the highest
     score wins, the first of equals; a token without variants has null stress.
     """
-    met = tokens.join(lexicon_arrays(lexicon), "form_norm", "left")
+    # stored, so that the tokens of a common word are split among tasks
+    met = tokens.join(stored(lexicon_arrays(lexicon), "lexicon"), "form_norm", "left")
     scored = F.transform(
         "variants",
         lambda v: F.struct(match_score(F.col("pos"), F.col("feats"), v["pos"], F.map_from_entries(v["feats"])).alias("score"), v["stress"].alias("stress")),

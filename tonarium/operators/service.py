@@ -24,6 +24,27 @@ def service_view(lexicon: DataFrame) -> DataFrame:
     return rows.select("form_norm", "n_variants", (F.col("n_variants") > 1).cast("int").alias("is_heteronym"), "pos_tags")
 
 
+def sample_report(view: DataFrame, keys: int = 50_000, n: int = 20) -> DataFrame:
+    """section, name, n: of the first ``keys`` forms, n that have several
+    stresses, and how many forms have each part of speech."""
+    first = view.orderBy("form_norm").limit(keys)
+    sample = first.where("n_variants > 1").orderBy("form_norm").limit(n).select(F.lit("sample").alias("section"), F.col("form_norm").alias("name"), F.col("n_variants").alias("n"))
+    tags = first.where("pos_tags <> ''").select(F.explode(F.split("pos_tags", ",")).alias("name"))
+    return sample.unionByName(tags.groupBy("name").agg(F.count(F.lit(1)).alias("n")).select(F.lit("histogram").alias("section"), "name", "n"))
+
+
+def megabytes(column: str) -> Column:
+    """Bytes as a text in megabytes."""
+    return F.format_string("%.2f MB", F.col(column) / 1048576.0)
+
+
+def duration(column: str) -> Column:
+    """Seconds as a text: 7s, 3m 5s, 2h 0m."""
+    s = F.col(column).cast("long")
+    text = F.when(s < 60, F.concat(s, F.lit("s"))).when(s < 3600, F.concat(F.floor(s / 60), F.lit("m "), s % 60, F.lit("s")))
+    return text.otherwise(F.concat(F.floor(s / 3600), F.lit("h "), F.floor(s % 3600 / 60), F.lit("m")))
+
+
 def word_gate(form: str, digits: bool = False) -> Column:
     """Is it a word: letters (and apostrophes) only."""
     return F.col(form).rlike(r"^[\p{L}ʼ'’]+$" if not digits else r"^[\p{L}\p{N}ʼ'’]+$")
@@ -51,7 +72,7 @@ def smoke_check(forms: DataFrame, expected: DataFrame) -> DataFrame:
 
     forms: form_norm, stress (array); expected: word, expected (int).
     """
-    seen = forms.groupBy("form_norm").agg(F.array_distinct(F.flatten(F.collect_list("stress"))).alias("seen"))
+    seen = forms.groupBy("form_norm").agg(F.array_distinct(F.flatten(F.collect_set("stress"))).alias("seen"))
     met = expected.join(seen, F.col("word") == F.col("form_norm"), "left")
     return met.select("word", "expected", F.coalesce(F.array_contains("seen", F.col("expected")), F.lit(False)).cast("int").alias("ok"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+
 
 def variant_types(forms: DataFrame) -> DataFrame:
     """lemma, variant_type, is_disambiguable, is_homonym from the distinct
@@ -30,6 +32,11 @@ def lemma_pos(forms: DataFrame) -> DataFrame:
     return forms.select("lemma").distinct().join(best, "lemma", "left").select("lemma", F.coalesce("pos", F.lit("X")).alias("pos"))
 
 
+def pos_distribution(rows: DataFrame) -> DataFrame:
+    """pos, n, and the mean confidences of part of speech and features."""
+    return rows.groupBy("pos").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("pos_confidence"), 6).alias("pos_confidence"), F.round(F.avg("features_confidence"), 6).alias("features_confidence"))
+
+
 def heteronyms(forms: DataFrame, listed: DataFrame | None = None) -> DataFrame:
     """form_norm, stress, stress2, n_stresses, is_variative, is_heteronym: the
     distinct indices of a form in row order.
@@ -59,9 +66,9 @@ def heteronyms(forms: DataFrame, listed: DataFrame | None = None) -> DataFrame:
 
 def conflict_filter(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Rows whose key has one value; rows with a null key or no value go."""
-    over = Window.partitionBy(*keys)
     known = rows.where(" AND ".join(f"{k} IS NOT NULL" for k in keys))
-    return known.withColumn("_lo", F.min(value).over(over)).withColumn("_hi", F.max(value).over(over)).where("_lo = _hi").drop("_lo", "_hi")
+    one = known.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi")).where("_lo = _hi").select(*keys)
+    return known.join(stored(one, "one-value"), keys, "left_semi")
 
 
 def conflict_report(rows: DataFrame, key: str, value: str) -> DataFrame:

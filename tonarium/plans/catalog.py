@@ -56,8 +56,8 @@ TOKENS = r"""tokens AS (SELECT doc_id, lang, source, unnest(range(len(ws)))::INT
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of the accented languages as dictionary entries."""
-    rows = tokens(spark, sf_dir).where("lang IN ('es', 'fr')")
+    """All words as dictionary entries; those without accents have no stress."""
+    rows = tokens(spark, sf_dir)
     rows = rows.selectExpr("doc_id", "lang", "i", "form", f"{SRC} AS src_ord", "doc_id * 1000000 + i AS form_ord", f"{X.marked(S, 'form', LATIN)} AS marked")
     return rows.selectExpr(
         "*", f"{X.dictionary_form(S, 'form', LATIN)} AS lemma", f"{X.stress_indices(S, 'marked', LATIN)} AS stress", f"{POS.format(s='src_ord')} AS pos", f"{FEATS.format(s='src_ord')} AS feats"
@@ -66,7 +66,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ENTRIES = (
     TOKENS
-    + f""", marks AS (SELECT doc_id, lang, i, form, {SRC} AS src_ord, doc_id * 1000000 + i AS form_ord, {X.marked(D, "form", LATIN)} AS marked FROM tokens WHERE lang IN ('es', 'fr')),
+    + f""", marks AS (SELECT doc_id, lang, i, form, {SRC} AS src_ord, doc_id * 1000000 + i AS form_ord, {X.marked(D, "form", LATIN)} AS marked FROM tokens),
 entries AS (SELECT *, {X.dictionary_form(D, "form", LATIN)} AS lemma, {X.stress_indices(D, "marked", LATIN)} AS stress, {POS.format(s="src_ord")} AS pos, {FEATS.format(s="src_ord")} AS feats FROM marks)"""
 )
 
@@ -114,7 +114,8 @@ def apostrophe_report(spark, sf_dir):
 @query(f"""WITH {ENTRIES} SELECT DISTINCT form, marked, {X.without_marks(D, "marked")} AS bare, {D.json("stress")} AS stress FROM entries""")
 def stress_indices(spark, sf_dir):
     """Distinct forms: marked, without marks, ordinals of the stressed vowels."""
-    return entries(spark, sf_dir).selectExpr("form", "marked", f"{X.without_marks(S, 'marked')} AS bare", f"{S.json('stress')} AS stress").distinct()
+    rows = tokens(spark, sf_dir).select("form").distinct().selectExpr("form", f"{X.marked(S, 'form', LATIN)} AS marked")
+    return rows.selectExpr("form", "marked", f"{X.without_marks(S, 'marked')} AS bare", f"{S.json(X.stress_indices(S, 'marked', LATIN))} AS stress")
 
 
 @query(f"""WITH {FORMS} SELECT form, {D.json(X.vowel_positions(D, "form", LATIN))} AS vowels, {X.dictionary_form(D, "form", LATIN)} AS form_norm, {X.djb2(D, "form", 4096)} AS hash FROM forms""")
@@ -211,9 +212,10 @@ heteronyms AS (SELECT h.form_norm, s[1] AS stress, s[2] AS stress2, len(s)::INT
 
 
 def heteronym_rows(spark, sf_dir):
-    rows = entries(spark, sf_dir)
-    forms = rows.select(F.col("lemma").alias("form_norm"), F.col("form_ord").alias("ord"), "stress")
-    return variants.heteronyms(forms, rows.where("length(lemma) = 5").select(F.col("lemma").alias("form_norm")))
+    # each distinct form once, with its least ordinal: the rest is computed for it alone
+    rows = tokens(spark, sf_dir).groupBy("form").agg(F.min(F.expr("doc_id * 1000000 + i")).alias("ord"))
+    rows = rows.selectExpr("ord", f"{X.dictionary_form(S, 'form', LATIN)} AS form_norm", f"{X.marked(S, 'form', LATIN)} AS marked").selectExpr("ord", "form_norm", f"{X.stress_indices(S, 'marked', LATIN)} AS stress")
+    return variants.heteronyms(rows, rows.where("length(form_norm) = 5").select("form_norm"))
 
 
 @query(f"WITH {HETERONYMS} SELECT form_norm, stress, stress2, n_stresses, is_variative::INT AS is_variative, is_heteronym::INT AS is_heteronym FROM heteronyms")
@@ -262,7 +264,7 @@ def insert_or_ignore(spark, sf_dir):
 
 
 @query(
-    f"""WITH {ENTRIES}, lp AS (SELECT lemma, min(pos) AS lemma_pos FROM entries WHERE pos <> 'X' GROUP BY lemma), e AS (SELECT DISTINCT e.lemma, e.pos, e.feats, lp.lemma_pos FROM entries e LEFT JOIN lp USING (lemma)),
+    f"""WITH {ENTRIES}, lc AS (SELECT lemma, pos, count(*) AS n, min(src_ord * 1000000000000 + form_ord) AS first FROM entries WHERE pos <> 'X' GROUP BY lemma, pos), lp AS (SELECT lemma, pos AS lemma_pos FROM lc QUALIFY row_number() OVER (PARTITION BY lemma ORDER BY n DESC, first) = 1), e AS (SELECT DISTINCT e.lemma, e.pos, e.feats, lp.lemma_pos FROM entries e LEFT JOIN lp USING (lemma)),
 x AS (SELECT *, CASE WHEN lemma LIKE '%ment' THEN 'NOUN' WHEN lemma LIKE '%ar' THEN 'VERB' END AS p1, CASE WHEN length(lemma) > 6 THEN 'NOUN' END AS p2, CASE WHEN lemma LIKE '%os' THEN '{{"Number":"Plur"}}' END AS f1 FROM e)
 SELECT lemma, coalesce(CASE WHEN pos <> 'X' THEN pos END, CASE WHEN lemma_pos <> 'X' THEN lemma_pos END, p1, p2, 'X') AS pos,
   CASE WHEN pos <> 'X' THEN 1.0 WHEN lemma_pos <> 'X' THEN 0.9 WHEN p1 IS NOT NULL THEN 0.85 WHEN p2 IS NOT NULL THEN 0.7 ELSE 0.0 END::DOUBLE AS pos_confidence,
@@ -271,7 +273,7 @@ SELECT lemma, coalesce(CASE WHEN pos <> 'X' THEN pos END, CASE WHEN lemma_pos <>
 def enrich_chain(spark, sf_dir):
     """Part of speech and features from the data, the lemma, two rules."""
     rows = entries(spark, sf_dir)
-    best = rows.where("pos <> 'X'").groupBy("lemma").agg(F.min("pos").alias("lemma_pos"))
+    best = variants.lemma_pos(rows).withColumnRenamed("pos", "lemma_pos")
     rows = rows.join(best, "lemma", "left").select("lemma", "pos", "feats", "lemma_pos").distinct()
     first = F.expr("CASE WHEN lemma LIKE '%ment' THEN 'NOUN' WHEN lemma LIKE '%ar' THEN 'VERB' END")
     plural = F.when(F.col("lemma").endswith("os"), '{"Number":"Plur"}')
