@@ -1,7 +1,7 @@
 import json
 
 from tonarium.operators import ml, variants
-from tonarium.sources import readers, sinks
+from tonarium.sources import readers, scratch, sinks
 from tonarium.streaming import incremental
 from pyspark.sql import functions as F
 
@@ -47,19 +47,79 @@ def test_lists_and_hand_tests(spark, tmp_path):
 
 def test_compact_dictionary_round_trip(spark):
     rows = [("вода", 1, None, False, False), ("замок", 0, 1, False, True), ("за", 0, None, False, False), ("зам", 0, None, True, False)]
-    frame = spark.createDataFrame(rows, "form_norm string, stress int, stress2 int, is_variative boolean, is_heteronym boolean")
-    packed = sinks.pack_trie(frame, ALPHABET)
-    assert {r.first_letter: r.n_words for r in packed.collect()} == {"в": 1, "з": 3}
-    assert sorted(map(tuple, sinks.unpack_trie(packed, ALPHABET).collect())) == sorted(rows)
-    nodes = sinks.trie_nodes(frame)
+    frame = spark.createDataFrame([*rows, ("wrong", 0, None, False, False), ("а", None, None, False, False)], "form_norm string, stress int, stress2 int, is_variative boolean, is_heteronym boolean")
+    for prefix, parts in ((0, {"": 4}), (1, {"в": 1, "з": 3}), (3, {"вод": 1, "зам": 2, "за": 1})):
+        packed = sinks.pack_trie(frame, ALPHABET, prefix=prefix)
+        assert {r.part: r.n_words for r in packed.collect()} == parts
+        assert sorted(map(tuple, sinks.unpack_trie(packed).collect())) == sorted(rows)
+        asked = spark.createDataFrame([(w,) for w in ("вода", "вод", "замок", "за", "зама", "водаа", "x", "", None, "вода")], "form_norm string")
+        found = {r.form_norm: r.stress for r in sinks.trie_lookup(packed, asked, prefix).collect()}
+        assert found == {"вода": 1, "вод": None, "замок": 0, "за": 0, "зама": None, "водаа": None, "x": None, "": None}
+    nodes = sinks.trie_nodes(frame.where("form_norm <> 'wrong' AND stress IS NOT NULL"))
     assert nodes.count() == 9 and nodes.where("stress IS NOT NULL").count() == 4
 
 
+def test_layout_of_a_packed_dictionary():
+    data = sinks._trie_bytes([{"form_norm": "ба", "stress": 0, "stress2": 2, "is_variative": True, "is_heteronym": False}, {"form_norm": "в", "stress": 1, "stress2": None, "is_variative": False, "is_heteronym": True}], "абв")
+    head = b"UKST" + bytes([2, 0]) + (4).to_bytes(4, "little") + (2).to_bytes(4, "little") + (3).to_bytes(4, "little") + bytes(2)
+    letters = b"".join(bytes([0xFF]) + ord(c).to_bytes(2, "little") for c in "абв")
+    nodes = [(0xFF, 0xFF, 2, 0xFF, 1), (1, 0xFF, 2, 0xFF, 3), (2, 1, 4, 0xFF, 0), (0, 0, 1 | 8, 2, 0)]
+    assert data == head + letters + b"".join(bytes(n[:4]) + n[4].to_bytes(4, "little") for n in nodes)
+    assert list(sinks.Trie(data)) == [("в", 1, None, False, True), ("ба", 0, 2, True, False)]
+    for bad in (b"XXXX" + data[4:], data[:-1]):
+        try:
+            sinks.Trie(bad)
+        except ValueError:
+            continue
+        raise AssertionError
+
+
+def test_lines_of_several_files_keep_their_order(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "a.txt").write_text("a0\na1\n")
+    (tmp_path / "b.txt").write_text("".join(f"b{i}\n" for i in range(20_000)))
+    with gzip.open(tmp_path / "c.txt.gz", "wt") as f:
+        f.write("c0\nc1")
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = [(r.line, r.value) for r in readers.lines(spark, str(tmp_path)).orderBy("line").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert got == list(enumerate(["a0", "a1", *(f"b{i}" for i in range(20_000)), "c0", "c1"]))
+
+
+def test_many_glosses_and_counts_of_a_scan(spark, tmp_path):
+    entry = {"word": "замок", "pos": "noun", "forms": [{"form": "за́мок"}, {"form": "замок"}, {"form": "x", "tags": ["romanization"]}], "senses": [{"glosses": [f"g{i}" for i in range(2500)]}, {"glosses": []}, {}]}
+    (tmp_path / "k.jsonl").write_text(json.dumps(entry) + "\n\nno json\n" + json.dumps({"pos": "noun"}) + "\n", encoding="utf-8")
+    rows = readers.entry_forms(readers.nested_json(spark, str(tmp_path))).orderBy("sense_at").collect()
+    assert [(r.main_definition, len(r.alt_definitions)) for r in rows] == [("g0", 2499), (None, 0), (None, 0)]
+    report = readers.scan_report(spark, str(tmp_path)).first()
+    assert tuple(report) == (4, 1, 2, 1, 3, 1, 1)
+
+
+def test_last_write_and_cache(spark, tmp_path):
+    frame = spark.createDataFrame([("a", 1, 0, 0), ("a", 2, 1, 0), ("b", 3, 0, 5)], "form_norm string, v int, src_ord int, form_ord int")
+    sinks.write_lookup(frame, str(tmp_path / "kv"), order=["src_ord", "form_ord"])
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "kv")).collect())) == [("a", 2), ("b", 3)]
+    made = []
+
+    def make():
+        made.append(1)
+        return frame
+
+    key = f"words of {tmp_path}"
+    assert scratch.cached(spark, key, make).count() == scratch.cached(spark, key, make).count() == 3 and made == [1]
+    sinks.write_json_array(frame.select("form_norm", "v"), str(tmp_path / "j"), ["v"])
+    assert json.loads(spark.read.text(str(tmp_path / "j")).first()[0]) == [{"form_norm": "a", "v": 1}, {"form_norm": "a", "v": 2}, {"form_norm": "b", "v": 3}]
+
+
 def test_tables(spark, tmp_path):
     forms = spark.sql("SELECT 'a' AS lemma, 'af' AS form, array(0) AS stress, 'NOUN' AS pos, map('Case', 'Nom') AS feats, 'd' AS main_definition, 0 AS src_ord, 0 AS form_ord, array('t') AS tags, array('c', 'e') AS categories")
     tables = sinks.star_schema(forms)
     sinks.write_tables(tables, str(tmp_path / "star"))
-    assert {n: spark.read.parquet(str(tmp_path / "star" / n)).count() for n in tables} == {"word_form": 1, "definition": 1, "feature": 1, "tag": 1, "category": 2, "possible_stress_index": 1}
+    assert {n: spark.read.parquet(str(tmp_path / "star" / n)).count() for n in tables} == {"word_form": 1, "lemma_entry": 1, "definition": 1, "feature": 1, "tag": 1, "category": 2, "possible_stress_index": 1}
     types = variants.variant_types(forms.select("lemma", F.to_json("stress").alias("pattern"), "pos", F.to_json("feats").alias("feats"), F.col("main_definition").alias("definition")))
     rows = forms.union(forms).select("lemma", "form", F.to_json("stress").alias("stress_indices"), "pos", F.to_json("feats").alias("features_json"), F.lit(1.0).alias("pos_confidence"), F.lit(1.0).alias("features_confidence"), "src_ord", "form_ord")
     assert sinks.training_table(rows, types, F.lit("train")).count() == 1

@@ -6,6 +6,52 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def bucket_mean(rows: DataFrame, most: int = 7) -> DataFrame:
+    """accuracy of all rows, and the mean of the buckets' accuracies."""
+    hit = (F.col("y") == F.col("yhat")).cast("int")
+    by = rows.groupBy(F.least("syllables", F.lit(most)).alias("bucket")).agg(F.sum(hit).alias("right"), F.count(F.lit(1)).alias("n"))
+    return by.agg(F.round(F.sum("right") / F.sum("n"), 6).alias("accuracy"), F.round(F.avg(F.col("right") / F.col("n")), 4).alias("mean_of_buckets"))
+
+
+def auc(rows: DataFrame, keys: list[str] = (), score: str = "score") -> DataFrame:
+    """keys, auc: the chance that a row of label 1 scores above one of label 0,
+    ties half; null where a label is missing.  rows: keys, y (0 or 1), score.
+
+    Rows are counted by score first.  Running sums have two levels, over a
+    thousand ranges of scores from 0 to 1 and inside one, so that no
+    task holds all distinct scores.
+    """
+    keys = list(keys)
+    cells = rows.where(F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("_s")).agg(F.count_if(F.col("y") == 1).alias("_p"), F.count_if(F.col("y") == 0).alias("_n"))
+    cells = cells.withColumn("_range", F.floor(F.col("_s") * 1024))
+    ranges = cells.groupBy(*keys, "_range").agg(F.sum("_n").alias("_sum"))
+    by = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(*keys, "_range", F.coalesce(F.sum("_sum").over(by), F.lit(0)).alias("_below"))
+    inside = Window.partitionBy(*keys, "_range").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("_less", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(ranges, [*keys, "_range"])
+    wins = F.sum(F.col("_p") * (F.col("_below") + F.col("_less") + F.col("_n") / 2.0))
+    return cells.groupBy(*keys).agg(F.round(F.try_divide(wins, F.sum("_p").cast("double") * F.sum("_n")), 6).alias("auc"))
+
+
+def ovr_auc(rows: DataFrame, n_classes: int) -> DataFrame:
+    """auc: the mean over classes of each against the rest; 0 unless all classes
+    have rows.  rows: y, p (array of a probability for each class)."""
+    long = rows.select("y", F.posexplode("p").alias("label", "score")).select("label", "score", (F.col("y") == F.col("label")).cast("int").alias("y"))
+    by = auc(long, ["label"])
+    return by.agg(F.when(F.count("auc") == n_classes, F.round(F.avg("auc"), 6)).otherwise(0.0).alias("auc"))
+
+
+def log_loss(rows: DataFrame, least: float = 1e-15) -> DataFrame:
+    """log_loss.  rows: y, p (array of a probability for each class)."""
+    own = F.get("p", F.col("y"))
+    return rows.agg(F.round(-F.avg(F.log(F.greatest(F.lit(least), F.least(F.lit(1 - least), own)))), 6).alias("log_loss"))
+
+
+def binary_metrics(rows: DataFrame) -> DataFrame:
+    """precision, recall, f1 of label 1.  rows: y, yhat."""
+    one = label_metrics(rows).where("label = 1")
+    return one.select(F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), F.round("f1", 6).alias("f1"))
+
 
 def accuracy_by_bucket(rows: DataFrame, most: int = 7) -> DataFrame:
     """bucket (null: all rows), n, accuracy in percent.  rows: syllables, y, yhat."""
@@ -104,7 +150,9 @@ def plateau(trials: DataFrame, keys: list[str], width: int = 10, flat: float = 0
 
 
 def parameter_insight(trials: DataFrame, parameters: list[str], n: int = 10) -> DataFrame:
-    """parameter, mean among the n best and the n worst trials, direction."""
+    """parameter, mean among the n best and the n worst trials, direction;
+    nothing while there are fewer than 2 n trials."""
+    trials = trials.where(trials.select(F.count(F.lit(1))).scalar() >= 2 * n)
     best = trials.orderBy(F.desc("fitness"), "trial").limit(n).withColumn("_top", F.lit(True))
     worst = trials.orderBy("fitness", "trial").limit(n).withColumn("_top", F.lit(False))
     long = best.unionByName(worst).unpivot(["_top"], parameters, "parameter", "value")
@@ -113,12 +161,46 @@ def parameter_insight(trials: DataFrame, parameters: list[str], n: int = 10) ->
 
 
 def progression(trials: DataFrame) -> DataFrame:
-    """Mean fitness of the first and the last third (at least one trial)."""
-    third = max(1, trials.count() // 3)
-    early = trials.orderBy("trial").limit(third).select("fitness", F.lit(True).alias("_early"))
-    late = trials.orderBy(F.desc("trial")).limit(third).select("fitness", F.lit(False).alias("_early"))
+    """Mean fitness of the first and the last third (at least one trial).  The
+    window is over trials, of which a search has hundreds."""
+    n = F.count(F.lit(1)).over(Window.partitionBy())
+    rows = trials.select("fitness", F.row_number().over(Window.orderBy("trial")).alias("_at"), n.alias("_n")).withColumn("_third", F.greatest(F.lit(1), F.floor(F.col("_n") / 3)))
     mean = lambda test: F.round(F.avg(F.when(test, F.col("fitness"))), 6)
-    return early.unionByName(late).agg(mean(F.col("_early")).alias("early"), mean(~F.col("_early")).alias("late"))
+    return rows.agg(mean(F.col("_at") <= F.col("_third")).alias("early"), mean(F.col("_at") > F.col("_n") - F.col("_third")).alias("late"))
+
+
+def training_report(trials: DataFrame, parameters: list[str], n: int = 10) -> DataFrame:
+    """section, name, value (text): phases, insights, landscape, progression
+    and what they advise, as one long table."""
+    line = lambda section, name, value: [F.lit(section).alias("section"), name.alias("name"), value.cast("string").alias("value")]
+    phases = phase_stats(trials)
+    parts = [phases.select(*line("best of phase", F.col("phase"), F.format_string("%.6f", "best"))), phases.select(*line("trials of phase", F.col("phase"), F.col("n")))]
+    insight = parameter_insight(trials, parameters, n)
+    parts.append(insight.select(*line("direction", F.col("parameter"), F.col("direction"))))
+    parts.append(landscape(trials, parameters, n).select(*line("range", F.col("parameter"), F.format_string("%.4f to %.4f", "least", "most"))))
+    gain = progression(trials).select((F.col("late") - F.col("early")).alias("g"))
+    parts.append(gain.select(*line("advice", F.lit("search"), F.when(F.col("g") > 0.002, "go on").when(F.col("g") < -0.002, "go back").otherwise("stop or widen"))))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def leaderboard_text(trials: DataFrame, n: int = 30) -> DataFrame:
+    """rank, line: the leaderboard as lines of text with a bar."""
+    bar = F.concat(F.repeat(F.lit("#"), F.floor(F.col("fitness") * 20).cast("int")), F.repeat(F.lit("."), 20 - F.floor(F.col("fitness") * 20).cast("int")))
+    return leaderboard(trials, n).select("rank", F.concat(F.lpad(F.col("rank").cast("string"), 3, " "), F.lit("  "), F.format_string("%.6f", "fitness"), F.lit("  "), bar, F.lit("  "), F.col("phase"), F.lit(" "), F.col("trial")).alias("line"))
+
+
+def accepted(rows: DataFrame, gain: float = 0.001) -> DataFrame:
+    """base, ensemble (accuracies), base_hand, ensemble_hand (right words of the
+    hand-made test), accept: does the ensemble gain enough, or know more of the
+    words?  rows: y, base, ensemble, is_hand."""
+    right = lambda c: F.avg((F.col(c) == F.col("y")).cast("double"))
+    words = lambda c: F.count_if(F.col("is_hand") & (F.col(c) == F.col("y")))
+    found = rows.agg(right("base").alias("base"), right("ensemble").alias("ensemble"), words("base").alias("base_hand"), words("ensemble").alias("ensemble_hand"))
+    accept = (F.col("ensemble") - F.col("base") >= gain) | (F.col("ensemble_hand") > F.col("base_hand"))
+    return found.select(F.round("base", 6).alias("base"), F.round("ensemble", 6).alias("ensemble"), "base_hand", "ensemble_hand", accept.cast("int").alias("accept"))
 
 
 def class_weights(rows: DataFrame) -> DataFrame:

@@ -14,11 +14,19 @@ from pyspark.sql import functions as F
 from ..functions.dialect import SPARK
 from ..functions.features import base, base_groups, places, universal
 from ..profiles import UKRAINIAN, Profile
-from . import evaluate
+from . import evaluate, filters, variants
 
 MOST_CLASSES = 11
 
 
+def usable_rows(table: DataFrame) -> DataFrame:
+    """Rows of a training table that one can learn from: kinds of ambiguity that
+    morphology can tell apart, and forms whose part of speech and features have
+    one pattern."""
+    rows = table.where(filters.unambiguous("variant_type"))
+    return variants.conflict_filter(rows, ["form", "pos", "features_json"], "stress_indices")
+
+
 def training_set(rows: DataFrame, profile: Profile = UKRAINIAN) -> DataFrame:
     """lemma, form, pos, y and the base and universal features.
 
@@ -50,21 +58,54 @@ def predict(model: PipelineModel, rows: DataFrame, threshold: float = 0.0) -> Da
 
 
 def search(train: DataFrame, test: DataFrame, *, trials: int = 4, seed: int = 42, fraction: float = 0.5) -> list[dict]:
-    """Random search, then a narrower one around the best: parameters and
-    held-out macro-F1 of each trial, best first."""
+    """Three phases: random settings, mutations of the best (evolution), and a
+    range of half to one and a half times the best; 30, 25 and 45 % of the
+    trials.  Parameters, phase and held-out macro-F1 of each trial, best first."""
     rng, out = random.Random(seed), []
     for i in range(trials):
-        if i < (trials + 1) // 2:
+        phase = 1 if i < max(1, round(trials * 0.3)) else 2 if i < max(2, round(trials * 0.55)) else 3
+        best = max(out, key=lambda t: t["macro_f1"], default=None)
+        if phase == 1:
             setting = {"trees": rng.randrange(5, 30), "depth": rng.randrange(4, 10)}
-        else:  # half to one and a half times the best so far, within bounds
-            best = max(out, key=lambda t: t["macro_f1"])
+        elif phase == 2:
+            setting = {"trees": max(5, min(60, best["trees"] + round(rng.gauss(0, 4)))), "depth": max(3, min(12, best["depth"] + round(rng.gauss(0, 1))))}
+        else:
             setting = {"trees": max(5, min(60, round(best["trees"] * rng.uniform(0.5, 1.5)))), "depth": max(3, min(12, round(best["depth"] * rng.uniform(0.5, 1.5))))}
         model = fit(train, seed=seed + i, fraction=fraction, **setting)
         score = evaluate.summary_metrics(predict(model, test).select("y", F.coalesce("yhat", F.lit(-1)).alias("yhat"))).first()
-        out.append(setting | {"trial": i, **score.asDict()})
+        out.append(setting | {"trial": i, "phase": phase, **score.asDict()})
     return sorted(out, key=lambda t: -t["macro_f1"])
 
 
+def refit(train: DataFrame, hand: DataFrame, **setting) -> PipelineModel:
+    """The winner's setting on all rows and the hand-made words of one answer
+    (columns of training_set(); of such words those with a label)."""
+    return fit(train.unionByName(hand.where("y IS NOT NULL").select(*train.columns)), **setting)
+
+
+def manifest(model: PipelineModel, score: dict, n: int = 20) -> dict:
+    """What is stored beside a model: its features, classes and figures."""
+    assembler, forest = model.stages
+    return {"features": assembler.getInputCols(), "classes": forest.numClasses, "trees": forest.getNumTrees, "score": score, "importances": importances(model, n)}
+
+
+#: Ways to resolve, and whether each needs a model or a lookup table.
+MODES = {"auto": (False, False), "db": (False, True), "hybrid": (True, True), "ml": (True, False)}
+
+
+def resolver_mode(mode: str, has_model: bool, has_table: bool) -> str:
+    """The mode that is used: auto takes what there is.  An unknown mode is a
+    ValueError; one that lacks its model or table a FileNotFoundError."""
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode!r}")
+    if mode == "auto":
+        mode = "hybrid" if has_model and has_table else "ml" if has_model else "db"
+    model, table = MODES[mode]
+    if model and not has_model or table and not has_table:
+        raise FileNotFoundError(f"mode {mode} lacks its {'model' if model and not has_model else 'table'}")
+    return mode
+
+
 def importances(model: PipelineModel, n: int = 20) -> list[tuple[str, float]]:
     assembler, forest = model.stages
     return sorted(zip(assembler.getInputCols(), forest.featureImportances.toArray().tolist(), strict=True), key=lambda x: (-x[1], x[0]))[:n]

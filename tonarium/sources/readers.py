@@ -6,7 +6,7 @@ line or array), because later "first" rules need it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,13 +17,18 @@ S = X.SPARK
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line (long), value: text files with the order of their lines.
+    """file, line (long, from 0 over all files in the order of their names),
+    value: text files, also compressed ones, with the order of their lines.
 
-    Bytes before a line order lines inside a file; ids of Spark's partitions
-    give that order without reading a file into one task.
+    Spark deals splits by size, so its row ids order lines inside a split only.
+    Splits are ordered by file and first byte; running sums of their counts give
+    the numbers.  Only one row a split is brought together for that.
     """
-    rows = spark.read.text(path).withColumn("file", F.input_file_name())
-    return rows.withColumn("line", F.monotonically_increasing_id())
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_from"), F.monotonically_increasing_id().alias("_id"))
+    splits = rows.groupBy("file", "_from").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("file", "_from").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("file", "_from", (F.coalesce(before, F.lit(0)) - F.col("_least")).alias("_shift"))
+    return rows.join(splits, ["file", "_from"]).select("file", (F.col("_id") + F.col("_shift")).alias("line"), "value")
 
 
 def map_of(values: dict[str, str]) -> Column:
@@ -45,6 +50,12 @@ def marked_text(rows: DataFrame, profile: Profile = UKRAINIAN) -> DataFrame:
     return words.where(F.size("stress") > 0)
 
 
+def single_values(rows: DataFrame) -> DataFrame:
+    """word, payload of the words that have exactly one distinct value."""
+    found = rows.groupBy("word").agg(F.count_distinct("payload").alias("n"), F.min("payload").alias("payload"))
+    return found.where("n = 1").select("word", "payload")
+
+
 def trie_payloads(rows: DataFrame, profile: Profile = UKRAINIAN) -> DataFrame:
     """word, record, stress, pos, feats: decoded (word, payload) rows.
 
@@ -126,6 +137,31 @@ def nested_json(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("line", F.from_json("value", ENTRY).alias("e")).select("line", "e.*").where("word IS NOT NULL")
 
 
+def scan_report(spark: SparkSession, path: str) -> DataFrame:
+    """lines, empty, broken (no JSON or no word), entries, forms, dropped_forms
+    (not valid), unmarked_forms (valid, without stress) of a nested dictionary."""
+    raw = lines(spark, path).select(F.trim("value").alias("v"), F.from_json("value", ENTRY).alias("e"))
+    forms = F.coalesce("e.forms", F.array().cast(ENTRY["forms"].dataType))
+    valid = F.filter(forms, _is_valid)
+    unmarked = F.filter(valid, lambda f: ~F.contains(f["form"], F.lit("\u0301")))
+    good = F.col("e.word").isNotNull()
+    return raw.agg(
+        F.count(F.lit(1)).alias("lines"),
+        F.count_if(F.col("v") == "").alias("empty"),
+        F.count_if((F.col("v") != "") & ~F.coalesce(good, F.lit(False))).alias("broken"),
+        F.count_if(good).alias("entries"),
+        F.sum(F.when(good, F.size(forms)).otherwise(0)).alias("forms"),
+        F.sum(F.when(good, F.size(forms) - F.size(valid)).otherwise(0)).alias("dropped_forms"),
+        F.sum(F.when(good, F.size(unmarked)).otherwise(0)).alias("unmarked_forms"),
+    )
+
+
+def _is_valid(f: Column) -> Column:
+    """A form that is a word: not one of the table's own marks."""
+    bad = F.arrays_overlap(F.coalesce(f["tags"], F.array().cast("array<string>")), F.array(*[F.lit(t) for t in BAD_TAGS]))
+    return f["form"].isNotNull() & ~f["form"].isin(*BAD_FORMS) & ~bad
+
+
 def entry_forms(entries: DataFrame, profile: Profile = UKRAINIAN) -> DataFrame:
     """One row for each sense and valid form of an entry: lemma, form, stress,
     pos, feats, main_definition, alt_definitions, ipa, categories, sense_id,
@@ -133,7 +169,7 @@ def entry_forms(entries: DataFrame, profile: Profile = UKRAINIAN) -> DataFrame:
     empty = F.array().cast("array<string>")
     senses = entries.select("*", F.posexplode_outer("senses").alias("sense_at", "sense"))
     rows = senses.select("*", F.posexplode("forms").alias("form_at", "f"))
-    rows = rows.where(F.col("f.form").isNotNull() & ~F.col("f.form").isin(*BAD_FORMS) & ~F.arrays_overlap(F.coalesce("f.tags", empty), F.array(*[F.lit(t) for t in BAD_TAGS])))
+    rows = rows.where(_is_valid(F.col("f")))
     rows = rows.withColumn("raw", F.lower("f.form")).withColumn("stress", F.expr(X.stress_indices(S, "raw", profile))).where(F.size("stress") > 0)
     names = lambda c: F.transform(F.coalesce(c, F.array().cast("array<struct<name:string>>")), lambda x: x["name"])
     own = names(F.col("categories"))
@@ -144,7 +180,7 @@ def entry_forms(entries: DataFrame, profile: Profile = UKRAINIAN) -> DataFrame:
         normal_pos(F.col("pos")).alias("pos"),
         tag_features(normal_tags(F.col("f.tags"))).alias("feats"),
         F.get("sense.glosses", F.lit(0)).alias("main_definition"),
-        F.slice(F.coalesce("sense.glosses", empty), 2, 1000).alias("alt_definitions"),
+        F.slice(F.coalesce("sense.glosses", empty), F.lit(2), F.greatest(F.lit(1), F.size(F.coalesce("sense.glosses", empty)))).alias("alt_definitions"),
         F.get(F.filter(F.transform("sounds", lambda s: s["ipa"]), lambda i: i.isNotNull()), F.lit(0)).alias("ipa"),
         F.when(F.size(own) > 0, own).otherwise(names(F.col("sense.categories"))).alias("categories"),
         F.col("sense.id").alias("sense_id"),

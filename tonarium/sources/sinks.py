@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def write_lookup(forms: DataFrame, path: str, key: str = "form_norm") -> None:
-    """A key-value table: one row a key (the last write wins upstream), sorted
-    by key, so that point reads skip row groups."""
+def write_lookup(forms: DataFrame, path: str, key: str = "form_norm", order: list[str] | None = None) -> None:
+    """A key-value table: one row a key, sorted by key, so that point reads skip
+    row groups.  With an order the last write of a key wins; else keys are unique."""
+    if order:
+        rest = [c for c in forms.columns if c not in (key, *order)]
+        forms = forms.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(key, "_r.*")
     forms.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(path)
 
 
@@ -21,24 +24,47 @@ def lookup(table: DataFrame, words: DataFrame, key: str = "form_norm") -> DataFr
     return words.join(table, key, "left")
 
 
-def star_schema(forms: DataFrame) -> dict[str, DataFrame]:
-    """word_form and its children; definitions are numbered by content.
+def content_id(*columns: str):
+    """An id of a row's content: a digest in which nulls and borders count, long
+    enough that no two contents meet."""
+    return F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
+
+
+#: Child tables of a form, and the array or map each comes from.
+CHILDREN = {
+    "feature": ("feats", ("key", "value")), "tag": ("tags", ("tag",)), "category": ("categories", ("category",)), "example": ("examples", ("text",)),
+    "translation": ("translations", ("translation",)), "etymology_template": ("etymology_templates", ("template",)), "inflection_template": ("inflection_templates", ("template",)),
+}
 
-    Ids are digests: they need no global order and repeat from run to run.
-    forms: lemma, form, stress (array), pos, feats (map), main_definition,
-    src_ord, form_ord, tags, categories (arrays).
+
+def star_schema(forms: DataFrame) -> dict[str, DataFrame]:
+    """word_form and its children; definitions and etymologies are numbered by
+    content.  Ids are digests: they need no global order and repeat from run to
+    run.
+
+    forms: lemma, form, stress (array), pos, main_definition, src_ord, form_ord
+    and, as far as there are any, feats (map), tags, categories, examples,
+    translations, etymology_templates, inflection_templates (arrays), etymology
+    (text), meta (map).
     """
-    key = F.xxhash64("lemma", "form", F.to_json("stress"), F.coalesce("pos", F.lit("")), "src_ord", "form_ord")
-    rows = forms.withColumn("id", key)
-    child = lambda c, name: rows.select(F.col("id").alias("word_form_id"), F.explode(c).alias(name))
-    return {
-        "word_form": rows.select("id", "lemma", "form", F.to_json("stress").alias("stress_indices"), "pos", F.xxhash64("main_definition").alias("definition_id"), "src_ord", "form_ord"),
-        "definition": rows.where("main_definition IS NOT NULL").select(F.xxhash64("main_definition").alias("id"), F.col("main_definition").alias("text")).distinct(),
-        "feature": rows.select(F.col("id").alias("word_form_id"), F.explode("feats").alias("key", "value")),
-        "tag": child("tags", "tag"),
-        "category": child("categories", "category"),
+    rows = forms.withColumn("id", content_id("lemma", "form", "stress", "pos", "src_ord", "form_ord"))
+    text_id = lambda c: F.when(F.col(c).isNotNull(), F.md5(c))
+    etymology = [text_id("etymology").alias("etymology_id")] if "etymology" in forms.columns else []
+    texts = lambda c: rows.where(F.col(c).isNotNull()).select(F.md5(c).alias("id"), F.col(c).alias("text")).distinct()
+    out = {
+        "word_form": rows.select("id", "lemma", "form", F.to_json("stress").alias("stress_indices"), "pos", text_id("main_definition").alias("definition_id"), *etymology, "src_ord", "form_ord"),
+        "lemma_entry": rows.where(F.size("stress") > 0).groupBy("lemma").agg(F.to_json(F.array_sort(F.collect_set("stress"))).alias("possible_stress_indices")),
+        "definition": texts("main_definition"),
         "possible_stress_index": rows.select("lemma", F.to_json("stress").alias("pattern")).where("pattern <> '[]'").distinct(),
     }
+    if etymology:
+        out["etymology_text"] = texts("etymology")
+    if "meta" in forms.columns:
+        out["meta"] = rows.select("lemma", "src_ord", "form_ord", F.explode("meta").alias("key", "value")).groupBy("lemma", "key").agg(F.max_by("value", F.struct("src_ord", "form_ord")).alias("value"))
+    for name, (column, names) in CHILDREN.items():
+        if column in forms.columns:
+            out[name] = rows.select(F.col("id").alias("word_form_id"), F.explode(column).alias(*names))
+    return out
 
 
 def write_tables(tables: dict[str, DataFrame], path: str) -> None:
@@ -56,8 +82,13 @@ def training_table(forms: DataFrame, types: DataFrame, split) -> DataFrame:
 
 # --- compact dictionary ------------------------------------------------------
 
-MAGIC, NODE = b"STRI", "<BBBBI"
-NONE = 0xFF
+#: The layout of a packed dictionary.  A header of 20 bytes (magic,
+#: version, 0, numbers of nodes, words and letters, little-endian), 3 bytes a
+#: letter (itself or 0xFF, code point), 8 bytes a node (letter, stress, flags,
+#: second stress, first child).
+MAGIC, VERSION, HEADER = b"UKST", 2, 20
+HEAD, LETTER, NODE = "<4sBBIII", "<BH", "<BBBBI"
+NONE, VARIATIVE, CHILDREN_FLAG, HETERONYM, SECOND = 0xFF, 1, 2, 4, 8
 
 
 def trie_nodes(words: DataFrame, key: str = "form_norm") -> DataFrame:
@@ -69,74 +100,146 @@ def trie_nodes(words: DataFrame, key: str = "form_norm") -> DataFrame:
     return nodes.join(words, nodes["prefix"] == words[key], "left").drop(key)
 
 
-def pack_trie(words: DataFrame, alphabet: str, key: str = "form_norm") -> DataFrame:
-    """first_letter, n_words, data: a binary trie of the words of each first
-    letter, breadth first, children of a node side by side and sorted.
-
-    A node is 8 bytes: letter, stress, flags (word, variative, heteronym, last
-    child), second stress, first child.  Parts by first letter keep any one
-    trie small; words with other letters are left out.
+def _trie_bytes(rows: list[dict], alphabet: str) -> bytes:
+    """The words as a trie, breadth first, children side by side and sorted."""
+    numbers = {c: i for i, c in enumerate(alphabet)}
+    root: dict = {}
+    for r in rows:
+        node = root
+        for c in r["form_norm"]:
+            node = node.setdefault(numbers[c], {})
+        node[-1] = (r["stress"], r["stress2"], r["is_variative"], r["is_heteronym"])
+    queue, letters, parts, at, following = [root], [NONE], [], 0, 1
+    while at < len(queue):
+        node = queue[at]
+        stress, second, variative, heteronym = node.get(-1, (NONE, None, False, False))
+        children = sorted(k for k in node if k >= 0)
+        flags = VARIATIVE * bool(variative) | HETERONYM * bool(heteronym) | SECOND * (second is not None) | CHILDREN_FLAG * bool(children)
+        parts.append(struct.pack(NODE, letters[at], stress, flags, NONE if second is None else second, following if children else 0))
+        queue += [node[k] for k in children]
+        letters += children
+        following += len(children)
+        queue[at] = {}
+        at += 1
+    head = struct.pack(HEAD, MAGIC, VERSION, 0, len(parts), len(rows), len(alphabet)).ljust(HEADER, b"\0")
+    table = b"".join(struct.pack(LETTER, ord(c) if ord(c) < 256 else NONE, ord(c)) for c in alphabet)
+    return head + table + b"".join(parts)
+
+
+class Trie:
+    """A packed dictionary, read: nodes and the range of each one's children.
+
+    Nodes don't say how many children they have; children stand in the order of
+    their parents, so a node's end where the next parent's begin.
     """
-    numbers = {c: i + 1 for i, c in enumerate(alphabet)}
+
+    def __init__(self, data: bytes):
+        if data[:4] != MAGIC or data[4] != VERSION:
+            raise ValueError("not a packed dictionary")
+        _, _, _, n, self.words, size = struct.unpack_from(HEAD, data)
+        if len(data) != HEADER + 3 * size + 8 * n:
+            raise ValueError("a packed dictionary of another length than it says")
+        self.alphabet = "".join(chr(x) for _, x in struct.iter_unpack(LETTER, data[HEADER : HEADER + 3 * size]))
+        self.numbers = {c: i for i, c in enumerate(self.alphabet)}
+        self.nodes = list(struct.iter_unpack(NODE, data[HEADER + 3 * size :]))
+        self.end = [0] * n
+        following = n
+        for i in range(n - 1, -1, -1):
+            if self.nodes[i][2] & CHILDREN_FLAG:
+                self.end[i] = following
+                following = self.nodes[i][4]
+
+    def value(self, at: int) -> tuple | None:
+        _, stress, flags, second, _ = self.nodes[at]
+        if stress == NONE:
+            return None
+        return stress, second if flags & SECOND else None, bool(flags & VARIATIVE), bool(flags & HETERONYM)
+
+    def find(self, word: str) -> tuple | None:
+        """What stands at a word: descend letter by letter, a miss ends it."""
+        at = 0
+        for c in word:
+            wanted, flags, first = self.numbers.get(c), self.nodes[at][2], self.nodes[at][4]
+            if wanted is None or not flags & CHILDREN_FLAG:
+                return None
+            at = next((k for k in range(first, self.end[at]) if self.nodes[k][0] == wanted), None)
+            if at is None:
+                return None
+        return self.value(at)
+
+    def __iter__(self) -> Iterator[tuple]:
+        prefixes = [""] * len(self.nodes)
+        for i, (_, _, flags, _, first) in enumerate(self.nodes):
+            if flags & CHILDREN_FLAG:
+                for k in range(first, self.end[i]):
+                    prefixes[k] = prefixes[i] + self.alphabet[self.nodes[k][0]]
+            if (found := self.value(i)) is not None:
+                yield prefixes[i], *found
+            prefixes[i] = ""
+
+
+def pack_trie(words: DataFrame, alphabet: str, key: str = "form_norm", prefix: int = 2) -> DataFrame:
+    """part, n_words, data: packed dictionaries, one for all words that share
+    their first ``prefix`` letters, so that a common first letter is split; one
+    of prefix 0 holds all.  Words with other letters, without stress, or with
+    one beyond 254 are left out (they have no place in the layout)."""
 
     def build(keys: tuple, batch: pa.Table) -> pa.Table:
-        root: dict = {}
         rows = batch.to_pylist()
-        for r in rows:
-            node = root
-            for c in r["form_norm"]:
-                node = node.setdefault(numbers[c], {})
-            node[0] = (r["stress"], r["stress2"], r["is_variative"], r["is_heteronym"])
-        records: list[list] = [[0, root.get(0), 0, True]]
-        queue, at = [root], 0
-        while at < len(queue):
-            children = sorted(k for k in queue[at] if k)
-            records[at][2] = len(records) if children else 0
-            for i, k in enumerate(children):
-                child = queue[at][k]
-                queue.append(child)
-                records.append([k, child.get(0), 0, i + 1 == len(children)])
-            at += 1
-        data = MAGIC + struct.pack("<I", len(records))
-        for letter, word, first, last in records:
-            stress, second, variative, heteronym = word or (None, None, False, False)
-            flags = (word is not None) | variative << 1 | heteronym << 2 | last << 3
-            data += struct.pack(NODE, letter, NONE if stress is None else stress, flags, NONE if second is None else second, first)
-        return pa.table({"first_letter": pa.array([keys[0].as_py()]), "n_words": pa.array([len(rows)], pa.int64()), "data": pa.array([data], pa.binary())})
-
-    known = words.where(F.col(key).rlike(f"^[{alphabet}]+$")).select(F.col(key).alias("form_norm"), "stress", "stress2", "is_variative", "is_heteronym")
-    return known.groupBy(F.substring("form_norm", 1, 1).alias("first_letter")).applyInArrow(build, "first_letter string, n_words long, data binary")
-
-
-def unpack_trie(parts: DataFrame, alphabet: str) -> DataFrame:
-    """form_norm, stress, stress2, is_variative, is_heteronym of packed tries."""
-
-    def walk(data: bytes) -> Iterator[tuple]:
-        if data[:4] != MAGIC:
-            raise ValueError("not a trie")
-        n = struct.unpack_from("<I", data, 4)[0]
-        if len(data) != 8 + n * struct.calcsize(NODE):
-            raise ValueError("a trie of another length than it says")
-        nodes = list(struct.iter_unpack(NODE, data[8:]))
-        todo = [(0, "")]
-        while todo:
-            at, prefix = todo.pop()
-            _, stress, flags, second, first = nodes[at]
-            if flags & 1:
-                yield prefix, None if stress == NONE else stress, None if second == NONE else second, bool(flags & 2), bool(flags & 4)
-            while first:
-                todo.append((first, prefix + alphabet[nodes[first][0] - 1]))
-                first = 0 if nodes[first][2] & 8 else first + 1
+        return pa.table({"part": pa.array([keys[0].as_py()], pa.string()), "n_words": pa.array([len(rows)], pa.int64()), "data": pa.array([_trie_bytes(rows, alphabet)], pa.binary())})
+
+    known = words.where(F.col(key).rlike(f"^[{alphabet}]*$") & F.col("stress").between(0, NONE - 1))
+    known = known.select(F.col(key).alias("form_norm"), "stress", "stress2", "is_variative", "is_heteronym")
+    return known.groupBy(F.substring("form_norm", 1, prefix).alias("part")).applyInArrow(build, "part string, n_words long, data binary")
+
+
+FOUND = "form_norm string, stress int, stress2 int, is_variative boolean, is_heteronym boolean"
+FOUND_KINDS = (pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())
+FOUND_NAMES = ["form_norm", "stress", "stress2", "is_variative", "is_heteronym"]
+
+
+def unpack_trie(parts: DataFrame) -> DataFrame:
+    """form_norm, stress, stress2, is_variative, is_heteronym of packed
+    dictionaries (column data)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                rows = list(walk(data))
+                rows = list(Trie(data))
                 for at in range(0, len(rows), 10_000):
                     columns = list(zip(*rows[at : at + 10_000], strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_()), strict=True)], ["form_norm", "stress", "stress2", "is_variative", "is_heteronym"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, FOUND_KINDS, strict=True)], FOUND_NAMES)
+
+    return parts.select("data").mapInArrow(run, FOUND)
+
+
+def trie_lookup(parts: DataFrame, words: DataFrame, prefix: int = 2) -> DataFrame:
+    """What the packed dictionaries say of each distinct word (column
+    form_norm); nulls for unknown ones.  A word descends in its own part only."""
+
+    def descend(left: pa.Table, right: pa.Table) -> pa.Table:
+        tries = [Trie(data) for data in right.column("data").to_pylist()]
+        rows = []
+        for word in left.column("form_norm").to_pylist():
+            found = next((f for t in tries if (f := t.find(word)) is not None), None)
+            rows.append((word, *(found or (None,) * 4)))
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+        return pa.table([pa.array(c, t) for c, t in zip(columns, FOUND_KINDS, strict=True)], FOUND_NAMES)
+
+    asked = words.select("form_norm").where("form_norm IS NOT NULL").distinct().withColumn("part", F.substring("form_norm", 1, prefix))
+    return asked.groupBy("part").cogroup(parts.select("part", "data").groupBy("part")).applyInArrow(descend, FOUND)
+
+
+def write_packed(parts: DataFrame, path: str) -> None:
+    """part, n_words, size, sha256 and the bytes compressed; the manifest of the
+    dictionary is the same table without the bytes."""
+    parts.select("part", "n_words", F.length("data").alias("size"), F.sha2("data", 256).alias("sha256"), "data").write.mode("overwrite").option("compression", "gzip").parquet(path)
+
 
-    return parts.select("data").mapInArrow(run, "form_norm string, stress int, stress2 int, is_variative boolean, is_heteronym boolean")
+def write_json_array(rows: DataFrame, path: str, order: list[str]) -> None:
+    """Few ordered rows (a leaderboard) as one text: a JSON array."""
+    items = F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("o"), F.to_json(F.struct(*rows.columns)).alias("j"))))
+    rows.agg(F.concat(F.lit("["), F.array_join(F.transform(items, lambda x: x["j"]), ","), F.lit("]")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
 def append_results(results: DataFrame, path: str, kind: str = "json") -> None:
