@@ -189,7 +189,9 @@ def lookup_form(d: Spark, s: str) -> str:
 def dictionary_form(d: Spark, s: str, p: Profile) -> str:
     """Lookup form without accents (compact-dictionary keys)."""
     out = f"replace({lookup_form(d, s)}, '{MARK}', '')"
-    return f"translate({out}, '{''.join(p.base_letters)}', '{''.join(p.base_letters.values())}')"
+    out = f"translate({out}, '{''.join(p.base_letters)}', '{''.join(p.base_letters.values())}')"
+    # nothing to do for most words of plain letters, and translating is slow
+    return f"CASE WHEN {d.match(s, '^[a-z]+$')} THEN {s} ELSE {out} END"
 
 
 def marked(d: Spark, s: str, p: Profile) -> str:

@@ -7,34 +7,45 @@ every "first" is a window over these two.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from ..sources.scratch import stored
 
 ORDER = ("src_ord", "form_ord")
 
 
-def canonical(columns: list[str]):
-    """All fields as one comparable text (maps by sorted entries)."""
-    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+def canonical(df: DataFrame, columns: list[str]) -> list[Column]:
+    """The columns as keys that can be grouped: maps by their sorted entries."""
+    return [F.array_sort(F.map_entries(f.name)).alias(f.name) if isinstance(f.dataType, MapType) else F.col(f.name) for f in map(df.schema.__getitem__, columns)]
+
+
+def reduced(forms: DataFrame, keys: list[Column | str]) -> DataFrame:
+    """The keys, src_ord and the least form_ord of each key and source: sums up
+    in hash tables on the map side, so that common words hardly travel."""
+    return forms.groupBy(*keys, "src_ord").agg(F.min("form_ord").alias("form_ord"))
 
 
 def merge_sources(forms: DataFrame, fields: list[str]) -> DataFrame:
     """Per lemma: every row of its first source, and the distinct others.
 
-    Two forms are the same if all ``fields`` are equal, nulls included.
+    Two forms are the same if all ``fields`` are equal, nulls included; what is
+    no field comes from the first such row.  Rows without a lemma go.  The rows
+    of the first source meet a stored table, so that a common lemma is split.
     """
-    forms = stored(forms, "merge-forms")  # read three times
-    # firsts are aggregates, which combine before the shuffle; the rows of the
-    # first source meet a stored table, so that a common lemma is split
+    forms = forms.where("lemma IS NOT NULL")
     first = stored(forms.groupBy("lemma").agg(F.min("src_ord").alias("_first")), "merge-first")
-    own = forms.join(first.where("lemma IS NOT NULL"), "lemma").where("src_ord = _first").select(*forms.columns)
-    others = forms.join(first.where("lemma IS NOT NULL"), "lemma").where("src_ord > _first")
-    others = others.groupBy("lemma", canonical(fields).alias("_key"), "_first").agg(F.min(F.struct(*ORDER, *[c for c in forms.columns if c not in (*ORDER, "lemma")])).alias("_r"))
-    known = stored(own.select("lemma", canonical(fields).alias("_key")).distinct(), "merge-known")
-    others = others.join(known, ["lemma", "_key"], "left_anti").select("lemma", "_r.*").select(*forms.columns)
-    return own.unionByName(others)
+    own = forms.join(first, "lemma").where("src_ord = _first").select(*forms.columns)
+    keys, names = canonical(forms, fields), [f"_k{i}" for i in range(len(fields))]
+    least = reduced(forms.withColumns(dict(zip(names, keys, strict=True))), ["lemma", *names])
+    least = least.groupBy("lemma", *names).agg(F.min(F.struct(*ORDER)).alias("_o")).select("lemma", F.col("_o.src_ord").alias("src_ord"), F.col("_o.form_ord").alias("form_ord"), *names)
+    least = least.join(first, "lemma").where("src_ord > _first").drop("_first")
+    if set(forms.columns) == {"lemma", *ORDER, *fields} and not any(isinstance(f.dataType, MapType) for f in forms.schema):
+        others = least.withColumnsRenamed(dict(zip(names, fields, strict=True)))
+    else:  # fetch the other columns of those rows
+        others = forms.join(stored(least.select("lemma", *ORDER).distinct(), "merge-others"), ["lemma", *ORDER], "left_semi")
+    return own.unionByName(others.select(*forms.columns))
 
 
 def lemma_patterns(forms: DataFrame, stress: str = "stress") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..sources.scratch import stored
 
@@ -33,11 +34,17 @@ def lexicon_arrays(lexicon: DataFrame) -> DataFrame:
 def resolve(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Tokens with stress, score, confidence, n_variants.
 
-    tokens: token_id, form_norm, pos, feats (map).  The variant of the highest
-    score wins, the first of equals; a token without variants has null stress.
+    tokens: token_id, form_norm, pos, feats (map, or JSON text).  The variant of
+    the highest score wins, the first of equals; a token without variants has
+    null stress.
+
+    Each distinct form, part of speech and features is scored once.  The scored
+    table is stored, so that the tokens of a common word are split among tasks.
     """
-    # stored, so that the tokens of a common word are split among tasks
-    met = tokens.join(stored(lexicon_arrays(lexicon), "lexicon"), "form_norm", "left")
+    is_text = isinstance(tokens.schema["feats"].dataType, StringType)
+    tokens = tokens.select("token_id", "form_norm", "pos", F.col("feats").alias("_f") if is_text else F.to_json("feats").alias("_f"))
+    asked = tokens.select("form_norm", "pos", "_f").distinct().withColumn("feats", F.from_json("_f", "map<string,string>"))
+    met = asked.join(lexicon_arrays(lexicon), "form_norm", "left")
     scored = F.transform(
         "variants",
         lambda v: F.struct(match_score(F.col("pos"), F.col("feats"), v["pos"], F.map_from_entries(v["feats"])).alias("score"), v["stress"].alias("stress")),
@@ -46,14 +53,18 @@ def resolve(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     best = F.aggregate(F.slice("_s", 2, F.greatest(F.size("_s"), F.lit(1))), F.get("_s", F.lit(0)), lambda b, x: F.when(x["score"] > b["score"], x).otherwise(b))
     met = met.withColumn("_b", best)
     score = F.when(F.size("_s") == 1, 1.0).otherwise(F.coalesce("_b.score", F.lit(0.0)))
-    return met.select(
-        "token_id",
-        "form_norm",
+    known = met.select(
+        F.col("form_norm").alias("_form"),
+        F.col("pos").alias("_pos"),
+        F.col("_f").alias("_feats"),
         F.col("_b.stress").alias("stress"),
         score.alias("score"),
         confidence(F.size("variants"), F.col("_b.score")).alias("confidence"),
         F.coalesce(F.size("variants"), F.lit(0)).alias("n_variants"),
     )
+    known = stored(known, "resolved")
+    same = F.col("form_norm").eqNullSafe(F.col("_form")) & F.col("pos").eqNullSafe(F.col("_pos")) & F.col("_f").eqNullSafe(F.col("_feats"))
+    return tokens.join(known, same).select("token_id", "form_norm", "stress", "score", "confidence", "n_variants")
 
 
 def hybrid(model_stress: Column, model_score: Column, lookup_stress: Column, threshold: float = 0.70) -> Column:

@@ -11,11 +11,9 @@ from ..sources.scratch import stored
 def variant_types(forms: DataFrame) -> DataFrame:
     """lemma, variant_type, is_disambiguable, is_homonym from the distinct
     patterns, (part of speech, features) and definitions of a lemma."""
-    counted = forms.groupBy("lemma").agg(
-        F.count_distinct(F.coalesce("pattern", F.lit(""))).alias("_p"),
-        F.count_distinct(F.concat_ws("|", F.coalesce("pos", F.lit("X")), F.coalesce("feats", F.lit("")))).alias("_m"),
-        F.count_distinct(F.coalesce("definition", F.lit(""))).alias("_d"),
-    )
+    # distinct rows first: common words hardly travel
+    rows = forms.select("lemma", F.coalesce("pattern", F.lit("")).alias("p"), F.concat_ws("|", F.coalesce("pos", F.lit("X")), F.coalesce("feats", F.lit(""))).alias("m"), F.coalesce("definition", F.lit("")).alias("d")).distinct()
+    counted = rows.groupBy("lemma").agg(*[F.size(F.collect_set(c)).alias(f"_{c}") for c in "pmd"])
     kind = F.when(F.col("_p") <= 1, "single").when(F.col("_m") > 1, "morphological_variant").when(F.col("_d") > 1, "grammatical_homonym").otherwise("free_variant")
     return counted.select("lemma", kind.alias("variant_type")).selectExpr(
         "lemma", "variant_type", "CAST(variant_type IN ('morphological_variant', 'grammatical_homonym') AS INT) AS is_disambiguable", "CAST(variant_type <> 'single' AS INT) AS is_homonym"
@@ -44,7 +42,9 @@ def heteronyms(forms: DataFrame, listed: DataFrame | None = None) -> DataFrame:
     forms: form_norm, ord, stress (array).  listed: form_norm of words with
     several right stresses; its size is Spark's to judge.
     """
-    seen = forms.select("form_norm", "ord", F.posexplode("stress").alias("at", "index"))
+    # outer, so that no filter on the list is inferred, which would be computed
+    # again from the text below
+    seen = forms.select("form_norm", "ord", F.posexplode_outer("stress").alias("at", "index")).where("index IS NOT NULL")
     seen = seen.groupBy("form_norm", "index").agg(F.min(F.struct("ord", "at")).alias("first"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("first", "index"))), lambda s: s["index"])
     found = seen.groupBy("form_norm").agg(ordered.alias("indices"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import dialect as X
 from ..functions import features, registry
 from ..operators import evaluate, merge, quality, resolve, sampling, service, variants
-from ..profiles import LATIN, WRONG_APOSTROPHES
+from ..profiles import LATIN, MARK, WRONG_APOSTROPHES
 
 D, S = X.DUCK, X.SPARK
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -295,11 +295,11 @@ resolved AS (SELECT token_id, lang, form_norm, stress, CASE WHEN nv = 0 THEN 0.0
 
 
 def resolved_tokens(spark, sf_dir):
-    rows = entries(spark, sf_dir).withColumn("m", F.from_json("feats", "map<string,string>"))
-    lexicon = rows.where(F.size("stress") > 0).groupBy("lemma", "stress", "pos", "feats").agg(F.min("form_ord").alias("ord"))
+    rows = entries(spark, sf_dir)
+    lexicon = rows.where(F.contains(F.col("marked"), F.lit(MARK))).groupBy("lemma", "stress", "pos", "feats").agg(F.min("form_ord").alias("ord"))
     lexicon = lexicon.select(F.col("lemma").alias("form_norm"), "ord", "stress", F.array("pos").alias("pos"), F.transform_values(F.from_json("feats", "map<string,string>"), lambda _, v: F.array(v)).alias("feats"))
     lexicon = lexicon.withColumn("feats", F.coalesce("feats", F.create_map().cast("map<string,array<string>>")))
-    return resolve.resolve(rows.select(F.col("form_ord").alias("token_id"), F.col("lemma").alias("form_norm"), "pos", F.col("m").alias("feats")), lexicon)
+    return resolve.resolve(rows.select(F.col("form_ord").alias("token_id"), F.col("lemma").alias("form_norm"), "pos", "feats"), lexicon)
 
 
 @query(f"WITH {RESOLVED} SELECT token_id, form_norm, {D.json('stress')} AS stress, round(score, 6) AS score, confidence, n_variants FROM resolved")

@@ -6,9 +6,11 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.merge import reduced
+
 
 def write_lookup(forms: DataFrame, path: str, key: str = "form_norm", order: list[str] | None = None) -> None:
     """A key-value table: one row a key, sorted by key, so that point reads skip
@@ -76,7 +78,8 @@ def training_table(forms: DataFrame, types: DataFrame, split) -> DataFrame:
     """Entries for training: unique by lemma, form, stress, pos, features; the
     first row stays.  types: as variant_types() returns; split: a column."""
     keys = ["lemma", "form", "stress_indices", "pos", "features_json"]
-    rows = forms.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy("src_ord", "form_ord"))).where("_rn = 1")
+    values = ["pos_confidence", "features_confidence"]
+    rows = reduced(forms, [*keys, *values]).groupBy(*keys).agg(F.min_by(F.struct(*values), F.struct("src_ord", "form_ord")).alias("_r")).select(*keys, "_r.*")
     return rows.join(types, "lemma").withColumn("split", split).select(*keys, "pos_confidence", "features_confidence", "variant_type", "is_disambiguable", "is_homonym", "split")
 
 
