@@ -192,9 +192,7 @@ def universal(d: Spark, p: Profile) -> dict[str, str]:
 
 def _rule_flags(d: Spark, p: Profile, suffix: str) -> dict[str, str]:
     s, out = p.suffixes, p.suffixes["prefix_out"][0]
-    verbs = ("ати", "ити", "увати") if p.name == "uk" else ("ar", "ir", "uer")
-    iterative = (verbs[2], "ювати") if p.name == "uk" else (verbs[2],)
-    teen = ("адцять",) if p.name == "uk" else ("teen", "zehn", "ze")
+    verbs, iterative, teen = s["verb"], s["iterative"], s["teen"]
     return {
         f"has_vy_prefix{suffix}": _flag(f"low LIKE '{out}%' AND pos IN ('NOUN', 'VERB')"),
         f"has_gerund_suffix{suffix}": _flag(_ends(d, s["deverbal"])),

@@ -57,6 +57,9 @@ UKRAINIAN = Profile(
         "plural_verb": ("емо", "имо", "ємо", "ете", "ите"),
         "reflexive": ("ся", "сь"),
         "prefix_out": ("ви",),
+        "verb": ("ати", "ити", "увати"),
+        "iterative": ("увати", "ювати"),
+        "teen": ("адцять",),
     },
 )
 
@@ -88,6 +91,9 @@ LATIN = Profile(
         "plural_verb": ("amos", "ons", "ez"),
         "reflexive": ("se", "st"),
         "prefix_out": ("ex",),
+        "verb": ("ar", "ir", "uer"),
+        "iterative": ("uer",),
+        "teen": ("teen", "zehn", "ze"),
     },
 )
 
