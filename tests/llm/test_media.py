@@ -74,3 +74,48 @@ def test_long_tables_and_several_streams():
     assert facts["pid"] == 0x201 and facts["cc_errors"] == facts["sync_errors"] == facts["table_errors"] == 0
     got, _, facts = media.demux(pat + one[:188] + two + b"".join(packets), {})
     assert got == data[0x301] and facts["table_errors"] == 1
+
+
+def test_packets_without_payload_sent_twice_or_announced():
+    data = random.Random(5).randbytes(2000)
+    prologue = media.tables()
+    packets = [media.mux(data, b"")[k : k + 188] for k in range(0, 188 * 12, 188)]
+    packets = [p for p in packets if p]
+    empty = lambda counter, flags: struct.pack(">BHBBB", 0x47, media.STREAM_PID, 0x20 | counter, 183, flags).ljust(188, b"\xff")
+
+    def read(parts):
+        got, units, facts = media.demux(prologue + b"".join(parts), {})
+        return got, [u[5] for u in units], facts["cc_errors"]
+
+    assert read(packets) == (data, [True], 0)
+    assert read([*packets[:4], empty(3, 0), *packets[4:]]) == (data, [True], 0)  # its counter stands still
+    assert read([*packets[:4], packets[3], *packets[4:]]) == (data, [True], 0)
+    got, whole, errors = read([*packets[:4], packets[3], packets[3], *packets[4:]])  # three times are too many
+    assert errors == 1 and whole == [False]
+    lost = [*packets[:4], *packets[5:]]
+    got, whole, errors = read(lost)
+    assert errors == 1 and whole == [False] and len(got) < len(data)
+    assert read([*lost[:4], empty(9, 0x80), *lost[4:]])[2] == 0  # announced; the unit is still too short
+    two = media.mux(random.Random(6).randbytes(70_000), b"")
+    rows = [two[k : k + 188] for k in range(0, len(two), 188)]
+    starts = [k for k, r in enumerate(rows) if r[1] & 0x40]
+    assert read(rows[: starts[1] - 1] + rows[starts[1] :])[1:] == ([False, True, True], 1)
+
+
+def test_query_against_the_texts(spark):
+    import hashlib
+    import os
+    import zlib
+
+    import pytest
+
+    if not os.path.exists("/root/testdata/sf0.001"):
+        pytest.skip("no tables")
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()}
+    got = media.op2_transport_stream(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len(texts)
+    for r in got:
+        data = media.padded(texts[r.doc_id], 64)
+        stream = media.mux(data, media.tables())
+        want = (len(texts[r.doc_id]), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(stream), hashlib.sha256(stream).hexdigest())
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256) == want and "cc_errors=0" in r.feature

@@ -9,10 +9,15 @@ carry a presentation timestamp of the 90 kHz clock.
 The reader follows the tables, whose sections may span packets, to the
 elementary streams of all programs, counts unreadable tables, checks sync bytes and
 continuity counters, reassembles the elementary packets, and stores each unit's
-timestamp, its place in the payload and whether a decoder can start there.
+timestamp, its place in the payload, whether a decoder can start there, and
+whether it is whole.  Counters stand still in packets without payload and in
+one repeated packet, and may jump where the stream says so; any other jump is an
+error, and the unit it falls into isn't whole, nor is one that is shorter than
+it says.
 
 Cases: a null text is the empty text and becomes 64 zero bytes; equal texts
-give equal bytes; null media gives null payload and units; damaged media gives
+give equal bytes, so repeated rows and rows of one id are rows of their own;
+texts of any length are cut into units; null media gives null payload and units; damaged media gives
 the payload that can be reassembled and counts its errors; empty tables and
 extra columns pass (only the named columns are read).
 """
@@ -146,8 +151,8 @@ def sections(packets: np.ndarray) -> tuple[list[bytes], int]:
     return out, errors + bool(held)
 
 
-def demux(media: bytes, known: dict[bytes, tuple[list[bytes], int]]) -> tuple[bytes, list[tuple[int, int, int, bool, int]], dict[str, int]]:
-    """Payload, units (pts, offset, length, random access, pid), and counts.
+def demux(media: bytes, known: dict[bytes, tuple[list[bytes], int]]) -> tuple[bytes, list[tuple[int, int, int, bool, int, bool]], dict[str, int]]:
+    """Payload, units (pts, offset, length, random access, pid, whole), and counts.
 
     The payload holds all elementary streams of all programs, one after the
     other, in the order of the tables; pid and type are those of the first.
@@ -190,7 +195,7 @@ def demux(media: bytes, known: dict[bytes, tuple[list[bytes], int]]) -> tuple[by
                 streams.setdefault(struct.unpack_from(">H", s, at + 1)[0] & 0x1FFF, s[at])
                 at += 5 + (struct.unpack_from(">H", s, at + 3)[0] & 0x0FFF)
     parts: list[bytes] = []
-    units: list[tuple[int, int, int, bool, int]] = []
+    units: list[tuple[int, int, int, bool, int, bool]] = []
     at = 0
     for pid, kind in streams.items():
         if facts["pid"] < 0:
@@ -198,17 +203,26 @@ def demux(media: bytes, known: dict[bytes, tuple[list[bytes], int]]) -> tuple[by
         own, found, errors = elementary(rows[pids == pid])
         facts["cc_errors"] += errors
         parts.append(own)
-        units += [(pts, at + offset, n, start, pid) for pts, offset, n, start in found]
+        units += [(pts, at + offset, n, start, pid, whole) for pts, offset, n, start, whole in found]
         at += len(own)
     return b"".join(parts), units, facts
 
 
-def elementary(rows: np.ndarray) -> tuple[bytes, list[tuple[int, int, int, bool]], int]:
+def elementary(rows: np.ndarray) -> tuple[bytes, list[tuple[int, int, int, bool, bool]], int]:
     """Payload and units of one stream's packets, and its continuity errors."""
+    # a discontinuity may be announced in a packet without payload, too
+    told = (rows[:, 3] & 0x20 > 0) & (rows[:, 4] > 0) & (rows[:, 5] & 0x80 > 0)
+    holds = rows[:, 3] & 0x10 > 0
+    told = np.maximum.accumulate(np.where(told, np.arange(len(rows)), -1))[holds] if len(rows) else told
+    place, rows = np.flatnonzero(holds), rows[holds]
     if not len(rows):
         return b"", [], 0
+    again = np.r_[False, (rows[1:] == rows[:-1]).all(axis=1)]  # a packet may be sent twice
+    again[1:] &= ~again[:-1]
+    place, told, rows = place[~again], told[~again], rows[~again]
     counters = rows[:, 3] & 0x0F
-    cc_errors = int(((counters[1:] - counters[:-1] & 0x0F) != 1).sum())
+    jump = np.r_[False, ((counters[1:] - counters[:-1] & 0x0F) != 1) & (told[1:] <= place[:-1])]
+    cc_errors = int(jump.sum())
     adapted = rows[:, 3] & 0x20 > 0
     offset = np.where(adapted, 5 + rows[:, 4].astype(np.int32), 4)
     starts = rows[:, 1] & 0x40 > 0
@@ -216,8 +230,12 @@ def elementary(rows: np.ndarray) -> tuple[bytes, list[tuple[int, int, int, bool]
     raw = rows[np.arange(PACKET) >= offset[:, None]].tobytes()
     ends = np.cumsum(np.maximum(PACKET - offset, 0))
     begins = (ends - np.maximum(PACKET - offset, 0))[starts].tolist()
+    # a jump at a unit's first packet cuts off the end of the unit before
+    breaks = np.flatnonzero(jump)
+    unit = np.cumsum(starts) - 1
+    broken = set((unit[breaks] - starts[breaks]).tolist())
     parts, units, at = [], [], 0
-    for begin, end, start in zip(begins, [*begins[1:], len(raw)], random[starts].tolist(), strict=True):
+    for k, (begin, end, start) in enumerate(zip(begins, [*begins[1:], len(raw)], random[starts].tolist(), strict=True)):
         if end - begin < HEADER or raw[begin : begin + 3] != b"\0\0\1":
             continue
         size = struct.unpack_from(">H", raw, begin + 4)[0]
@@ -225,7 +243,7 @@ def elementary(rows: np.ndarray) -> tuple[bytes, list[tuple[int, int, int, bool]
         x = raw[begin + 9 : begin + 14]
         pts = (x[0] >> 1 & 7) << 30 | x[1] << 22 | x[2] >> 1 << 15 | x[3] << 7 | x[4] >> 1 if raw[begin + 7] & 0x80 else -1
         data = raw[begin + skip : min(end, begin + 6 + size) if size else end]
-        units.append((pts, at, len(data), start))
+        units.append((pts, at, len(data), start, k not in broken and (not size or end - begin >= 6 + size)))
         parts.append(data)
         at += len(data)
     return b"".join(parts), units, cc_errors
@@ -251,14 +269,14 @@ def encode_transport_stream(docs: DataFrame, *, id_col: str = "doc_id", text_col
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-UNITS = "array<struct<pts:bigint,offset:bigint,length:bigint,random_access:boolean,pid:bigint>>"
+UNITS = "array<struct<pts:bigint,offset:bigint,length:bigint,random_access:boolean,pid:bigint,whole:boolean>>"
 
 
 def decode_transport_stream(streams: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media and what is read from it: payload, units
-    (timestamp, place, length, random access, pid), packets, pid, stream_type,
+    (timestamp, place, length, random access, pid, whole), packets, pid, stream_type,
     cc_errors, sync_errors, table_errors."""
-    units_type = pa.list_(pa.struct([("pts", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("random_access", pa.bool_()), ("pid", pa.int64())]))
+    units_type = pa.list_(pa.struct([("pts", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("random_access", pa.bool_()), ("pid", pa.int64()), ("whole", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, tuple[list[bytes], int]] = {}
@@ -268,7 +286,7 @@ def decode_transport_stream(streams: DataFrame) -> DataFrame:
                 if len(known) > 1000:
                     known.clear()
                 read = [demux(m, known) if m is not None else (None, None, {}) for m in part.column(2).to_pylist()]
-                units = [u if u is None else [{"pts": p, "offset": o, "length": n, "random_access": r, "pid": i} for p, o, n, r, i in u] for _, u, _ in read]
+                units = [u if u is None else [{"pts": p, "offset": o, "length": n, "random_access": r, "pid": i, "whole": w} for p, o, n, r, i, w in u] for _, u, _ in read]
                 facts = [pa.array([f.get(k) for _, _, f in read], pa.int64()) for k in ("packets", "pid", "type", "cc_errors", "sync_errors", "table_errors")]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([p for p, _, _ in read], pa.binary()), pa.array(units, units_type), *facts], ["doc_id", "n_bytes", "media", "payload", "units", "packets", "pid", "stream_type", "cc_errors", "sync_errors", "table_errors"])
 
