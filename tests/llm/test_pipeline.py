@@ -47,3 +47,24 @@ def test_mix_holds_what_is_planned_for_null_and_repeated_ids(spark):
     due = Counter({tuple(r.kept): sum(c.words * 2 > r["size"] for c in r.copies) for r in plan})
     assert got == +due and sum(n for row, n in got.items() if row[0] is None) > 10
     assert sum(r.taken for r in plan) == sum(r.taken for r in mixing.plan_mix(docs).collect())
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_stages_of_empty_tables_and_odd_rows(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    odd = [(1, None, None, None, None), (1, "", "en", None, 0), (None, "two words", None, "s", 9), (None, "two words", None, "s", 9), (2, "two words", "en", "s", 9), (2, "own text here", "en", "t", 13), (3, "x\ny", "en", "t", 3)]
+    for rows in ([], odd):
+        docs = spark.createDataFrame(rows, SCHEMA)
+        kept = corpus_pipeline.common.written(docs.withColumn("extra", corpus_pipeline.F.lit(1)), "odd")
+        sizes = []
+        for name, stage in corpus_pipeline.STAGES:
+            kept = corpus_pipeline.common.written(stage(spark, kept, str(tmp_path)), name)
+            sizes.append(kept.count())
+            if name != "packing":
+                assert kept.columns == corpus_pipeline.COLUMNS
+        if not rows:
+            assert sizes == [0] * 5
+        else:  # the null and the empty text are one group; the unnamed rows stay
+            assert sizes[:3] == [7, 7, 6] and sizes[3] > 0 and sizes[4] >= sizes[3]
