@@ -397,9 +397,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without its repeated strings of 400 bytes."""
+    """Every document without its repeated strings of 400 bytes: what is removed
+    comes first, n_bytes is the length before it."""
     found = remove_repeats(table(spark, sf_dir, "documents"))
     return found.select(
-        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        "doc_id", "n_removed", F.size("spans").cast("long").alias("n_spans"), "n_bytes", F.sha2("kept", 256).alias("kept_sha256"),
         (F.col("n_removed") > 0).alias("has_repeat"), F.length("kept").cast("long").alias("kept_bytes"),
     )
