@@ -111,3 +111,31 @@ def test_usable_rows(spark):
     rows = [("а", "ф", "[0]", "NOUN", "{}", "single"), ("а", "г", "[0]", "NOUN", "{}", "free_variant"), ("б", "x", "[0]", "NOUN", "{}", "single"), ("б", "x", "[1]", "NOUN", "{}", "single"), ("в", "y", "[0]", None, "{}", "single")]
     frame = spark.createDataFrame(rows, "lemma string, form string, stress_indices string, pos string, features_json string, variant_type string")
     assert [r.form for r in ml.usable_rows(frame).collect()] == ["ф"]
+
+
+def test_event_windows_of_a_stream_equal_a_batch(spark, tmp_path):
+    from tonarium.streaming import incremental
+
+    events = spark.sql("SELECT timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, id * 7 % 60, id) AS ts, if(id % 3 = 0, 'a', 'b') AS event_type, double(id) AS value FROM range(200)")
+    events.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = incremental.form_stream(spark, str(tmp_path / "in"), schema="ts timestamp, event_type string, value double")
+    q = incremental.event_windows(stream).writeStream.outputMode("complete").format("memory").queryName("windows").start()
+    q.processAllAvailable()
+    q.stop()
+    got = sorted(map(str, spark.table("windows").collect()))
+    assert got == sorted(map(str, incremental.event_windows(events).collect())) and len(got) > 10
+    assert spark.table("windows").agg({"n": "sum"}).first()[0] == 200
+
+
+def test_results_are_appended_and_training_columns_read(spark, tmp_path):
+    from tonarium.sources import readers, sinks
+
+    for kind in ("json", "csv", "parquet"):
+        for k in range(2):
+            sinks.append_results(spark.createDataFrame([(k, 0.5)], "trial int, fitness double"), str(tmp_path / kind), kind)
+        found = spark.read.option("header", True).format(kind).load(str(tmp_path / kind))
+        assert sorted(int(r.trial) for r in found.collect()) == [0, 1]
+    table = spark.sql("SELECT 'l' AS lemma, 'f' AS form, '[0]' AS stress_indices, 'X' AS pos, '{}' AS features_json, 'single' AS variant_type, 'train' AS split")
+    table.write.parquet(str(tmp_path / "t"))
+    rows = readers.training_rows(spark, str(tmp_path / "t"))
+    assert rows.columns == ["lemma", "form", "stress_indices", "pos", "features_json", "variant_type"] and rows.count() == 1
