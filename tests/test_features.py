@@ -1,3 +1,4 @@
+import json
 import re
 
 import numpy as np
@@ -68,3 +69,26 @@ def test_flags(spark):
     got = {r.form: r for r in features.feature_columns(spark.createDataFrame(rows, "form string, pos string, feats string"), UKRAINIAN, ["endings", "universal"]).collect()}
     assert got["київський"].has_adcat_suffix == 1 and got["виходити"].has_vy_prefix_verb == 1 and got["виходити"].is_infinitive == 1
     assert got["навчання"].has_deverbal_suffix == 1 and got["моряк"].has_masc_stress_suffix == 1 and got["моряк"].has_oxytone_mobile_u == 1
+
+
+def slow_early(form, pos, feats, stress):
+    """The early columns from their definitions."""
+    v = [i for i, c in enumerate(form.lower()) if c in V]
+    n, has = len(form), json.loads(feats or "{}")
+    out = {"word_len": n, "vowel_count": len(v), "num_syllables": len(v), "dist_to_first_vowel": v[0] if v else 0, "dist_from_last_vowel": n - v[-1] - 1 if v else 0}
+    out |= {"last_vowel_pos": v[-1] if v else -1, "pos": pos or "", "case": has.get("Case", ""), "number": has.get("Number", ""), "gender": has.get("Gender", "")}
+    out |= {"is_homonym": 0, "is_disambiguable": 1, "num_stresses": len(stress), "is_multi_stress": int(len(stress) > 1), "pos_confidence": 1.0, "features_confidence": 0.25}
+    out |= {f"suffix_{i}": form[-i:] if n >= i else "" for i in (2, 3, 4, 5)}
+    out |= {"suffix3_pos": (form[-3:] if n >= 3 else "") + "_" + (pos or ""), "first_vowel_ratio": v[0] / n if v else 0.0, "last_vowel_ratio": v[-1] / n if v else 0.0}
+    out |= {"prefix_2": form[:2] if n >= 2 else "", "first_syllable_type": "C" * v[0] + "V" if v else "no_vowel", "label": min(stress[0], 6) if stress else -1}
+    return out
+
+
+def test_early_features(spark):
+    rows = [(w, pos, feats, stress) for w in WORDS for pos, feats, stress in (("NOUN", '{"Case":"Gen","Gender":"Masc"}', [1]), (None, None, []), ("X", "{}", [8, 2]))]
+    frame = spark.createDataFrame([(*r, None, 1, None, 0.25) for r in rows], "form string, pos string, feats string, stress array<int>, is_homonym int, is_disambiguable int, pos_confidence double, features_confidence double")
+    got = features.early_columns(frame, UKRAINIAN)
+    assert len(got.columns) == 1 + 25 + 1
+    for r, row in zip(rows, got.collect(), strict=True):
+        assert row.asDict() == {"form": r[0]} | slow_early(*r), r
+    assert len(features.early_columns(frame, UKRAINIAN, later=False).columns) == 1 + 21 + 1

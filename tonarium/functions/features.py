@@ -236,6 +236,56 @@ def two_syllables(d: Spark, p: Profile) -> dict[str, str]:
     }
 
 
+#: What the second of the early feature sets has beyond the first.
+LATER = ("suffix_5", "suffix3_pos", "first_vowel_ratio", "last_vowel_ratio")
+#: Stresses beyond the sixth vowel are one class.
+EARLY_CLASSES = 7
+
+
+def early(d: Spark) -> dict[str, str]:
+    """The 25 columns of the early models and their label, over base() and
+    places() of rows with form, pos, feats, stress (array), the two flags of a
+    homonym and the two confidences of a training table.  Texts stay texts; a
+    label of -1 is a form without stress."""
+    ends = lambda i: f"CASE WHEN n >= {i} THEN right(form, {i}) ELSE '' END"
+    if d.name == "spark":
+        value = lambda key: f"coalesce(get_json_object(feats, '$.{key}'), '')"
+    else:
+        value = lambda key: f"coalesce(CASE WHEN json_valid(feats) THEN json_extract_string(feats, '$.{key}') END, '')"
+    out = {"word_len": "n", "vowel_count": "k", "num_syllables": "k", "dist_to_first_vowel": "coalesce(v0, 0)"}
+    out |= {"dist_from_last_vowel": "CASE WHEN k > 0 THEN n - vl - 1 ELSE 0 END", "last_vowel_pos": "coalesce(vl, -1)", "pos": "coalesce(pos, '')"}
+    out |= {key.lower(): value(key) for key in ("Case", "Number", "Gender")}
+    out |= {"is_homonym": "coalesce(is_homonym, 0)", "is_disambiguable": "coalesce(is_disambiguable, 0)"}
+    out |= {"num_stresses": d.size("stress"), "is_multi_stress": _flag(f"{d.size('stress')} > 1")}
+    out |= {f"{name}_confidence": f"coalesce({name}_confidence, {d.number('1')})" for name in ("pos", "features")}
+    out |= {f"suffix_{i}": ends(i) for i in (2, 3, 4, 5)}
+    out["suffix3_pos"] = f"concat({ends(3)}, '_', coalesce(pos, ''))"
+    out |= {"first_vowel_ratio": _ratio(d, "v0"), "last_vowel_ratio": _ratio(d, "vl")}
+    out["prefix_2"] = "CASE WHEN n >= 2 THEN substr(form, 1, 2) ELSE '' END"
+    out["first_syllable_type"] = "CASE WHEN k = 0 THEN 'no_vowel' ELSE concat(repeat('C', v0), 'V') END"
+    out["label"] = f"CASE WHEN {d.size('stress')} > 0 THEN least({d.at('stress', 0)}, {EARLY_CLASSES - 1}) ELSE -1 END"
+    return out
+
+
+def early_columns(df, p: Profile, later: bool = True):
+    """A Spark frame of such rows as form and the early features; without later,
+    the 21 of the first set."""
+    from .dialect import SPARK
+
+    df = df.selectExpr("*", *[f"{x} AS {n}" for n, x in base(SPARK, p).items()])
+    df = df.selectExpr("*", *[f"{x} AS {n}" for n, x in places(SPARK, p).items()])
+    return df.selectExpr("form", *[f"{x} AS {n}" for n, x in early(SPARK).items() if later or n not in LATER])
+
+
+def early_sql(p: Profile, source: str) -> str:
+    """The same as DuckDB SQL over a query of such rows."""
+    from .dialect import DUCK
+
+    inner = ", ".join(f"{x} AS {n}" for n, x in base(DUCK, p).items())
+    middle = ", ".join(f"{x} AS {n}" for n, x in places(DUCK, p).items())
+    return f"SELECT form, {', '.join(f'{x} AS {n}' for n, x in early(DUCK).items())} FROM (SELECT *, {middle} FROM (SELECT *, {inner} FROM ({source})))"
+
+
 def groups(d: Spark, p: Profile) -> dict[str, dict[str, str]]:
     return base_groups(d, p) | {"universal": universal(d, p), "three_syllables": three_syllables(d, p), "two_syllables": two_syllables(d, p)}
 

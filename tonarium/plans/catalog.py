@@ -148,6 +148,17 @@ for _group in ("shape", "hashes", "clusters", "endings", "contexts", "syllables"
     _feature_query(_group)
 
 
+_EARLY = "int({size} > 1) AS is_homonym, int({size} = 1) AS is_disambiguable, double(CASE WHEN pos IS NULL THEN 0.5 END) AS pos_confidence, double(CASE WHEN feats IS NULL THEN 0.5 END) AS features_confidence"
+_EARLY_DUCK = "(len(stress) > 1)::INT AS is_homonym, (len(stress) = 1)::INT AS is_disambiguable, CASE WHEN pos IS NULL THEN 0.5::DOUBLE END AS pos_confidence, CASE WHEN feats IS NULL THEN 0.5::DOUBLE END AS features_confidence"
+
+
+@query(f"WITH {ENTRIES} " + features.early_sql(LATIN, f"SELECT form, pos, feats, stress, {_EARLY_DUCK} FROM (SELECT DISTINCT form, pos, feats, stress FROM entries)"))
+def features_early(spark, sf_dir):
+    """The early models' columns for every distinct entry."""
+    rows = entries(spark, sf_dir).select("form", "pos", "feats", "stress").distinct()
+    return features.early_columns(rows.selectExpr("*", *_EARLY.format(size="size(stress)").split(", ")), LATIN)
+
+
 # --- merging ----------------------------------------------------------------
 
 FIELDS = ["form", "stress", "pos", "feats"]
