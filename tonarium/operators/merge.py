@@ -35,10 +35,10 @@ def merge_sources(forms: DataFrame, fields: list[str]) -> DataFrame:
     of the first source meet a stored table, so that a common lemma is split.
     """
     forms = forms.where("lemma IS NOT NULL")
-    first = stored(forms.groupBy("lemma").agg(F.min("src_ord").alias("_first")), "merge-first")
-    own = forms.join(first, "lemma").where("src_ord = _first").select(*forms.columns)
     keys, names = canonical(forms, fields), [f"_k{i}" for i in range(len(fields))]
-    least = reduced(forms.withColumns(dict(zip(names, keys, strict=True))), ["lemma", *names])
+    least = stored(reduced(forms.withColumns(dict(zip(names, keys, strict=True))), ["lemma", *names]), "merge-distinct")
+    first = stored(least.groupBy("lemma").agg(F.min("src_ord").alias("_first")), "merge-first")
+    own = forms.join(first, "lemma").where("src_ord = _first").select(*forms.columns)
     least = least.groupBy("lemma", *names).agg(F.min(F.struct(*ORDER)).alias("_o")).select("lemma", F.col("_o.src_ord").alias("src_ord"), F.col("_o.form_ord").alias("form_ord"), *names)
     least = least.join(first, "lemma").where("src_ord > _first").drop("_first")
     if set(forms.columns) == {"lemma", *ORDER, *fields} and not any(isinstance(f.dataType, MapType) for f in forms.schema):
