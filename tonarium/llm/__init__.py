@@ -1,5 +1,6 @@
 """Operators for training-data pipelines: packing, media columns, exact top-k,
-URL filters, line and substring dedup, SimHash, mixing, HTML text, toxicity.
+URL filters, line and substring dedup, SimHash, mixing, HTML text, toxicity,
+token counts, periodic runs, importance resampling.
 
 Nothing outside this subpackage imports it.  Functions that run on executors
 are pickled by value, so executors need no copy of the package.

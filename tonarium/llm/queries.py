@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import htmltext, linededup, media, mixing, packing, simhash, sufdedup, topk, toxicity, urlfilter
+from . import htmltext, linededup, media, mixing, packing, resample, runs, simhash, sufdedup, tokencount, topk, toxicity, urlfilter
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_html_text": htmltext.op9_html_text,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_token_counts": tokencount.op11_token_counts,
+    "op12_periodic_runs": runs.op12_periodic_runs,
+    "op13_importance_resampling": resample.op13_importance_resampling,
 }
 
 ORACLE_SQL: dict[str, str] = {
