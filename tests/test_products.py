@@ -139,3 +139,36 @@ def test_results_are_appended_and_training_columns_read(spark, tmp_path):
     table.write.parquet(str(tmp_path / "t"))
     rows = readers.training_rows(spark, str(tmp_path / "t"))
     assert rows.columns == ["lemma", "form", "stress_indices", "pos", "features_json", "variant_type"] and rows.count() == 1
+
+
+def test_token_places_of_repeated_and_null_ids(spark):
+    from tonarium.operators import filters
+
+    rows = [(1, "Ann sat. She ran!? Yes\n"), (1, "One two"), (None, "A b."), (None, "C  d e"), (2, None), (3, ""), (4, " \n ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [(r.doc_id, r.sent_id, r.begin, r.end, r["first"], " ".join(t.form for t in r.tokens)) for r in filters.sentences(docs).collect()]
+    assert sorted(found, key=str) == sorted([(1, 0, 0, 8, 0, "Ann sat ."), (1, 1, 9, 18, 3, "She ran ! ?"), (1, 2, 19, 22, 7, "Yes"), (1, 0, 0, 7, 0, "One two"), (None, 0, 0, 4, 0, "A b ."), (None, 0, 0, 6, 0, "C d e")], key=str)
+    tokens = filters.token_attributes(docs)
+    assert "Exchange" not in tokens._jdf.queryExecution().executedPlan().toString()
+    by_text = {}
+    for r in tokens.collect():
+        by_text.setdefault((r.doc_id, r.form), []).append((r.i, r.idx, r.has_space, r.is_sent_start))
+    assert by_text[1, "sat"] == [(1, 4, 0, 0)] and by_text[1, "two"] == [(1, 4, 0, 0)] and by_text[1, "Yes"] == [(7, 19, 1, 1)] and by_text[None, "d"] == [(1, 3, 1, 0)]
+
+
+def test_a_million_words_keep_to_their_document(spark, tmp_path):
+    from tonarium.plans import catalog
+
+    rows = [(1, "en", "src0", "a " * 1_000_002), (2, "en", "src0", "b")]
+    spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.words for r in catalog.QUERIES["coverage_by_doc"](spark, str(tmp_path)).collect()} == {1: 1_000_002, 2: 1}
+
+
+def test_long_words_are_words(spark, tmp_path):
+    from tonarium.plans import products
+
+    long = "b" * 260 + "é" + "b" * 200
+    rows = [(1, "fr", "src0", f"café {long}")]
+    spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert products.QUERIES["mark_many"](spark, str(tmp_path)).count() == 2
+    assert {r.word[:4]: r.stress for r in products.QUERIES["trie_scan"](spark, str(tmp_path)).collect()} == {"cafe": "[1]", "bbbb": "[]"}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,46 +61,87 @@ def with_heads(tokens: DataFrame) -> DataFrame:
 
 #: A token: a word with its apostrophes, a number, an address, one other sign.
 TOKEN = r"[A-Za-z0-9._+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+|https?://[^\s]+|\p{L}+(?:[ʼ'’]\p{L}+)*|\d+(?:[.,]\d+)*|[^\s]"
+SPACES = " \t\n\x0b\f\r"
+#: Tokens that a task hands on at once.
+TOKENS_HELD = 1 << 16
+
+
+def _sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import regex
+
+    # white space and digits as in the SQL engines: ASCII
+    pattern = regex.compile(TOKEN.replace(r"[^@\s]", f"[^@{SPACES}]").replace(r"[^\s]", f"[^{SPACES}]").replace(r"\d", "[0-9]"))
+    kinds = {"doc_id": None, "sent_id": pa.int32(), "begin": pa.int32(), "end": pa.int32(), "first": pa.int32()}
+    for batch in batches:
+        kinds["doc_id"] = batch.column(0).type
+        rows: list[tuple] = []
+        starts, forms, idx, after = [0], [], [], []
+
+        def out() -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True))
+            tokens = pa.StructArray.from_arrays([pa.array(forms, pa.string()), pa.array(idx, pa.int32()), pa.array(after, pa.bool_())], ["form", "idx", "has_space"])
+            found = pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), tokens)], [*kinds, "tokens"])
+            for x in (rows, forms, idx, after):
+                x.clear()
+            starts[:] = [0]
+            return found
+
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            i = first = sentence = begin = end = 0
+            ended = False
+            for m in pattern.finditer(text):
+                form = m[0]
+                ends = form in ".!?"
+                if ended and not ends:  # the token before this one ended a sentence
+                    rows.append((doc, sentence, begin, end, first))
+                    starts.append(len(forms))
+                    sentence, first = sentence + 1, i
+                    if len(forms) > TOKENS_HELD:
+                        yield out()
+                if i == first:
+                    begin = m.start()
+                end, ended = m.end(), ends
+                forms.append(form)
+                idx.append(m.start())
+                after.append(text[end : end + 1] in SPACES and end < len(text))
+                i += 1
+            if i:
+                rows.append((doc, sentence, begin, end, first))
+                starts.append(len(forms))
+        if rows:
+            yield out()
+
+
+def sentences(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """One row a sentence: doc_id, sent_id (from 0), begin and end in the text,
+    first (its first token's number), tokens (array of form, idx, has_space).
+
+    Sentences end after a run of full stops, question and exclamation marks.
+    A text is read in its own row, in order: rows that repeat a doc_id, or lack
+    one, are texts of their own, and nothing is shuffled.  Null and empty texts
+    have no sentences.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", F.col(text_col).alias("_text")).where("_text IS NOT NULL")
+    return rows.mapInArrow(_sentences, f"doc_id {kind}, sent_id int, begin int, `end` int, first int, tokens array<struct<form: string, idx: int, has_space: boolean>>")
 
 
 def token_attributes(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Every token of every text with its surface attributes: doc_id, i, idx
-    (place in the text, from 0), sent_id, and what its characters say.
-
-    A text is cut into tokens and the white space between them, so that places
-    are running sums of lengths.  Sentences end after a run of full stops,
-    question and exclamation marks.  Null texts have no tokens.
-    """
-    from pyspark.sql import Window
-
-    pieces = docs.select("doc_id", F.posexplode(F.regexp_extract_all(text_col, F.lit(rf"(\s+|{TOKEN})"), 0)).alias("at", "piece"))
-    by = Window.partitionBy("doc_id").orderBy("at")
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    space = F.col("piece").rlike(r"^\s")
-    ends = F.col("piece").rlike(r"^[.!?]$")
-    rows = pieces.select(
-        "doc_id",
-        F.col("piece").alias("form"),
-        space.alias("_space"),
-        F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)).alias("idx"),
-        F.coalesce(F.count_if(~space).over(before), F.lit(0)).alias("i"),
-        F.coalesce(F.lead(space).over(by), F.lit(False)).alias("_after"),
-        F.when(~space, ends).alias("_end"),
-        "at",
-    ).where(~F.col("_space"))
-    starts = F.coalesce(F.lag("_end").over(by) & ~F.col("_end"), F.lit(False))
-    rows = rows.withColumn("_new", starts)
-    rows = rows.withColumn("sent_id", F.sum(F.col("_new").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    (place in the text, from 0), sent_id, and what its characters say; of the
+    rows of sentences()."""
+    rows = sentences(docs, text_col).select("doc_id", "sent_id", "first", F.posexplode("tokens").alias("_at", "_t"))
+    rows = rows.select("doc_id", "sent_id", (F.col("first") + F.col("_at")).alias("i"), F.col("_t.idx").alias("idx"), F.col("_t.form").alias("form"), F.col("_t.has_space").alias("_after"), (F.col("_at") == 0).alias("_new"))
     form = F.col("form")
     flag = lambda c: c.cast("int")
     return rows.select(
         "doc_id",
-        F.col("i").cast("int").alias("i"),
-        F.col("idx").cast("int").alias("idx"),
-        F.col("sent_id").cast("int").alias("sent_id"),
+        "i",
+        "idx",
+        "sent_id",
         "form",
         F.lower("form").alias("lower"),
-        flag(F.col("_new") | (F.col("i") == 0)).alias("is_sent_start"),
+        flag(F.col("_new")).alias("is_sent_start"),
         flag(F.col("_after")).alias("has_space"),
         flag(form.rlike(r"^\p{L}+$")).alias("is_alpha"),
         flag(form.rlike(r"^\d+$")).alias("is_digit"),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.dialect import SPARK
 from ..functions.features import base, base_groups, places, universal
 from ..profiles import UKRAINIAN, Profile
-from . import evaluate, filters, variants
+from . import evaluate, filters, optimize, variants
 
 MOST_CLASSES = 11
 
@@ -57,23 +57,36 @@ def predict(model: PipelineModel, rows: DataFrame, threshold: float = 0.0) -> Da
     return out.select("lemma", "form", "pos", "syllables", F.col("y").cast("int").alias("y"), F.when(known, best).alias("yhat"), "p")
 
 
-def search(train: DataFrame, test: DataFrame, *, trials: int = 4, seed: int = 42, fraction: float = 0.5) -> list[dict]:
-    """Three phases: random settings, mutations of the best (evolution), and a
-    range of half to one and a half times the best; 30, 25 and 45 % of the
-    trials.  Parameters, phase and held-out macro-F1 of each trial, best first."""
-    rng, out = random.Random(seed), []
-    for i in range(trials):
-        phase = 1 if i < max(1, round(trials * 0.3)) else 2 if i < max(2, round(trials * 0.55)) else 3
-        best = max(out, key=lambda t: t["macro_f1"], default=None)
-        if phase == 1:
-            setting = {"trees": rng.randrange(5, 30), "depth": rng.randrange(4, 10)}
-        elif phase == 2:
-            setting = {"trees": max(5, min(60, best["trees"] + round(rng.gauss(0, 4)))), "depth": max(3, min(12, best["depth"] + round(rng.gauss(0, 1))))}
-        else:
-            setting = {"trees": max(5, min(60, round(best["trees"] * rng.uniform(0.5, 1.5)))), "depth": max(3, min(12, round(best["depth"] * rng.uniform(0.5, 1.5))))}
-        model = fit(train, seed=seed + i, fraction=fraction, **setting)
+BOUNDS = {"trees": (5, 60), "depth": (3, 12)}
+
+
+def search(train: DataFrame, test: DataFrame, *, trials: int = 4, seed: int = 42, fraction: float = 0.5, most: int = 4) -> list[dict]:
+    """Three phases: random settings, an evolution that adapts a covariance from
+    the best of them, and settings by density ratio; 30, 25 and 45 % of the
+    trials.  The trials of a phase that don't wait for each other run at once, at
+    most ``most``.  Parameters, phase and held-out macro-F1 of each trial, best
+    first."""
+    spark, rng, out = train.sparkSession, random.Random(seed), []
+
+    def objective(trial: dict) -> dict:
+        model = fit(train, seed=seed + trial["trial"], fraction=fraction, trees=trial["trees"], depth=trial["depth"])
         score = evaluate.summary_metrics(predict(model, test).select("y", F.coalesce("yhat", F.lit(-1)).alias("yhat"))).first()
-        out.append(setting | {"trial": i, "phase": phase, **score.asDict()})
+        return trial | score.asDict()
+
+    def run(settings: list[dict], phase: int) -> list[dict]:
+        numbered = [{k: round(v) for k, v in s.items()} | {"trial": len(out) + i, "phase": phase} for i, s in enumerate(settings)]
+        done = optimize.at_once(spark, objective, numbered, most)
+        out.extend(done)
+        return done
+
+    first, second = max(1, round(trials * 0.3)), max(2, round(trials * 0.55))
+    run([{k: rng.uniform(lo, hi) for k, (lo, hi) in BOUNDS.items()} for _ in range(min(first, trials))], 1)
+    evolution = optimize.Evolution(BOUNDS, start=max(out, key=lambda t: t["macro_f1"]), seed=seed)
+    while len(out) < min(second, trials):
+        evolution.tell([t["macro_f1"] for t in run(evolution.ask(min(evolution.size, min(second, trials) - len(out))), 2)])
+    while len(out) < trials:
+        known = spark.createDataFrame([(t["trial"], float(t["macro_f1"]), float(t["trees"]), float(t["depth"])) for t in out], "trial int, fitness double, trees double, depth double")
+        run([optimize.suggest(known, BOUNDS, seed=seed + len(out))], 3)
     return sorted(out, key=lambda t: -t["macro_f1"])
 
 

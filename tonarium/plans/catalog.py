@@ -16,6 +16,7 @@ from ..functions import dialect as X
 from ..functions import features, registry
 from ..operators import evaluate, merge, quality, resolve, sampling, service, variants
 from ..profiles import LATIN, MARK, WRONG_APOSTROPHES
+from ..sources.scratch import stored
 
 D, S = X.DUCK, X.SPARK
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,18 +56,38 @@ TOKENS = r"""tokens AS (SELECT doc_id, lang, source, unnest(range(len(ws)))::INT
   FROM (SELECT doc_id, lang, source, regexp_extract_all(text, '\p{L}+') AS ws FROM documents))"""
 
 
+#: A word's place as one number: no text has 2^30 words, and a doc_id beyond
+#: 2^33 is an arithmetic error, never another document's place.
+ORD = "doc_id * 1073741824 + i"
+
+
+def known_forms(rows: DataFrame) -> DataFrame:
+    """_form, marked, lemma, stress of the distinct forms, computed once each and
+    stored: the words of a common form are split among tasks when they meet it."""
+    known = rows.select(F.col("form").alias("_form")).distinct().selectExpr("_form", f"{X.marked(S, '_form', LATIN)} AS marked")
+    return stored(known.selectExpr("*", f"{X.dictionary_form(S, '_form', LATIN)} AS lemma", f"{X.stress_indices(S, 'marked', LATIN)} AS stress"), "forms")
+
+
+def _described(rows: DataFrame) -> DataFrame:
+    """rows (form, source and others) as entries."""
+    rows = rows.join(known_forms(rows), F.col("form") == F.col("_form")).drop("_form").withColumn("src_ord", F.expr(SRC)).drop("source")
+    return rows.selectExpr("*", f"{POS.format(s='src_ord')} AS pos", f"{FEATS.format(s='src_ord')} AS feats")
+
+
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All words as dictionary entries; those without accents have no stress."""
-    rows = tokens(spark, sf_dir)
-    rows = rows.selectExpr("doc_id", "lang", "i", "form", f"{SRC} AS src_ord", "doc_id * 1000000 + i AS form_ord", f"{X.marked(S, 'form', LATIN)} AS marked")
-    return rows.selectExpr(
-        "*", f"{X.dictionary_form(S, 'form', LATIN)} AS lemma", f"{X.stress_indices(S, 'marked', LATIN)} AS stress", f"{POS.format(s='src_ord')} AS pos", f"{FEATS.format(s='src_ord')} AS feats"
-    )
+    return _described(tokens(spark, sf_dir).withColumn("form_ord", F.expr(ORD)))
+
+
+def entry_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries without places, each once (lang, form, marked, lemma, stress,
+    src_ord, pos, feats): common words meet what is known of them a few times."""
+    return _described(tokens(spark, sf_dir).select("form", "lang", "source").distinct())
 
 
 ENTRIES = (
     TOKENS
-    + f""", marks AS (SELECT doc_id, lang, i, form, {SRC} AS src_ord, doc_id * 1000000 + i AS form_ord, {X.marked(D, "form", LATIN)} AS marked FROM tokens),
+    + f""", marks AS (SELECT doc_id, lang, i, form, {SRC} AS src_ord, {ORD} AS form_ord, {X.marked(D, "form", LATIN)} AS marked FROM tokens),
 entries AS (SELECT *, {X.dictionary_form(D, "form", LATIN)} AS lemma, {X.stress_indices(D, "marked", LATIN)} AS stress, {POS.format(s="src_ord")} AS pos, {FEATS.format(s="src_ord")} AS feats FROM marks)"""
 )
 
@@ -155,7 +176,7 @@ _EARLY_DUCK = "(len(stress) > 1)::INT AS is_homonym, (len(stress) = 1)::INT AS i
 @query(f"WITH {ENTRIES} " + features.early_sql(LATIN, f"SELECT form, pos, feats, stress, {_EARLY_DUCK} FROM (SELECT DISTINCT form, pos, feats, stress FROM entries)"))
 def features_early(spark, sf_dir):
     """The early models' columns for every distinct entry."""
-    rows = entries(spark, sf_dir).select("form", "pos", "feats", "stress").distinct()
+    rows = entry_kinds(spark, sf_dir).select("form", "pos", "feats", "stress").distinct()
     return features.early_columns(rows.selectExpr("*", *_EARLY.format(size="size(stress)").split(", ")), LATIN)
 
 
@@ -170,17 +191,17 @@ SELECT lemma, src_ord, form_ord, form, {D.json("stress")} AS stress, pos, feats
 )
 def merge_sources(spark, sf_dir):
     """All of a lemma's first source and the distinct forms of the others."""
-    rows = merge.merge_sources(entries(spark, sf_dir).select("lemma", "src_ord", "form_ord", *FIELDS), FIELDS)
+    rows = merge.merge_sources(stored(entries(spark, sf_dir).select("lemma", "src_ord", "form_ord", *FIELDS), "entries"), FIELDS)
     return rows.withColumn("stress", F.to_json("stress"))
 
 
 @query(f"""WITH {ENTRIES}, p AS (SELECT DISTINCT lemma, stress FROM entries WHERE len(stress) > 0) SELECT lemma, to_json(list(stress ORDER BY stress))::VARCHAR AS patterns FROM p GROUP BY lemma""")
 def lemma_patterns(spark, sf_dir):
     """Each lemma's stress patterns."""
-    return merge.lemma_patterns(entries(spark, sf_dir)).withColumn("patterns", F.to_json("patterns"))
+    return merge.lemma_patterns(entry_kinds(spark, sf_dir)).withColumn("patterns", F.to_json("patterns"))
 
 
-@query(f"""WITH {ENTRIES} SELECT lemma, {D.json("stress")} AS stress, min_by(form, form_ord + src_ord * 1000000000000) AS form FROM entries GROUP BY lemma, stress""")
+@query(f"""WITH {ENTRIES} SELECT lemma, {D.json("stress")} AS stress, min_by(form, row(src_ord, form_ord)) AS form FROM entries GROUP BY lemma, stress""")
 def dedupe_first_form(spark, sf_dir):
     """The first form of each lemma and pattern."""
     rows = entries(spark, sf_dir).select("lemma", "stress", "form", "src_ord", "form_ord")
@@ -188,7 +209,7 @@ def dedupe_first_form(spark, sf_dir):
 
 
 @query(
-    f"""WITH {ENTRIES}, u AS (SELECT lemma, pos, list_sort(list_distinct(flatten(list(stress)))) AS stress, min_by(struct_pack(form := form, marked := marked), form_ord + src_ord * 1000000000000) AS r FROM entries GROUP BY lemma, pos)
+    f"""WITH {ENTRIES}, u AS (SELECT lemma, pos, list_sort(list_distinct(flatten(list(stress)))) AS stress, min_by(struct_pack(form := form, marked := marked), row(src_ord, form_ord)) AS r FROM entries GROUP BY lemma, pos)
 SELECT lemma, pos, {D.json("stress")} AS stress, r.form AS form, r.marked AS marked FROM u"""
 )
 def variative_merge(spark, sf_dir):
@@ -203,11 +224,11 @@ SELECT lemma, variant_type, (variant_type IN ('morphological_variant', 'grammati
 )
 def variant_type(spark, sf_dir):
     """Each lemma's kind of ambiguity; the language stands for the definition."""
-    return variants.variant_types(entries(spark, sf_dir).select("lemma", F.to_json("stress").alias("pattern"), "pos", "feats", F.col("lang").alias("definition")))
+    return variants.variant_types(entry_kinds(spark, sf_dir).select("lemma", F.to_json("stress").alias("pattern"), "pos", "feats", F.col("lang").alias("definition")))
 
 
 @query(
-    f"""WITH {ENTRIES}, c AS (SELECT lemma, pos, count(*) AS n, min(src_ord * 1000000000000 + form_ord) AS first FROM entries WHERE pos <> 'X' GROUP BY lemma, pos),
+    f"""WITH {ENTRIES}, c AS (SELECT lemma, pos, count(*) AS n, min(row(src_ord, form_ord)) AS first FROM entries WHERE pos <> 'X' GROUP BY lemma, pos),
 b AS (SELECT lemma, pos FROM c QUALIFY row_number() OVER (PARTITION BY lemma ORDER BY n DESC, first) = 1)
 SELECT l.lemma, coalesce(b.pos, 'X') AS pos FROM (SELECT DISTINCT lemma FROM entries) l LEFT JOIN b USING (lemma)"""
 )
@@ -216,7 +237,7 @@ def lemma_pos(spark, sf_dir):
     return variants.lemma_pos(entries(spark, sf_dir))
 
 
-HETERONYMS = f"""{ENTRIES}, seen AS (SELECT lemma AS form_norm, x AS idx, min(o) AS o FROM (SELECT lemma, unnest(stress) AS x, form_ord + 0.001 * unnest(range(len(stress))) AS o FROM entries) GROUP BY 1, 2),
+HETERONYMS = f"""{ENTRIES}, seen AS (SELECT lemma AS form_norm, x AS idx, min(o) AS o FROM (SELECT lemma, x, row(form_ord, k) AS o FROM (SELECT lemma, form_ord, unnest(stress) AS x, unnest(range(len(stress))) AS k FROM entries)) GROUP BY 1, 2),
 listed AS (SELECT DISTINCT lemma AS form_norm FROM entries WHERE length(lemma) = 5),
 het AS (SELECT form_norm, list(idx ORDER BY o) AS s FROM seen GROUP BY form_norm),
 heteronyms AS (SELECT h.form_norm, s[1] AS stress, s[2] AS stress2, len(s)::INT AS n_stresses, (len(s) > 1 AND l.form_norm IS NOT NULL) AS is_variative, (len(s) > 1 AND l.form_norm IS NULL) AS is_heteronym FROM het h LEFT JOIN listed l USING (form_norm))"""
@@ -224,7 +245,7 @@ heteronyms AS (SELECT h.form_norm, s[1] AS stress, s[2] AS stress2, len(s)::INT
 
 def heteronym_rows(spark, sf_dir):
     # each distinct form once, with its least ordinal: the rest is computed for it alone
-    rows = tokens(spark, sf_dir).groupBy("form").agg(F.min(F.expr("doc_id * 1000000 + i")).alias("ord"))
+    rows = tokens(spark, sf_dir).groupBy("form").agg(F.min(F.expr(ORD)).alias("ord"))
     rows = rows.selectExpr("ord", f"{X.dictionary_form(S, 'form', LATIN)} AS form_norm", f"{X.marked(S, 'form', LATIN)} AS marked").selectExpr("ord", "form_norm", f"{X.stress_indices(S, 'marked', LATIN)} AS stress")
     return variants.heteronyms(rows, rows.where("length(form_norm) = 5").select("form_norm"))
 
@@ -257,7 +278,7 @@ def conflict_filter(spark, sf_dir):
 @query(f"""WITH {ENTRIES} SELECT lemma, count(DISTINCT marked) AS n_values, string_agg(DISTINCT marked, '|' ORDER BY marked) AS "values" FROM entries GROUP BY lemma HAVING count(DISTINCT marked) > 1""")
 def conflict_report(spark, sf_dir):
     """Lemmas with several marked forms."""
-    return variants.conflict_report(entries(spark, sf_dir), "lemma", "marked")
+    return variants.conflict_report(entry_kinds(spark, sf_dir), "lemma", "marked")
 
 
 @query(f"""WITH {ENTRIES} SELECT lemma, form, pos, src_ord FROM entries QUALIFY row_number() OVER (PARTITION BY lemma, form ORDER BY src_ord DESC, form_ord DESC) = 1""")
@@ -275,7 +296,7 @@ def insert_or_ignore(spark, sf_dir):
 
 
 @query(
-    f"""WITH {ENTRIES}, lc AS (SELECT lemma, pos, count(*) AS n, min(src_ord * 1000000000000 + form_ord) AS first FROM entries WHERE pos <> 'X' GROUP BY lemma, pos), lp AS (SELECT lemma, pos AS lemma_pos FROM lc QUALIFY row_number() OVER (PARTITION BY lemma ORDER BY n DESC, first) = 1), e AS (SELECT DISTINCT e.lemma, e.pos, e.feats, lp.lemma_pos FROM entries e LEFT JOIN lp USING (lemma)),
+    f"""WITH {ENTRIES}, lc AS (SELECT lemma, pos, count(*) AS n, min(row(src_ord, form_ord)) AS first FROM entries WHERE pos <> 'X' GROUP BY lemma, pos), lp AS (SELECT lemma, pos AS lemma_pos FROM lc QUALIFY row_number() OVER (PARTITION BY lemma ORDER BY n DESC, first) = 1), e AS (SELECT DISTINCT e.lemma, e.pos, e.feats, lp.lemma_pos FROM entries e LEFT JOIN lp USING (lemma)),
 x AS (SELECT *, CASE WHEN lemma LIKE '%ment' THEN 'NOUN' WHEN lemma LIKE '%ar' THEN 'VERB' END AS p1, CASE WHEN length(lemma) > 6 THEN 'NOUN' END AS p2, CASE WHEN lemma LIKE '%os' THEN '{{"Number":"Plur"}}' END AS f1 FROM e)
 SELECT lemma, coalesce(CASE WHEN pos <> 'X' THEN pos END, CASE WHEN lemma_pos <> 'X' THEN lemma_pos END, p1, p2, 'X') AS pos,
   CASE WHEN pos <> 'X' THEN 1.0 WHEN lemma_pos <> 'X' THEN 0.9 WHEN p1 IS NOT NULL THEN 0.85 WHEN p2 IS NOT NULL THEN 0.7 ELSE 0.0 END::DOUBLE AS pos_confidence,
@@ -319,10 +340,10 @@ def resolve_stress(spark, sf_dir):
     return resolved_tokens(spark, sf_dir).select("token_id", "form_norm", F.to_json("stress").alias("stress"), F.round("score", 6).alias("score"), "confidence", F.col("n_variants").cast("long").alias("n_variants"))
 
 
-@query(f"WITH {RESOLVED} SELECT token_id // 1000000 AS doc_id, count(*) AS words, count(stress) AS stressed, count(stress) * 100.0::DOUBLE / count(*) AS percent FROM resolved GROUP BY 1")
+@query(f"WITH {RESOLVED} SELECT token_id >> 30 AS doc_id, count(*) AS words, count(stress) AS stressed, count(stress) * 100.0::DOUBLE / count(*) AS percent FROM resolved GROUP BY 1")
 def coverage_by_doc(spark, sf_dir):
     """Words, stressed words and their share, by document."""
-    return resolve.coverage(resolved_tokens(spark, sf_dir).withColumn("doc_id", F.expr("token_id div 1000000")), "doc_id")
+    return resolve.coverage(resolved_tokens(spark, sf_dir).withColumn("doc_id", F.shiftright("token_id", 30)), "doc_id")
 
 
 HYBRID = "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 10 THEN (l_partkey % 5)::INT END AS m, l_discount * 10 AS ms, CASE WHEN l_tax > 0.02 THEN (l_suppkey % 5)::INT END AS k FROM lineitem"
@@ -399,7 +420,7 @@ def latest_versions(spark, sf_dir):
 @query(f"WITH {ENTRIES} SELECT lemma, form FROM entries WHERE src_ord % 2 = 0 UNION SELECT lemma, form FROM entries WHERE src_ord % 3 = 0 EXCEPT SELECT lemma, form FROM entries WHERE src_ord % 5 = 0")
 def feature_set_union(spark, sf_dir):
     """Words of some sources that no other source has (union and anti-set)."""
-    rows = entries(spark, sf_dir).select("lemma", "form", "src_ord")
+    rows = entry_kinds(spark, sf_dir).select("lemma", "form", "src_ord")
     part = lambda k: rows.where(f"src_ord % {k} = 0").select("lemma", "form")
     return part(2).unionByName(part(3)).distinct().join(part(5).distinct(), ["lemma", "form"], "left_anti")
 
@@ -708,7 +729,7 @@ def hash_sample(spark, sf_dir):
     return syllabled(spark, sf_dir).orderBy(sampling.digest("form", "pos", seed=7), "form").limit(100).select("form", "pos")
 
 
-@query(f"""WITH {ENTRIES}, m AS (SELECT lemma, src_ord % 3 AS key, max_by(form, src_ord * 1000000000000 + form_ord) AS value FROM entries GROUP BY 1, 2)
+@query(f"""WITH {ENTRIES}, m AS (SELECT lemma, src_ord % 3 AS key, max_by(form, row(src_ord, form_ord)) AS value FROM entries GROUP BY 1, 2)
 SELECT lemma, string_agg(key || '=' || value, ',' ORDER BY key) AS meta FROM m GROUP BY lemma""")
 def merged_meta(spark, sf_dir):
     """Data of a lemma's entries; the later source wins."""

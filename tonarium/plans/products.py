@@ -55,12 +55,12 @@ def ordered_lines(spark, sf_dir):
     return found.select(F.regexp_extract("file", r"file=(\d+)", 1).cast("int").alias("file"), "line", F.md5("value").alias("digest"))
 
 
-_BARE = f"SELECT DISTINCT {X.marked(D, 'form', LATIN)} AS marked FROM tokens WHERE length(form) < 200"
+_BARE = f"SELECT DISTINCT {X.marked(D, 'form', LATIN)} AS marked FROM tokens"
 
 
 def bare_words(spark, sf_dir) -> DataFrame:
     """marked, word (without marks), stress of the distinct lower-case words."""
-    rows = tokens(spark, sf_dir).where("length(form) < 200").selectExpr(f"{X.marked(S, 'form', LATIN)} AS marked").distinct()
+    rows = tokens(spark, sf_dir).select("form").distinct().selectExpr(f"{X.marked(S, 'form', LATIN)} AS marked").distinct()
     return rows.selectExpr("marked", f"{X.without_marks(S, 'marked')} AS word", f"{X.stress_indices(S, 'marked', LATIN)} AS stress")
 
 
@@ -68,16 +68,17 @@ BARE = f"{TOKENS}, bare AS (SELECT marked, {X.without_marks(D, 'marked')} AS wor
 
 
 @query(
-    f"""WITH {BARE}, one AS (SELECT word, any_value(stress) AS stress FROM bare GROUP BY word HAVING count(*) = 1)
+    f"""WITH {BARE}, one AS (SELECT word, list_filter(any_value(stress), lambda k: {X.vowel_positions(D, "word", LATIN)}[k + 1] < 249) AS stress FROM bare GROUP BY word HAVING count(*) = 1)
 SELECT word, 0 AS record, {D.json("stress")} AS stress, CASE length(word) % 3 WHEN 0 THEN 'NOUN' WHEN 1 THEN 'VERB' END AS pos,
   CASE length(word) % 3 WHEN 0 THEN 'Sing' WHEN 1 THEN 'Plur' END AS number, CASE length(word) % 3 WHEN 0 THEN 'Nom' END AS "case" FROM one"""
 )
 def trie_scan(spark, sf_dir):
     """Words with byte payloads, decoded; words of several values go.  The
-    payloads hold a zero, a place beyond the word and an unknown tag, too."""
-    places = f"array_join(transform(stress, k -> lpad(hex(get({X.vowel_positions(S, 'word', LATIN)}, k) + 1), 2, '0')), '')"
+    payloads hold a zero, a place beyond the word and an unknown tag, too.
+    A byte holds places up to 249 (the bytes above end parts of a record)."""
+    places = f"array_join(transform(filter(stress, k -> get({X.vowel_positions(S, 'word', LATIN)}, k) < 249), k -> lpad(hex(get({X.vowel_positions(S, 'word', LATIN)}, k) + 1), 2, '0')), '')"
     tail = "CASE length(word) % 3 WHEN 0 THEN 'FE61112099FF' WHEN 1 THEN 'FE6712FF' ELSE '' END"
-    rows = bare_words(spark, sf_dir).selectExpr("word", f"unhex(concat('00', {places}, 'FA', {tail})) AS payload")
+    rows = bare_words(spark, sf_dir).selectExpr("word", f"unhex(concat('00', {places}, CASE WHEN length(word) < 250 THEN 'FA' ELSE '' END, {tail})) AS payload")
     path = scratch.place(spark, "payloads")
     rows.write.parquet(path)
     found = readers.trie_payloads(readers.single_values(spark.read.parquet(path)), LATIN)
@@ -159,7 +160,7 @@ def source_hashes(spark, sf_dir):
 # --- products -----------------------------------------------------------------
 
 
-@query(f"""WITH {ENTRIES}, kv AS (SELECT lemma, arg_max(form, src_ord * 1000000000000 + form_ord) AS form FROM entries GROUP BY lemma), w AS (SELECT DISTINCT lower(c_mktsegment) AS word FROM customer UNION SELECT lemma FROM entries WHERE length(lemma) = 4)
+@query(f"""WITH {ENTRIES}, kv AS (SELECT lemma, arg_max(form, row(src_ord, form_ord)) AS form FROM entries GROUP BY lemma), w AS (SELECT DISTINCT lower(c_mktsegment) AS word FROM customer UNION SELECT lemma FROM entries WHERE length(lemma) = 4)
 SELECT word AS form_norm, form FROM w LEFT JOIN kv ON kv.lemma = w.word""")
 def key_value_store(spark, sf_dir):
     """Point reads of a key-value table in which the last write of a key won."""
@@ -339,14 +340,16 @@ def lemmas_and_heads(spark, sf_dir):
 
 
 _TOKEN = filters.TOKEN.replace("'", "''")
+TOKENIZED = rf"""p AS (SELECT doc_id, d, unnest(ps) AS form, unnest(range(len(ps))) AS k FROM (SELECT doc_id, row_number() OVER () AS d, regexp_extract_all(text, '(\s+|{_TOKEN})') AS ps FROM documents)),
+w AS (SELECT doc_id, d, k, form, regexp_matches(form, '^\s') AS space, (sum(length(form)) OVER b - length(form))::INT AS idx, lead(regexp_matches(form, '^\s')) OVER b AS after FROM p WINDOW b AS (PARTITION BY d ORDER BY k)),
+t AS (SELECT doc_id, d, form, idx, coalesce(after, FALSE) AS after, (row_number() OVER o - 1)::INT AS i, regexp_matches(form, '^[.!?]$') AS fin, lag(regexp_matches(form, '^[.!?]$')) OVER o AS before FROM w WHERE NOT space WINDOW o AS (PARTITION BY d ORDER BY k)),
+n AS (SELECT *, (coalesce(before, FALSE) AND NOT fin)::INT AS new FROM t),
+s AS (SELECT *, sum(new) OVER (PARTITION BY d ORDER BY i)::INT AS sent_id FROM n)"""
 
 
 @query(
-    rf"""WITH p AS (SELECT doc_id, ps, unnest(ps) AS form, unnest(range(len(ps))) AS k FROM (SELECT doc_id, regexp_extract_all(text, '(\s+|{_TOKEN})') AS ps FROM documents)),
-w AS (SELECT doc_id, k, form, regexp_matches(form, '^\s') AS space, (sum(length(form)) OVER b - length(form))::INT AS idx, lead(regexp_matches(form, '^\s')) OVER b AS after FROM p WINDOW b AS (PARTITION BY doc_id ORDER BY k)),
-t AS (SELECT doc_id, form, idx, coalesce(after, FALSE) AS after, (row_number() OVER o - 1)::INT AS i, regexp_matches(form, '^[.!?]$') AS fin, lag(regexp_matches(form, '^[.!?]$')) OVER o AS before FROM w WHERE NOT space WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
-s AS (SELECT *, (coalesce(before, FALSE) AND NOT fin)::INT AS new FROM t)
-SELECT doc_id, i, idx, sum(new) OVER (PARTITION BY doc_id ORDER BY i)::INT AS sent_id, form, lower(form) AS lower, greatest(new, (i = 0)::INT) AS is_sent_start, after::INT AS has_space,
+    rf"""WITH {TOKENIZED}
+SELECT doc_id, i, idx, sent_id, form, lower(form) AS lower, greatest(new, (i = 0)::INT) AS is_sent_start, after::INT AS has_space,
   regexp_matches(form, '^\p{{L}}+$')::INT AS is_alpha, regexp_matches(form, '^\d+$')::INT AS is_digit, regexp_matches(form, '^[\x00-\x7F]+$')::INT AS is_ascii, (form = lower(form) AND form <> upper(form))::INT AS is_lower, (form = upper(form) AND form <> lower(form))::INT AS is_upper,
   regexp_matches(form, '^\p{{Lu}}\P{{Lu}}*$')::INT AS is_title, regexp_matches(form, '^\p{{P}}+$')::INT AS is_punct, regexp_matches(form, '^\p{{Sc}}$')::INT AS is_currency,
   (form IN ('(', ')', '[', ']', '{{', '}}', '<', '>'))::INT AS is_bracket, (form IN ('"', '''', '«', '»', '“', '”', '„', '‘', '’', '`'))::INT AS is_quote, (form IN ('(', '[', '{{', '<', '«', '“', '„', '‘'))::INT AS is_left_punct, (form IN (')', ']', '}}', '>', '»', '”', '’'))::INT AS is_right_punct,
@@ -358,6 +361,13 @@ def token_attributes(spark, sf_dir):
     return filters.token_attributes(read(spark, sf_dir, "documents"))
 
 
+@query(f"""WITH {TOKENIZED} SELECT doc_id, sent_id, min(idx) AS "begin", max(idx + length(form))::INT AS "end", min(i) AS first, count(*) AS n_tokens, string_agg(form, ' ' ORDER BY i) AS tokens FROM s GROUP BY doc_id, d, sent_id""")
+def sentences(spark, sf_dir):
+    """Every sentence with its place and its tokens."""
+    found = filters.sentences(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "sent_id", "begin", "end", "first", F.size("tokens").cast("long").alias("n_tokens"), F.array_join(F.transform("tokens", lambda t: t["form"]), " ").alias("tokens"))
+
+
 # --- evaluation ---------------------------------------------------------------
 
 
@@ -458,7 +468,7 @@ def baseline_check(spark, sf_dir):
     return rows.withColumn("within", quality.baseline_delta(F.col("value"), 15000).cast("int"))
 
 
-@query(f"""WITH {ENTRIES}, k AS (SELECT lemma, coalesce(pos, 'X') AS pos, CASE WHEN src_ord % 3 = 1 THEN 'Plur' ELSE 'Sing' END AS number, list_sort(list_distinct(flatten(list(stress)))) AS stress, arg_min(form, src_ord * 1000000000000 + form_ord) AS form FROM entries GROUP BY 1, 2, 3)
+@query(f"""WITH {ENTRIES}, k AS (SELECT lemma, coalesce(pos, 'X') AS pos, CASE WHEN src_ord % 3 = 1 THEN 'Plur' ELSE 'Sing' END AS number, list_sort(list_distinct(flatten(list(stress)))) AS stress, arg_min(form, row(src_ord, form_ord)) AS form FROM entries GROUP BY 1, 2, 3)
 SELECT lemma, pos, number, {D.json("stress")} AS stress, form FROM k""")
 def variative_by_number(spark, sf_dir):
     """Patterns united over sense, part of speech and number; no number counts
@@ -469,7 +479,7 @@ def variative_by_number(spark, sf_dir):
     return merge.variative_merge(rows).select("lemma", "pos", "number", F.to_json("stress").alias("stress"), "form")
 
 
-@query(f"""WITH {ENTRIES}, k AS (SELECT lemma, pos, feats, list_sort(list_distinct(flatten(list(stress)))) AS stress, arg_min(form, src_ord * 1000000000000 + form_ord) AS form FROM entries GROUP BY 1, 2, 3) SELECT lemma, pos, feats, {D.json("stress")} AS stress, form FROM k""")
+@query(f"""WITH {ENTRIES}, k AS (SELECT lemma, pos, feats, list_sort(list_distinct(flatten(list(stress)))) AS stress, arg_min(form, row(src_ord, form_ord)) AS form FROM entries GROUP BY 1, 2, 3) SELECT lemma, pos, feats, {D.json("stress")} AS stress, form FROM k""")
 def double_stress_merge(spark, sf_dir):
     """Patterns united where sense, part of speech and features are equal."""
     from ..operators import merge
