@@ -61,3 +61,10 @@ def test_empty_tables(spark):
     assert mixing.plan_mix(spark.createDataFrame([], "doc_id long, text string, source string")).collect() == []
     none = spark.createDataFrame([(1, "", "a"), (2, None, None)], "doc_id long, text string, source string")
     assert [(r.size, r.target, r.taken) for r in mixing.plan_mix(none).collect()] == [(0, 0.0, 0)] * 2
+
+
+def test_rows_without_an_id_are_spread(spark):
+    rows = [(None if i % 2 else 7, f"w{i} x", "s") for i in range(400)]
+    plan = mixing.plan_mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    order = plan.select("copies").where("size(copies) > 0").collect()
+    assert len({c.position for r in order for c in r.copies}) > 390  # no two at one place

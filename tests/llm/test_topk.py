@@ -48,3 +48,14 @@ def test_blocks_are_pruned():
     starts = np.arange(0, 512, 64)
     scored = topk.prune_and_score(best, q, x, np.arange(512), np.maximum.reduceat(x, starts), np.minimum.reduceat(x, starts), 64)
     assert scored == 3 and (best.scores[0] == np.sort(q[0] @ x.T)[::-1][:5]).all()
+
+
+def test_each_query_row_has_its_own_search(spark):
+    rng = random.Random(9)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(1, 40)] + [(50, [1.0, 0.0, 0.0, 0.0]), (50, [-1.0, 0.0, 0.5, 0.0]), (50, [-1.0, 0.0, 0.5, 0.0])]
+    vectors = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3))
+    got = sorted(tuple(r) for r in topk.top_k(vectors.where("vec_id = 50"), vectors, chunk=8, block=4, query_chunk=2).collect())
+    want = []
+    for q in range(39, 42):
+        want += [t for t in brute([*rows[:39], rows[q]]) if t[0] == 50]
+    assert got == sorted(want) and len(got) == 15

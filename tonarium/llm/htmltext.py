@@ -11,7 +11,8 @@ small labelled table (LABELLED below, blocks of hand-written pages) says which
 blocks are text; where a page has no telling elements or names, its neighbours
 say what a short block is.
 
-Scripts, styles and other raw content never become blocks.  Character
+Scripts, styles and other raw content never become blocks; raw content that is
+never closed ends at the next block-level tag.  Character
 references are decoded as HTML 5 does; white space in a block becomes one
 space; the chosen blocks are joined in page order by a space.
 
@@ -34,11 +35,13 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mrow mfrac msup msub msqrt mtext".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
-RAW = set("script style noscript template iframe object svg math canvas textarea select title head".split())
-TEXT_ONLY = ("script", "style", "textarea", "title", "iframe", "noscript")
+RAW = set("script style template iframe object svg canvas textarea select title head".split())
+TEXT_ONLY = ("script", "style", "textarea", "title", "iframe")
+#: Tags that end raw content which the page never closes.
+ENDS_RAW = set("p div section article main h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure header footer nav aside form body hr".split())
 ASIDE = set("nav header footer aside menu dialog button fieldset".split())
 WORDS = re.compile(
     r"(?:^|[^a-z])(?:nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-?bar|aside|ads?|adsby\w*|advert\w*|adbox|banner|promo\w*|sponsor\w*|cookies?|consent|notices?|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|"
@@ -100,7 +103,8 @@ def blocks(page: str) -> list[Block]:
             if links:
                 linked += len(text.split())
 
-    at, raw = 0, None
+    at, raw, depth, last = 0, None, 0, -1
+    closes: dict[str, int] = {}  # where each raw element is closed for the last time
     for m in TAG.finditer(page):
         if m.start() < at:
             continue
@@ -112,9 +116,14 @@ def blocks(page: str) -> list[Block]:
             continue
         name, closing = name.lower(), bool(m[1])
         if raw is not None:
-            if closing and name == raw:
-                raw = None
-            continue
+            if last < 0 and (name in ENDS_RAW or closing and opened.get(name)):
+                raw = None  # never closed: what follows is the page again
+            else:
+                if name == raw and not (m[3] or "").rstrip().endswith("/"):
+                    depth += -1 if closing else 1
+                    if depth == 0 or m.start() == last:
+                        raw = None
+                continue
         if not closing and name in RAW:
             if name in ("head", "title"):
                 close()
@@ -124,7 +133,9 @@ def blocks(page: str) -> list[Block]:
                 end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = end.end() if end else len(page)
             elif name != "head":
-                raw = name
+                if name not in closes:
+                    closes[name] = max((x.start() for x in re.finditer(rf"</{name}(?![^\s/>])", page, re.I)), default=-1)
+                raw, depth, last = name, 1, closes[name] if closes[name] > m.start() else -1
             continue
         if name == "a":
             links = 0 if closing else 1
@@ -252,6 +263,22 @@ LAYOUTS = (
     "1a 3a 5 4a 7! 33! 5! 62! 3! 2a 6 1a 2",
     "o6 o33 o2a wr7! wr31! wr3! wr9a! wr44! n24 o29 s4 s30",
     "3a 2a 5a 4 27a 3a 30! 4! 58! 2! 25a 3 4a 2a",
+    # pages that end with text, or with one word of either kind
+    "2a 3a 1a h6! 38! 45! 61!",
+    "1a 1a 2a n9 h4! 27! 1! 52! 33!",
+    "s2a s1a h5! 44! 6! 39! s1",
+    "2a 1a 4a 31! 48! 5! 66!",
+    "s3a s2a s1a h3! 24! 1! 29! 1! 71! s12",
+    "1a 2a h8! 35! 3! 28! 4! s1a",
+    "s1a s2a s1a n8 h9! 35! 17! 49! 90! s1",
+    "n7 s1a s1a h12! 20! 18! 1! 30! 1! s1",
+    "s2a s4a h2! 22! 57! 12! s11",
+    "45! 50! 3! 62!",
+    "29! 1! 34! 1!",
+    "64!",
+    "s1a s1a n12 n30 h4! 120! 8! 1! s3",
+    "or1 s1a rh7! r40! r1! r55! s1",
+    "s2a rh5! r20! r1! r30! r1!",
 )
 
 

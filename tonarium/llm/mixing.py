@@ -6,7 +6,8 @@ and what it would exceed is shared again by weight.  Sorted by the level at
 which they are full, the sources need one pass of running sums for that.
 
 Order: a source's documents are laid end to end in the order of a hash of
-doc_id, again and again until the target is full.  The running sums have two
+doc_id and text (many rows may lack an id or repeat one), again and again until
+the target is full.  The running sums have two
 levels: sums over about sqrt(n) hash ranges of a source, then sums within a
 range, so that no task holds a whole source.
 
@@ -70,9 +71,9 @@ def plan_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     and kept (a struct of the columns in keep, if any).  Kept columns also order
     rows of one doc_id, and aren't stored on the way: docs is read three times."""
     kept = [F.struct(*keep).alias("kept")] if keep else []
-    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(text_of(text_col)).alias("size"), *kept)
-    sized = sized.select("*", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("_key"), order.alias("_order"))
+    order = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_text"))
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(text_of(text_col)).alias("size"), F.md5(text_of(text_col)).alias("_text"), *kept)
+    sized = sized.select("*", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("_key"), order.alias("_order")).drop("_text")
     sized = sized if keep else written(sized, "mix-sizes")
     targets = written(source_targets(sized, weights, schedule, share, cap), "mix-targets")
     rank = F.conv(F.substring("_order", 1, 8), 16, 10).cast("long")
@@ -103,7 +104,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = """
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS o FROM documents),
+         md5(coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) AS o FROM documents),
 totals AS (SELECT source, sum(size)::BIGINT AS s FROM sized GROUP BY source),
 turned AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS turn FROM totals),
 weighed AS (

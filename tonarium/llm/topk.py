@@ -15,8 +15,9 @@ chunk, so its threshold rises; a task returns k rows a query, whatever the
 tile holds.  This is the stated query set against all rows, in blocks.
 
 Cases: vectors that are null or hold null or non-finite components take no
-part, nor do rows without an id; rows that repeat the query's id are the
-query's own and no candidates; other repeated rows are candidates each;
+part, nor do rows without an id; each query row has a search of its own, also
+where rows repeat an id; rows that repeat the query's id are the query's own
+and no candidates; other repeated rows are candidates each;
 missing trailing components count as zero; scores beyond 64 bits are clamped;
 without queries or candidates the result is empty; other columns are not read.
 """
@@ -146,13 +147,14 @@ def _search(k: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, Best] = {}
 
-        def rows(queries: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(queries, pa.int64()), pa.array(ids, pa.int64()), pa.array(scores, pa.int64())], ["query_id", "vec_id", "score"])
+        def rows(uid: int, at: np.ndarray, queries: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+            columns = (np.full(len(at), uid), at, queries, ids, scores)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["_uid", "_at", "query_id", "vec_id", "score"])
 
         def out() -> Iterator[pa.RecordBatch]:
-            for b in held.values():
+            for uid, b in held.items():
                 i, j = np.nonzero(b.scores > -np.inf)
-                yield rows(b.ids[i], b.found[i, j], b.scores[i, j].astype(np.int64))
+                yield rows(uid, i, b.ids[i], b.found[i, j], b.scores[i, j].astype(np.int64))
             held.clear()
 
         for batch in batches:
@@ -164,9 +166,9 @@ def _search(k: int, block: int):
                 ids = np.frombuffer(r["ids"], np.int64)
                 top = Best(np.frombuffer(r["q_ids"], np.int64), k)
                 if d * float(np.abs(q.astype(float)).max()) * float(np.abs(x.astype(float)).max()) >= 2.0**53:
-                    for own, found in zip(top.ids.tolist(), exact(top, q[:, :d], x[:, :d], ids), strict=True):
+                    for at, found in enumerate(exact(top, q[:, :d], x[:, :d], ids)):
                         if found:
-                            yield rows(np.full(len(found), own), np.array([f for _, f in found]), np.array([-s for s, _ in found]))
+                            yield rows(r["q_uid"], np.full(len(found), at), np.full(len(found), top.ids[at]), np.array([f for _, f in found]), np.array([-s for s, _ in found]))
                     continue
                 if len(held) > HELD:
                     yield from out()
@@ -191,8 +193,9 @@ def top_k(queries: DataFrame, index: DataFrame, *, k: int = K, block: int = BLOC
     tiles = max(1, min(n, max(TILES, -(-n // TILE_CHUNKS))))
     pairs = chunks.withColumn("tile", F.pmod(F.xxhash64("uid"), F.lit(tiles)).cast("int")).join(asked.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).hint("shuffle_merge"), "tile")
     names = ["q_uid", "q_n", "q_d", "q_ids", "q_vectors", "n", "d", "ids", "vectors", "high", "low"]
-    found = pairs.select(*names).mapInArrow(_search(k, block), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = pairs.select(*names).mapInArrow(_search(k, block), "_uid long, _at long, query_id long, vec_id long, score long")
+    # a query row is its chunk and its place there
+    rank = F.row_number().over(Window.partitionBy("_uid", "_at").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -204,12 +207,12 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256.0::DOUBLE * x::DOUBLE)) AS e FROM embeddings
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256.0::DOUBLE * x::DOUBLE)) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
+ranked AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
