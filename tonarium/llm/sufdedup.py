@@ -348,12 +348,15 @@ def _remove(length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, shard: int = SHARD, result: tuple = ("n_bytes", "n_removed", "spans", "kept")) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (array of begin, end in bytes: what is
-    removed), kept (binary: the rest)."""
+    removed), kept (binary: the rest).
+
+    result: columns over these to return in their place; they are computed once
+    a distinct text, before the rows of its copies meet it."""
     if not 0 < gram <= length:
         raise ValueError("a gram is at most as long as a window")
-    digest = F.unhex(F.md5("text"))
+    digest = F.unhex(F.sha2("text", 256))
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     ids = rows.select("doc_id", digest.alias("tid"))
     texts = bucketed(rows.groupBy(digest.alias("tid")).agg(F.any_value("text").alias("text"), F.count(F.lit(1)).alias("copies")), "tid", "sufdedup_texts")
@@ -393,14 +396,13 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     lists = starts.groupBy("tid").agg(F.collect_list(F.struct(F.col("begin").alias("first"), F.col("end").alias("last"))).alias("found"))
     kept = texts.select("tid", "text").join(lists.hint("merge"), "tid", "left").select("tid", "text", "found")
     kept = kept.mapInArrow(_remove(length), "tid binary, n_bytes long, n_removed long, spans array<struct<begin:bigint,end:bigint>>, kept binary")
-    return ids.join(kept, "tid").select("doc_id", "n_bytes", "n_removed", "spans", "kept")
+    kept = kept.select("tid", *result)
+    return ids.join(kept, "tid").select("doc_id", *kept.columns[1:])
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its repeated strings of 400 bytes: what is removed
     comes first, n_bytes is the length before it."""
-    found = remove_repeats(table(spark, sf_dir, "documents"))
-    return found.select(
-        "doc_id", "n_removed", F.size("spans").cast("long").alias("n_spans"), "n_bytes", F.sha2("kept", 256).alias("kept_sha256"),
-        (F.col("n_removed") > 0).alias("has_repeat"), F.length("kept").cast("long").alias("kept_bytes"),
-    )
+    n_spans, digest = F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    more = ((F.col("n_removed") > 0).alias("has_repeat"), F.length("kept").cast("long").alias("kept_bytes"))
+    return remove_repeats(table(spark, sf_dir, "documents"), result=("n_removed", n_spans, "n_bytes", digest, *more))
