@@ -66,5 +66,13 @@ def test_stages_of_empty_tables_and_odd_rows(spark, tmp_path):
                 assert kept.columns == corpus_pipeline.COLUMNS
         if not rows:
             assert sizes == [0] * 5
-        else:  # the null and the empty text are one group; the unnamed rows stay
-            assert sizes[:3] == [7, 7, 6] and sizes[3] > 0 and sizes[4] >= sizes[3]
+        else:  # the null and the empty text are one group, and so are the three of two words
+            assert sizes[:3] == [7, 7, 4] and sizes[3] > 0 and sizes[4] >= sizes[3]
+
+
+def test_copies_without_an_id_go(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(None, text, "en", "s", 1)] * 3 + [(5, text, "en", "s", 1), (None, "other words", None, None, None), (None, "other words", None, None, None)]
+    docs = corpus_pipeline.common.written(spark.createDataFrame(rows, SCHEMA), "no-ids")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(5, text), (None, "other words")], key=str)
