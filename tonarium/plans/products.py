@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import dialect as X
 from ..operators import evaluate, filters, ml, resolve, sampling, service, variants
 from ..profiles import LATIN
-from ..sources import readers, scratch, sinks
+from ..sources import builds, dictionary, readers, scratch, sinks
+from ..streaming import upserts
 from .catalog import ORACLE_SQL, QUERIES, D, ENTRIES, HETERONYMS, PREDICTIONS, S, TOKENS, TRIALS, entries, heteronym_rows, predictions, query, read, tokens, trials
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -117,8 +118,12 @@ def nested_json_scan(spark, sf_dir):
 @query(f"""WITH {BARE} SELECT count(*) + count(*) FILTER (WHERE length(word) % 7 < 3) AS "lines", count(*) FILTER (WHERE length(word) % 7 = 1) AS empty, count(*) FILTER (WHERE length(word) % 7 IN (0, 2)) AS broken,
   count(*) AS entries, 3 * count(*) AS forms, count(*) AS dropped_forms, count(*) + count(*) FILTER (WHERE len(stress) = 0) AS unmarked_forms FROM bare""")
 def nested_scan_report(spark, sf_dir):
-    """What a nested dictionary's scan leaves out, counted."""
-    return readers.scan_report(spark, nested_file(spark, sf_dir))
+    """What a nested dictionary's scan leaves out, counted while the entries are
+    written."""
+    path, counts = scratch.place(spark, "nested-entries"), readers.scan_counts()
+    known = builds.write_counted(readers.parsed_lines(spark, nested_file(spark, sf_dir)), path, counts)
+    pick = lambda k: F.max(F.when(F.col("name") == k, F.col("value").cast("long"))).alias(k)
+    return known.where("kind = 'count'").agg(*map(pick, counts))
 
 
 @query(f"""WITH {TOKENS} SELECT DISTINCT {X.dictionary_form(D, "form", LATIN)} AS form_norm FROM tokens WHERE length(form) = 5""")
@@ -157,6 +162,41 @@ def source_hashes(spark, sf_dir):
     return found.select(F.regexp_extract("path", r"lang=([^/]+)/", 1).alias("lang"), "sha256")
 
 
+@query("""SELECT k % 7 AS source, CASE WHEN k % 7 = 3 THEN 'changed' WHEN k % 7 = 5 THEN 'removed' WHEN k % 7 = 6 THEN 'added' ELSE 'same' END AS change, CASE WHEN k % 7 = 5 THEN 0 WHEN k % 7 = 3 THEN 2 * count(*) ELSE count(*) END::BIGINT AS "rows"
+FROM (SELECT p_partkey AS k FROM part) GROUP BY k % 7""")
+def source_rebuild(spark, sf_dir):
+    """A product of several source files, built, and built anew after a source
+    was changed, one taken away and one added: the changes, and its rows."""
+    part, folder = read(spark, sf_dir, "part").selectExpr("p_partkey % 7 AS source", "cast(p_partkey AS string) AS value"), scratch.place(spark, "sources")
+    put = lambda rows, at: rows.repartition("source").sortWithinPartitions("value").write.partitionBy("source").mode("append").text(at)
+    build = builds.Build(spark, scratch.place(spark, "built"))
+    make = lambda at: lambda: {"lines": spark.read.text(f"{at}/source=*", recursiveFileLookup=False).select(F.regexp_extract(F.input_file_name(), r"source=(\d+)", 1).cast("long").alias("source"), "value")}
+    put(part.where("source < 6"), f"{folder}/a")
+    build.refresh(f"{folder}/a/source=*/*.txt", make(f"{folder}/a"))
+    put(part.where("source NOT IN (3, 5)"), f"{folder}/b")
+    put(part.where("source = 3").unionByName(part.where("source = 3")), f"{folder}/b")
+    # the same sources by name: manifests know a file by its source
+    old, new = build.manifest(), readers.file_hashes(spark, f"{folder}/b/source=*/*.txt")
+    named = lambda m: m.select(F.regexp_extract("path", r"(source=\d+)", 1).alias("path"), "sha256")
+    found = builds.changes(named(old), named(new)).select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("source"), "change")
+    build.refresh(f"{folder}/b/source=*/*.txt", make(f"{folder}/b"))
+    rows = build.table("lines").groupBy("source").agg(F.count(F.lit(1)).alias("rows"))
+    return found.join(rows, "source", "left").select("source", "change", F.coalesce("rows", F.lit(0)).alias("rows"))
+
+
+@query("SELECT user_id, max_by(event_id, row(ts, event_id)) AS event_id, max_by(event_type, row(ts, event_id)) AS event_type, max(ts) AS ts FROM events GROUP BY user_id")
+def stream_upserts(spark, sf_dir):
+    """Each user's last event, merged into a table from a stream of files, one
+    file a batch."""
+    path = scratch.place(spark, "upserts")
+    rows = read(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    rows.repartition(4, "event_id").write.parquet(f"{path}/arriving")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/arriving")
+    target = upserts.Upserts(spark, f"{path}/table", "user_id", ["ts", "event_id"])
+    upserts.follow(stream, target, f"{path}/checkpoint").awaitTermination()
+    return target.table().select("user_id", "event_id", "event_type", "ts")
+
+
 # --- products -----------------------------------------------------------------
 
 
@@ -215,6 +255,17 @@ def training_export(spark, sf_dir):
     return training_source(spark, sf_dir).select("lemma", "form", "stress_indices", "pos", "features_json", "variant_type", "split")
 
 
+@query(
+    f"""WITH {TRAINING} SELECT 'rows' AS name, count(*) AS value FROM training UNION ALL SELECT 'test', count(*) FILTER (WHERE split = 'test') FROM training UNION ALL SELECT 'single', count(*) FILTER (WHERE variant_type = 'single') FROM training
+UNION ALL SELECT 'without_pos', count(*) FILTER (WHERE pos IS NULL) FROM training UNION ALL SELECT 'letters', sum(length(form))::BIGINT FROM training"""
+)
+def training_about(spark, sf_dir):
+    """The figures stored beside the training table, taken while it is written."""
+    rows, path = training_source(spark, sf_dir), scratch.place(spark, "training-table")
+    builds.write_counted(rows, path, {"rows": F.count(F.lit(1)), "test": F.count_if(F.col("split") == "test"), "single": F.count_if(F.col("variant_type") == "single"), "without_pos": F.count_if(F.col("pos").isNull()), "letters": F.sum(F.length("form"))})
+    return builds.about(spark, path).where("kind = 'count'").select("name", F.col("value").cast("long").alias("value"))
+
+
 @query(
     f"""WITH {TRAINING}, one AS (SELECT form, pos, features_json FROM training WHERE pos IS NOT NULL AND features_json IS NOT NULL AND variant_type NOT IN ('free_variant', 'grammatical_homonym') GROUP BY form, pos, features_json HAVING min(stress_indices) = max(stress_indices)),
 k AS (SELECT t.*, {X.vowel_count(D, "lower(form)", LATIN)}::INT AS k, CASE WHEN len(stress) > 0 THEN stress[1] END AS y FROM training t SEMI JOIN one USING (form, pos, features_json) WHERE variant_type NOT IN ('free_variant', 'grammatical_homonym'))
@@ -271,6 +322,41 @@ def trie_lookup(spark, sf_dir):
     return sinks.trie_lookup(packed_parts(spark, sf_dir), words).select("form_norm", "stress", "stress2")
 
 
+_CODES = "".join(chr(0x4E00 + i) for i in range(len(TRIE_ALPHABET)))
+
+
+@query(
+    f"""WITH {PACKED}, p AS (SELECT DISTINCT substr(form_norm, 1, d) AS prefix FROM (SELECT form_norm, unnest(range(length(form_norm) + 1))::INT AS d FROM packed) UNION SELECT ''),
+n AS (SELECT prefix, row_number() OVER (ORDER BY length(prefix), translate(prefix, '{TRIE_ALPHABET}', '{_CODES}')) - 1 AS number FROM p),
+c AS (SELECT substr(prefix, 1, length(prefix) - 1) AS prefix, min(number) AS first FROM n WHERE prefix <> '' GROUP BY 1)
+SELECT number, CASE WHEN prefix = '' THEN 255 ELSE strpos('{TRIE_ALPHABET}', right(prefix, 1)) - 1 END::INT AS letter, coalesce(stress, 255)::INT AS stress, (coalesce(is_variative, 0) + 2 * (first IS NOT NULL)::INT + 4 * coalesce(is_heteronym, 0) + 8 * (stress2 IS NOT NULL)::INT)::INT AS flags,
+  coalesce(stress2, 255)::INT AS second, coalesce(first, 0)::BIGINT AS first FROM n LEFT JOIN packed ON form_norm = prefix LEFT JOIN c USING (prefix)"""
+)
+def dictionary_nodes(spark, sf_dir):
+    """The nodes of the one dictionary file, numbered breadth first."""
+    return dictionary.nodes(heteronym_rows(spark, sf_dir), TRIE_ALPHABET).drop("prefix")
+
+
+@query(f"WITH {PACKED} SELECT * FROM packed")
+def dictionary_source(spark, sf_dir):
+    """The one dictionary file, written and read as a data source."""
+    path = scratch.place(spark, "dictionary")
+    dictionary.write_dictionary(heteronym_rows(spark, sf_dir), path, TRIE_ALPHABET)
+    dictionary.register(spark)
+    found = spark.read.format("packed_dictionary").load(path)
+    return found.withColumns({c: F.col(c).cast("int") for c in ("is_variative", "is_heteronym")})
+
+
+@query(f"WITH {PACKED} SELECT * FROM packed WHERE starts_with(form_norm, 'de')")
+def dictionary_prefix(spark, sf_dir):
+    """Words of one beginning: the source opens their byte ranges only."""
+    path = scratch.place(spark, "dictionary")
+    dictionary.write_dictionary(heteronym_rows(spark, sf_dir), path, TRIE_ALPHABET)
+    dictionary.register(spark)
+    found = spark.read.format("packed_dictionary").load(path).where(F.startswith("form_norm", F.lit("de")))
+    return found.withColumns({c: F.col(c).cast("int") for c in ("is_variative", "is_heteronym")})
+
+
 @query(f"""WITH {ENTRIES}, v AS (SELECT lemma AS form_norm, count(DISTINCT {D.json("stress")}) AS n_variants, coalesce(string_agg(DISTINCT pos, ',' ORDER BY pos), '') AS pos_tags FROM entries GROUP BY lemma), f AS (SELECT * FROM v ORDER BY form_norm LIMIT 50000),
 s AS (SELECT 'sample' AS section, form_norm AS name, n_variants AS n FROM f WHERE n_variants > 1 ORDER BY form_norm LIMIT 20), h AS (SELECT 'histogram' AS section, p AS name, count(*) AS n FROM (SELECT unnest(string_split(pos_tags, ',')) AS p FROM f WHERE pos_tags <> '') GROUP BY p)
 SELECT * FROM s UNION ALL SELECT * FROM h""")

@@ -137,23 +137,33 @@ def nested_json(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("line", F.from_json("value", ENTRY).alias("e")).select("line", "e.*").where("word IS NOT NULL")
 
 
-def scan_report(spark: SparkSession, path: str) -> DataFrame:
-    """lines, empty, broken (no JSON or no word), entries, forms, dropped_forms
-    (not valid), unmarked_forms (valid, without stress) of a nested dictionary."""
-    raw = lines(spark, path).select(F.trim("value").alias("v"), F.from_json("value", ENTRY).alias("e"))
+def scan_counts() -> dict[str, Column]:
+    """Counts over the columns v (line) and e (entry) of parsed_lines(): lines,
+    empty, broken (no JSON or no word), entries, forms, dropped_forms (not
+    valid), unmarked_forms (valid, without stress)."""
     forms = F.coalesce("e.forms", F.array().cast(ENTRY["forms"].dataType))
     valid = F.filter(forms, _is_valid)
     unmarked = F.filter(valid, lambda f: ~F.contains(f["form"], F.lit("\u0301")))
     good = F.col("e.word").isNotNull()
-    return raw.agg(
-        F.count(F.lit(1)).alias("lines"),
-        F.count_if(F.col("v") == "").alias("empty"),
-        F.count_if((F.col("v") != "") & ~F.coalesce(good, F.lit(False))).alias("broken"),
-        F.count_if(good).alias("entries"),
-        F.sum(F.when(good, F.size(forms)).otherwise(0)).alias("forms"),
-        F.sum(F.when(good, F.size(forms) - F.size(valid)).otherwise(0)).alias("dropped_forms"),
-        F.sum(F.when(good, F.size(unmarked)).otherwise(0)).alias("unmarked_forms"),
-    )
+    return {
+        "lines": F.count(F.lit(1)),
+        "empty": F.count_if(F.col("v") == ""),
+        "broken": F.count_if((F.col("v") != "") & ~F.coalesce(good, F.lit(False))),
+        "entries": F.count_if(good),
+        "forms": F.sum(F.when(good, F.size(forms)).otherwise(0)),
+        "dropped_forms": F.sum(F.when(good, F.size(forms) - F.size(valid)).otherwise(0)),
+        "unmarked_forms": F.sum(F.when(good, F.size(unmarked)).otherwise(0)),
+    }
+
+
+def parsed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """v (trimmed line) and e (its entry, if any), in no order: one scan."""
+    return spark.read.text(path).select(F.trim("value").alias("v"), F.from_json("value", ENTRY).alias("e"))
+
+
+def scan_report(spark: SparkSession, path: str) -> DataFrame:
+    """What scan_counts() says of a nested dictionary."""
+    return parsed_lines(spark, path).agg(*[c.alias(k) for k, c in scan_counts().items()])
 
 
 def _is_valid(f: Column) -> Column:
