@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dialect as X
+from ..functions import registry
 from ..operators import evaluate, filters, ml, resolve, sampling, service, variants
 from ..profiles import LATIN
 from ..sources import builds, dictionary, readers, scratch, sinks
@@ -68,6 +69,17 @@ def bare_words(spark, sf_dir) -> DataFrame:
 BARE = f"{TOKENS}, bare AS (SELECT marked, {X.without_marks(D, 'marked')} AS word, {X.stress_indices(D, 'marked', LATIN)} AS stress FROM ({_BARE}))"
 
 
+def payload_rows(spark, sf_dir) -> DataFrame:
+    """word, payload: the words with their stress and a tag or two in bytes,
+    written and reread."""
+    places = f"array_join(transform(filter(stress, k -> get({X.vowel_positions(S, 'word', LATIN)}, k) < 249), k -> lpad(hex(get({X.vowel_positions(S, 'word', LATIN)}, k) + 1), 2, '0')), '')"
+    tail = "CASE length(word) % 3 WHEN 0 THEN 'FE61112099FF' WHEN 1 THEN 'FE6712FF' ELSE '' END"
+    rows = bare_words(spark, sf_dir).selectExpr("word", f"unhex(concat('00', {places}, CASE WHEN length(word) < 250 THEN 'FA' ELSE '' END, {tail})) AS payload")
+    path = scratch.place(spark, "payloads")
+    rows.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 @query(
     f"""WITH {BARE}, one AS (SELECT word, list_filter(any_value(stress), lambda k: {X.vowel_positions(D, "word", LATIN)}[k + 1] < 249) AS stress FROM bare GROUP BY word HAVING count(*) = 1)
 SELECT word, 0 AS record, {D.json("stress")} AS stress, CASE length(word) % 3 WHEN 0 THEN 'NOUN' WHEN 1 THEN 'VERB' END AS pos,
@@ -77,15 +89,22 @@ def trie_scan(spark, sf_dir):
     """Words with byte payloads, decoded; words of several values go.  The
     payloads hold a zero, a place beyond the word and an unknown tag, too.
     A byte holds places up to 249 (the bytes above end parts of a record)."""
-    places = f"array_join(transform(filter(stress, k -> get({X.vowel_positions(S, 'word', LATIN)}, k) < 249), k -> lpad(hex(get({X.vowel_positions(S, 'word', LATIN)}, k) + 1), 2, '0')), '')"
-    tail = "CASE length(word) % 3 WHEN 0 THEN 'FE61112099FF' WHEN 1 THEN 'FE6712FF' ELSE '' END"
-    rows = bare_words(spark, sf_dir).selectExpr("word", f"unhex(concat('00', {places}, CASE WHEN length(word) < 250 THEN 'FA' ELSE '' END, {tail})) AS payload")
-    path = scratch.place(spark, "payloads")
-    rows.write.parquet(path)
-    found = readers.trie_payloads(readers.single_values(spark.read.parquet(path)), LATIN)
+    found = readers.trie_payloads(readers.single_values(payload_rows(spark, sf_dir)), LATIN)
     return found.select("word", "record", F.to_json("stress").alias("stress"), "pos", F.col("feats")["Number"].alias("number"), F.col("feats")["Case"].alias("case"))
 
 
+@query(
+    f"""WITH {BARE}, one AS (SELECT word, list_filter(any_value(stress), lambda k: {X.vowel_positions(D, "word", LATIN)}[k + 1] < 249) AS stress FROM bare GROUP BY word HAVING count(*) = 1)
+SELECT word, 0 AS record, {D.json("stress")} AS stress, CASE length(word) % 3 WHEN 0 THEN '[97,17,32,153]' WHEN 1 THEN '[103,18]' ELSE '[]' END AS tags FROM one"""
+)
+def payload_function(spark, sf_dir):
+    """The same payloads read by the table function, a table as its argument."""
+    registry.register(spark, LATIN)
+    rows = readers.single_values(payload_rows(spark, sf_dir))
+    found = spark.sql("SELECT * FROM payloads(TABLE({rows}))", rows=rows)
+    return found.select("word", "record", F.to_json("stress").alias("stress"), F.to_json("tags").alias("tags"))
+
+
 _POS = "CASE length(word) % 4 WHEN 0 THEN {a} WHEN 1 THEN {b} WHEN 2 THEN {c} END"
 
 
