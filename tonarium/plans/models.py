@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import features
-from ..operators import boost, optimize
+from ..operators import boost, ensemble, evaluate, optimize
 from ..profiles import LATIN
 from ..sources import scratch
 from .catalog import ORACLE_SQL, QUERIES, TRIALS, query, read, trials, word_forms
@@ -132,3 +132,32 @@ def resolve_by_model(spark, sf_dir):
     boost.fit(rows, names, setting=SETTING).table(spark).write.parquet(path)
     found = boost.walk(rows, spark.read.parquet(path))
     return found.select("form", "syllables", "y", boost.answer("scores", F.col("syllables")).alias("yhat"), F.round(F.array_max(boost.probabilities("scores")), 6).alias("p"), F.col("held").cast("int").alias("held"))
+
+
+#: The settings that the members come from; a search would propose them.
+TRIED = [{"rounds": 6, "depth": d, "rate": r, "patience": 2} for d, r in ((1, 0.5), (2, 0.3), (2, 0.5), (3, 0.3), (3, 0.5), (3, 0.8))]
+
+
+def voted(spark, sf_dir) -> DataFrame:
+    """Every training row with what the fittest member and the ensemble say:
+    form, y, held, base, ensemble, p.  The members are stored and read back."""
+    rows, names = labelled(spark, sf_dir, GROUPS)
+    rows, classes = scratch.stored(rows, "labelled"), 11
+    models = ensemble.train(rows, names, ensemble.settings(TRIED, SETTING), classes=classes)
+    members = ensemble.keep(spark, models, ensemble.fitness(rows, models), scratch.place(spark, "members"))
+    return ensemble.vote(rows, members).select("form", "syllables", "y", "held", "base", "ensemble", F.round(F.array_max("p"), 6).alias("p"))
+
+
+@query(None)
+def trained_ensemble(spark, sf_dir):
+    """Each training form's stressed vowel by the five fittest of six boosted
+    models, asked together; beside it what the fittest says alone."""
+    return voted(spark, sf_dir).select("form", "syllables", "y", F.when(F.col("base") < F.col("syllables"), F.col("base")).alias("base"), F.when(F.col("ensemble") < F.col("syllables"), F.col("ensemble")).alias("ensemble"), "p", F.col("held").cast("int").alias("held"))
+
+
+@query(None)
+def ensemble_accepted(spark, sf_dir):
+    """Is the trained ensemble taken: does it gain enough on the held-out rows?
+    The words of the hand-made test are the held-out forms of three vowels."""
+    rows = scratch.stored(voted(spark, sf_dir), "voted").where("held")
+    return evaluate.accepted(rows.withColumn("is_hand", F.col("syllables") == 3))
