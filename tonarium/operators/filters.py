@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..profiles import APOSTROPHE, Profile
+from ..sources.scratch import stored
 
 
 def _col(c: str | Column) -> Column:
@@ -52,6 +53,30 @@ def lemmatize(tokens: DataFrame, table: DataFrame | None = None) -> DataFrame:
     return tokens.withColumn("_form", plain).join(first, "_form", "left").withColumn("lemma", F.coalesce("_lemma", "_form")).drop("_form", "_lemma")
 
 
+#: The dictionary's part of speech for a universal one.
+DICTIONARY_POS = {"NOUN": "NOUN", "VERB": "VERB", "ADJ": "ADJF", "ADV": "ADVB", "PRON": "NPRO", "DET": "ADJF", "NUM": "NUMR", "AUX": "VERB", "ADP": "PREP"}
+
+
+def lemmatize_in_context(tokens: DataFrame, parses: DataFrame, own: str | None = None) -> DataFrame:
+    """tokens (form, pos, and others) with lemma: the first parse whose part of
+    speech is what the token's means to the dictionary, else the token's own
+    lemma (column own), else the trimmed lower-case form.
+
+    parses: form, ord, lemma, pos.  A token whose part of speech the dictionary
+    doesn't have, or that has none, meets parses without one.  Parses are reduced
+    to one a form and part of speech before they meet tokens; ties of ord go to
+    the smaller lemma; a parse without a lemma is none; a null form has a null
+    lemma unless the token has its own.
+    """
+    first = parses.where("lemma IS NOT NULL").groupBy(F.lower(F.trim("form")).alias("_form"), F.coalesce("pos", F.lit("")).alias("_pos")).agg(F.min_by("lemma", F.struct("ord", "lemma")).alias("_lemma"))
+    known = F.create_map(*[F.lit(x) for pair in DICTIONARY_POS.items() for x in pair])
+    rows = tokens.withColumn("_form", F.lower(F.trim("form"))).withColumn("_pos", F.coalesce(F.try_element_at(known, F.col("pos")), F.lit("")))
+    # stored, so that the tokens of a common form can be split among tasks
+    rows = rows.join(stored(first, "parses"), ["_form", "_pos"], "left")
+    last = [F.col(own)] if own else []
+    return rows.withColumn("lemma", F.coalesce("_lemma", *last, "_form")).drop("_form", "_pos", "_lemma")
+
+
 def with_heads(tokens: DataFrame) -> DataFrame:
     """tokens (doc_id, i, head, lemma) with head_lemma: one equi-join of the
     table with itself; a token whose head isn't there has null."""

@@ -45,3 +45,14 @@ def oversample(rows: DataFrame, weight: Column) -> DataFrame:
 def newest_versions(rows: DataFrame, keys: list[str], n: int, *order) -> DataFrame:
     """The n first rows of each key in the given order."""
     return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_k") <= n).drop("_k")
+
+
+def bag_union(**parts: DataFrame) -> DataFrame:
+    """The rows of all parts, repeats included, with the part's name in a column
+    part; columns are matched by name, what a part lacks is null."""
+    if not parts:
+        raise ValueError("no parts")
+    first, *rest = (df.withColumn("part", F.lit(name)) for name, df in parts.items())
+    for df in rest:
+        first = first.unionByName(df, allowMissingColumns=True)
+    return first

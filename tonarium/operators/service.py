@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.dialect import SPARK, mark_many
+from ..profiles import Profile
+
 #: Parts of speech and feature keys that a form may have.
 UPOS = "ADJ ADP ADV AUX CCONJ DET INTJ NOUN NUM PART PRON PROPN PUNCT SCONJ SYM VERB X".split()
 FEATURE_KEYS = "Gender Animacy Number Case Definite Degree VerbForm Mood Tense Aspect Voice Evident Polarity Person Polite Clusivity PronType NumType Poss Reflex Foreign Abbr Typo".split()
@@ -24,6 +27,20 @@ def service_view(lexicon: DataFrame) -> DataFrame:
     return rows.select("form_norm", "n_variants", (F.col("n_variants") > 1).cast("int").alias("is_heteronym"), "pos_tags")
 
 
+def rendered_variants(lexicon: DataFrame, profile: Profile) -> DataFrame:
+    """form_norm, variants (array of the word with its marks, one for each
+    distinct stress, in the order in which they first stand), is_heteronym.
+
+    lexicon: form_norm, stress (array; null counts as none), form_ord.  Each
+    task reduces its rows to one a form and stress before anything is shuffled.
+    """
+    rows = lexicon.where("form_norm IS NOT NULL").groupBy("form_norm", F.coalesce("stress", F.array().cast("array<int>")).alias("stress")).agg(F.min("form_ord").alias("_o"))
+    listed = rows.groupBy("form_norm").agg(F.array_sort(F.collect_list(F.struct("_o", "stress"))).alias("_v"))
+    one = listed.select("form_norm", F.posexplode("_v").alias("_k", "_s")).selectExpr("form_norm", "_k", f"{mark_many(SPARK, 'form_norm', '_s.stress', profile)} AS marked")
+    found = one.groupBy("form_norm").agg(F.array_sort(F.collect_list(F.struct("_k", "marked"))).alias("_v"))
+    return found.select("form_norm", F.col("_v.marked").alias("variants"), (F.size("_v") > 1).cast("int").alias("is_heteronym"))
+
+
 def sample_report(view: DataFrame, keys: int = 50_000, n: int = 20) -> DataFrame:
     """section, name, n: of the first ``keys`` forms, n that have several
     stresses, and how many forms have each part of speech."""

@@ -16,7 +16,7 @@ from ..operators import evaluate, filters, ml, resolve, sampling, service, varia
 from ..profiles import LATIN
 from ..sources import builds, dictionary, readers, scratch, sinks
 from ..streaming import upserts
-from .catalog import ORACLE_SQL, QUERIES, D, ENTRIES, HETERONYMS, PREDICTIONS, S, TOKENS, TRIALS, entries, heteronym_rows, predictions, query, read, tokens, trials
+from .catalog import ORACLE_SQL, POS, PREDICTIONS, QUERIES, SRC, D, ENTRIES, HETERONYMS, S, TOKENS, TRIALS, entries, heteronym_rows, predictions, query, read, tokens, trials
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -240,13 +240,56 @@ _STAR = {
 @query(f"WITH {ENTRIES} " + " UNION ALL ".join(f"""SELECT '{name}' AS "table", ({n})::BIGINT AS n FROM entries""" for name, n in _STAR.items()))
 def star_tables(spark, sf_dir):
     """Rows of the normalised tables, written and reread."""
+    out = [rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table"), "n") for name, rows in star(spark, sf_dir).items()]
+    first, *rest = out
+    for part in rest:
+        first = first.unionByName(part)
+    return first
+
+
+def star(spark, sf_dir) -> dict[str, DataFrame]:
+    """The normalised tables of all entries, written and reread."""
     rows = entries(spark, sf_dir).selectExpr(
         "lemma", "form", "stress", "pos", "lang AS main_definition", "src_ord", "form_ord", "from_json(feats, 'map<string,string>') AS feats", "filter(array(pos), x -> x IS NOT NULL) AS tags", "array('a', 'b') AS categories", "array(form) AS examples",
         "filter(array(named_struct('lang', lang, 'text', form)), t -> t.lang IS NOT NULL) AS translations", "array(named_struct('name', 'inh')) AS etymology_templates", "filter(array(named_struct('name', i)), t -> t.name % 2 = 0) AS inflection_templates", "pos AS etymology", "map(src_ord % 3, form) AS meta",
     )
     path, tables = scratch.place(spark, "star"), sinks.star_schema(scratch.stored(rows, "forms"))
     sinks.write_tables(tables, path)
-    out = [spark.read.parquet(f"{path}/{name}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table"), "n") for name in tables]
+    return {name: spark.read.parquet(f"{path}/{name}") for name in tables}
+
+
+_ENTRY = "lemma, form, form_ord"
+#: What a row of each table says, and the rows that it comes from.
+_STAR_ROWS = {
+    "word_form": (f"{_ENTRY}, {D.json('stress')}, pos, 'd', lang, 'e', pos", "entries"),
+    "lemma_entry": ("lemma, p", f"(SELECT lemma, {D.json('list_sort(list(DISTINCT stress))')} AS p FROM entries WHERE len(stress) > 0 GROUP BY lemma)"),
+    "definition": ("lang", "(SELECT DISTINCT lang FROM entries WHERE lang IS NOT NULL)"),
+    "possible_stress_index": ("lemma, p", f"(SELECT DISTINCT lemma, {D.json('stress')} AS p FROM entries WHERE len(stress) > 0)"),
+    "etymology_text": ("pos", "(SELECT DISTINCT pos FROM entries WHERE pos IS NOT NULL)"),
+    "meta": ("lemma, k, v", "(SELECT lemma, src_ord % 3 AS k, arg_max(form, row(src_ord, form_ord)) AS v FROM entries GROUP BY 1, 2)"),
+    "feature": (f"{_ENTRY}, k, json_extract_string(feats, '$.' || k)", "(SELECT *, unnest(json_keys(feats)) AS k FROM entries WHERE feats IS NOT NULL)"),
+    "tag": (f"{_ENTRY}, pos", "(FROM entries WHERE pos IS NOT NULL)"),
+    "category": (f"{_ENTRY}, c", "(SELECT *, unnest(['a', 'b']) AS c FROM entries)"),
+    "example": (f"{_ENTRY}, form", "entries"),
+    "translation": (f"{_ENTRY}, lang, form", "(FROM entries WHERE lang IS NOT NULL)"),
+    "etymology_template": (f"{_ENTRY}, 'inh'", "entries"),
+    "inflection_template": (f"{_ENTRY}, i", "(FROM entries WHERE i % 2 = 0)"),
+}
+
+
+@query(f"WITH {ENTRIES} " + " UNION ALL ".join(f"""SELECT '{name}' AS "table", count(*) AS n, sum(('0x' || substr(md5(concat_ws('|', {says})), 1, 8))::BIGINT)::BIGINT AS digest FROM {rows}""" for name, (says, rows) in _STAR_ROWS.items()))
+def star_contents(spark, sf_dir):
+    """What the normalised tables say, their references followed: rows and the
+    sum of the rows' digests."""
+    t = star(spark, sf_dir)
+    texts = lambda name, key, by: t[name].select(F.col("id").alias(key), F.col("text").alias(by))
+    forms = t["word_form"].join(texts("definition", "definition_id", "_d"), "definition_id", "left").join(texts("etymology_text", "etymology_id", "_e"), "etymology_id", "left")
+    entry = forms.select(F.col("id").alias("word_form_id"), "lemma", "form", "form_ord")
+    says = {"word_form": (forms, "lemma, form, form_ord, stress_indices, pos, 'd', _d, 'e', _e"), "lemma_entry": (t["lemma_entry"], "lemma, possible_stress_indices"), "definition": (t["definition"], "text"), "etymology_text": (t["etymology_text"], "text")}
+    says |= {"possible_stress_index": (t["possible_stress_index"], "lemma, pattern"), "meta": (t["meta"], "lemma, key, value")}
+    own = {"feature": "key, value", "tag": "tag", "category": "category", "example": "text", "translation": "translation.lang, translation.text", "etymology_template": "template.name", "inflection_template": "template.name"}
+    says |= {name: (t[name].join(entry, "word_form_id"), f"{_ENTRY}, {columns}") for name, columns in own.items()}
+    out = [rows.selectExpr(f"cast(conv(substr(md5(concat_ws('|', {columns})), 1, 8), 16, 10) AS bigint) AS d").agg(F.count(F.lit(1)).alias("n"), F.sum("d").alias("digest")).select(F.lit(name).alias("table"), "n", "digest") for name, (rows, columns) in says.items()]
     first, *rest = out
     for part in rest:
         first = first.unionByName(part)
@@ -298,6 +341,20 @@ def training_rows(spark, sf_dir):
     return rows.where(f"syllables >= 2 AND label BETWEEN 0 AND least(syllables - 1, {ml.MOST_CLASSES - 1})").select("lemma", "form", "pos", "features_json", "syllables", "label", "split")
 
 
+_USABLE = f"""one AS (SELECT form, pos, features_json FROM training WHERE pos IS NOT NULL AND features_json IS NOT NULL AND variant_type NOT IN ('free_variant', 'grammatical_homonym') GROUP BY form, pos, features_json HAVING min(stress_indices) = max(stress_indices)),
+k AS (SELECT t.*, {X.vowel_count(D, "lower(form)", LATIN)}::INT AS k, CASE WHEN len(stress) > 0 THEN stress[1] END AS y FROM training t SEMI JOIN one USING (form, pos, features_json) WHERE variant_type NOT IN ('free_variant', 'grammatical_homonym')),
+usable AS (SELECT form, k AS syllables, y AS label, split FROM k WHERE k >= 2 AND y BETWEEN 0 AND least(k - 1, 10))"""
+
+
+@query(f"WITH {TRAINING}, {_USABLE}, bag AS (SELECT 'data' AS part, form, syllables, label FROM usable UNION ALL SELECT 'hand', form, NULL, label FROM usable WHERE split = 'test') SELECT form, label, count(*) AS n, count(*) FILTER (WHERE part = 'hand') AS hand, count(syllables) AS with_syllables FROM bag GROUP BY form, label")
+def training_bag(spark, sf_dir):
+    """Training rows and hand-made rows (here the test part, without its number
+    of syllables) as one bag: what is in both counts twice."""
+    rows = training_rows(spark, sf_dir).select("form", "syllables", "label", "split")
+    bag = sampling.bag_union(data=rows.drop("split"), hand=rows.where("split = 'test'").select("label", "form"))
+    return bag.groupBy("form", "label").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("part") == "hand").alias("hand"), F.count("syllables").alias("with_syllables"))
+
+
 _FILTERED = """SELECT doc_id, CASE i % 5 WHEN 0 THEN concat(lower(form), ' ', lower(form)) WHEN 1 THEN concat(lower(form), '1') ELSE lower(form) END AS form,
   CASE i % 7 WHEN 0 THEN NULL WHEN 1 THEN '[]' WHEN 2 THEN '' WHEN 3 THEN 'x' ELSE concat('[', i % 3, ',4]') END AS stress FROM {t}"""
 
@@ -444,6 +501,36 @@ def lemmas_and_heads(spark, sf_dir):
     return filters.with_heads(filters.lemmatize(rows, parses)).groupBy("lemma", "head_lemma").agg(F.count(F.lit(1)).alias("n"))
 
 
+_PARSES = {
+    0: ("form LIKE '%s' AND length(form) > 3", 1, "CASE length(form) % 4 WHEN 0 THEN 'NOUN' WHEN 1 THEN 'VERB' WHEN 2 THEN 'ADJF' END"),
+    1: ("form LIKE '%es' AND length(form) > 4", 2, "CASE length(form) % 3 WHEN 0 THEN 'ADJF' WHEN 1 THEN 'NOUN' END"),
+}
+_AS_PARSES = " UNION ALL ".join(f"SELECT DISTINCT form, {o} AS ord, substr(form, 1, length(form) - {cut}) AS lemma, {pos} AS pos FROM {{t}} WHERE {where}" for o, (where, cut, pos) in _PARSES.items())
+_MEANS = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in filters.DICTIONARY_POS.items())
+
+
+@query(
+    f"""WITH {TOKENS}, t AS (SELECT lower(form) AS form, {POS.format(s=SRC)} AS pos FROM tokens), parses AS ({_AS_PARSES.format(t="t")}),
+firsts AS (SELECT form, pos AS tag, arg_min(lemma, ord) AS lemma FROM parses GROUP BY 1, 2)
+SELECT t.form, t.pos, coalesce(f.lemma, t.form) AS lemma, count(*) AS n FROM t LEFT JOIN firsts f ON f.form = t.form AND f.tag IS NOT DISTINCT FROM CASE t.pos {_MEANS} END GROUP BY 1, 2, 3"""
+)
+def lemmas_in_context(spark, sf_dir):
+    """Lemmas by a table of parses and the words' parts of speech, and how often."""
+    rows = tokens(spark, sf_dir).selectExpr("lower(form) AS form", f"{POS.format(s=SRC)} AS pos")
+    parses = spark.sql(_AS_PARSES.format(t="{t}"), t=rows.select("form").distinct())
+    return filters.lemmatize_in_context(rows, parses).groupBy("form", "pos", "lemma").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"""WITH {ENTRIES}, v AS (SELECT lemma AS form_norm, stress, min(form_ord) AS o FROM entries WHERE lemma IS NOT NULL GROUP BY 1, 2), m AS (SELECT form_norm, o, {X.mark_many(D, "form_norm", "stress", LATIN)} AS marked FROM v)
+SELECT form_norm, string_agg(marked, ',' ORDER BY o) AS variants, (count(*) > 1)::INT AS is_heteronym FROM m GROUP BY form_norm"""
+)
+def service_variants(spark, sf_dir):
+    """Each word's variants as the lookup service shows them, with their marks."""
+    found = service.rendered_variants(entries(spark, sf_dir).select(F.col("lemma").alias("form_norm"), "stress", "form_ord"), LATIN)
+    return found.select("form_norm", F.array_join("variants", ",").alias("variants"), "is_heteronym")
+
+
 _TOKEN = filters.TOKEN.replace("'", "''")
 TOKENIZED = rf"""p AS (SELECT doc_id, d, unnest(ps) AS form, unnest(range(len(ps))) AS k FROM (SELECT doc_id, row_number() OVER () AS d, regexp_extract_all(text, '(\s+|{_TOKEN})') AS ps FROM documents)),
 w AS (SELECT doc_id, d, k, form, regexp_matches(form, '^\s') AS space, (sum(length(form)) OVER b - length(form))::INT AS idx, lead(regexp_matches(form, '^\s')) OVER b AS after FROM p WINDOW b AS (PARTITION BY d ORDER BY k)),
