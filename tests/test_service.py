@@ -30,3 +30,14 @@ def test_small_things(spark):
     assert sorted(map(tuple, service.smoke_check(seen, expected).collect())) == [("вода", 0, 0), ("вода", 1, 1), ("немає", 0, 0)]
     trials = spark.createDataFrame([(i, i / 10, float(i)) for i in range(20)], "trial int, fitness double, leaves double")
     assert tuple(evaluate.landscape(trials, ["leaves"], 5).first()) == ("leaves", 15.0, 19.0, 17.0)
+
+
+def test_rendered_variants(spark):
+    from tonarium.profiles import LATIN
+
+    rows = [("banana", [1], 9), ("banana", [0], 4), ("banana", [1], 2), ("banana", [], 11), ("xyz", None, 1), ("xyz", [], 2), ("ala", [0, 1], 3), ("ala", [7], 5), (None, [0], 1)]
+    lexicon = spark.createDataFrame(rows, "form_norm string, stress array<int>, form_ord long").withColumn("variants", F.lit("clash"))
+    got = {r.form_norm: (r.variants, r.is_heteronym) for r in service.rendered_variants(lexicon, LATIN).collect()}
+    assert got["banana"] == (["banána", "bánana", "banana"], 1)
+    assert got["ala"] == (["álá", "ala"], 1) and got["xyz"] == (["xyz"], 0) and len(got) == 3
+    assert service.rendered_variants(lexicon.limit(0), LATIN).count() == 0

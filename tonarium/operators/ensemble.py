@@ -63,15 +63,14 @@ def vote(rows: DataFrame, members: DataFrame) -> DataFrame:
         raise ValueError("an ensemble without members")
     top = max(f for _, f in known)
     raw = [math.exp(f - top) for _, f in known]
-    each = [boost.probabilities(boost.scores(members.where(F.col("member") == m).drop("member", "fitness"))) for m, _ in known]
-    # arrays are stored first, so that no tree is walked twice
-    rows = stored(rows.withColumns({f"_p{m}": p for (m, _), p in zip(known, each, strict=True)}), "members-said")
-    columns = [f"_p{m}" for m, _ in known]
-    weighted = [_times(F.col(c), w / sum(raw)) for c, w in zip(columns, raw, strict=True)]
+    walks = {f"_s{m}": boost.scores(members.where(F.col("member") == m).drop("member", "fitness")) for m, _ in known}
+    # scores are stored first, so that no tree is walked twice
+    rows = stored(rows.withColumns(walks), "members-said")
+    weighted = [_times(boost.probabilities(c), w / sum(raw)) for c, w in zip(walks, raw, strict=True)]
     p = weighted[0]
     for more in weighted[1:]:
         p = F.zip_with(p, more, lambda a, b: F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0)))
-    return rows.withColumn("p", p).withColumn("base", boost.answer(columns[0])).withColumn("ensemble", boost.answer("p")).drop(*columns)
+    return rows.withColumn("p", p).withColumn("base", boost.answer(next(iter(walks)))).withColumn("ensemble", boost.answer("p")).drop(*walks)
 
 
 def settings(trials: list[dict], start: boost.Setting) -> list[boost.Setting]:

@@ -135,13 +135,13 @@ def resolve_by_model(spark, sf_dir):
 
 
 #: The settings that the members come from; a search would propose them.
-TRIED = [{"rounds": 6, "depth": d, "rate": r, "patience": 2} for d, r in ((1, 0.5), (2, 0.3), (2, 0.5), (3, 0.3), (3, 0.5), (3, 0.8))]
+TRIED = [{"rounds": 3, "depth": d, "rate": r, "patience": 2} for d, r in ((1, 0.5), (2, 0.3), (2, 0.5), (3, 0.3), (3, 0.5), (3, 0.8))]
 
 
 def voted(spark, sf_dir) -> DataFrame:
     """Every training row with what the fittest member and the ensemble say:
     form, y, held, base, ensemble, p.  The members are stored and read back."""
-    rows, names = labelled(spark, sf_dir, GROUPS)
+    rows, names = labelled(spark, sf_dir, ["shape", "clusters"])
     rows, classes = scratch.stored(rows, "labelled"), 11
     models = ensemble.train(rows, names, ensemble.settings(TRIED, SETTING), classes=classes)
     members = ensemble.keep(spark, models, ensemble.fitness(rows, models), scratch.place(spark, "members"))
