@@ -75,7 +75,7 @@ def test_all_documents_equal_the_library():
     if not os.path.exists(path):
         pytest.skip("no tables")
     texts = [t or "" for t in pq.read_table(path).column("text").to_pylist()]
-    words = packing.Words(packing.tokenizer_path(), limit=5000)  # forgets on the way
+    words = packing.Words(packing.tokenizer_path(), limit=400_000)  # forgets on the way
     got = [x for at in range(0, len(texts), 100) for x in words.encode(texts[at : at + 100], b"")]
     assert got == [words.whole(t) for t in texts]
 
@@ -97,3 +97,24 @@ def test_many_empty_texts_wait_for_a_whole_window():
     out = pa.Table.from_batches(run([pa.RecordBatch.from_pydict({"doc_id": list(range(16_384)), "text": [""] * 16_384})]))
     assert out.num_rows == 16_384 and time.process_time() - began < 6
     assert len(set(out["sequence_id"].to_pylist())) <= 8
+
+
+def test_a_worker_remembers_a_bounded_number_of_bytes():
+    """Words that the library encodes are objects of their own: they count by
+    their bytes, and a long text is forgotten between its chunks, too."""
+    words = packing.Words(packing.tokenizer_path(), limit=1 << 20)
+    texts = [" ".join(f"слово{i}ї{j}" for j in range(300)) for i in range(60)]
+    most = 0
+    for text in texts:
+        assert words.encode([text], b"") == [words.whole(text)]
+        most = max(most, words.held())
+    one = 300 * (packing.OBJECT_BYTES + 4 * 10 + 4 * 16)  # what a text can add
+    assert words.odd_bytes and most <= (1 << 20) + one
+    long = " ".join(texts)
+    words.forget()
+    before, packing.CHUNK = packing.CHUNK, 1 << 14
+    try:
+        assert words.encode([long], b"") == [words.whole(long)]
+    finally:
+        packing.CHUNK = before
+    assert words.held() < 2 << 20

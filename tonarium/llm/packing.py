@@ -41,8 +41,12 @@ END_ID = 2
 BATCH = 1024
 #: One part in ROOM of a window is left free for uneven loads.
 ROOM = 96
-#: Parts of words whose ids a task remembers, at most (about 60 bytes each).
-WORD_CACHE = 500_000
+#: Bytes of the parts of words and their ids that a task remembers; when there
+#: are more, between two chunks of CHUNK code points, it forgets them all.
+WORD_CACHE = 48 << 20
+#: Bytes of a remembered part beside its ids: in arrays, and as an object of its
+#: own (the entry of a dict, a string, an array; four bytes a code point come on top).
+PART_BYTES, OBJECT_BYTES = 40, 330
 #: Code points that are looked at at once.
 CHUNK = 1 << 20
 SPACES = re.compile("[ \t-\r]")
@@ -158,6 +162,11 @@ class Words:
         self.at, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
         self.odd: dict[str, np.ndarray] = {}
+        self.odd_bytes = 0
+
+    def held(self) -> int:
+        """About how many bytes are remembered."""
+        return len(self.hash) * PART_BYTES + self.ids.nbytes + self.odd_bytes
 
     def rank(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """The place of each pair in the merge list; NONE if it isn't there."""
@@ -267,6 +276,7 @@ class Words:
                 word = text[i:j]
                 if word not in self.odd:
                     self.odd[word] = np.frombuffer(self.whole(word), np.uint32)
+                    self.odd_bytes += OBJECT_BYTES + 4 * len(word) + self.odd[word].nbytes
                 found.append(self.odd[word])
             n[rest] = [len(x) for x in found]
             at[rest] = len(ids) + np.cumsum(n[rest]) - n[rest]
@@ -278,8 +288,6 @@ class Words:
         """Each text's ids and the end id, as little-endian unsigned 32-bit numbers."""
         if not self.fast:
             return [self.whole(t) + end for t in texts]
-        if len(self.hash) > self.limit or len(self.odd) > self.limit:
-            self.forget()
         text = "\n".join(texts)
         cuts = np.cumsum([0, *(len(t) + 1 for t in texts)])
         flat, counts = [], np.zeros(len(texts), np.int64)
@@ -289,6 +297,8 @@ class Words:
             if stop < len(text):  # cut at white space, so that no word is cut
                 gap = SPACES.search(text, stop)
                 stop = gap.start() if gap else len(text)
+            if self.held() > self.limit:
+                self.forget()
             ids, starts, n = self.chunk(text[at:stop])
             flat.append(ids.astype("<u4", copy=False).tobytes())
             if len(starts):

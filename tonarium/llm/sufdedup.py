@@ -401,8 +401,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without its repeated strings of 400 bytes: what is removed
-    comes first, n_bytes is the length before it."""
+    """Every document without its repeated strings of 400 bytes: its length in
+    bytes, how many are removed, in how many runs, and the digest of the rest."""
     n_spans, digest = F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     more = ((F.col("n_removed") > 0).alias("has_repeat"), F.length("kept").cast("long").alias("kept_bytes"))
-    return remove_repeats(table(spark, sf_dir, "documents"), result=("n_removed", n_spans, "n_bytes", digest, *more))
+    return remove_repeats(table(spark, sf_dir, "documents"), result=("n_bytes", "n_removed", n_spans, digest, *more))
