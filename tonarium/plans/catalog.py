@@ -24,9 +24,12 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def query(sql: str | None):
-    """Register a function as the query of its name, with its SQL."""
+    """Register a function as the query of its name, with its SQL; a name is
+    given once."""
 
     def add(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries {f.__name__}")
         QUERIES[f.__name__] = f
         if sql is not None:
             ORACLE_SQL[f.__name__] = sql

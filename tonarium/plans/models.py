@@ -156,7 +156,7 @@ def trained_ensemble(spark, sf_dir):
 
 
 @query(None)
-def ensemble_accepted(spark, sf_dir):
+def trained_ensemble_accepted(spark, sf_dir):
     """Is the trained ensemble taken: does it gain enough on the held-out rows?
     The words of the hand-made test are the held-out forms of three vowels."""
     rows = scratch.stored(voted(spark, sf_dir), "voted").where("held")
