@@ -50,3 +50,16 @@ def test_registered_functions(spark):
 def test_syllables_and_morphology(spark):
     row = spark.sql("SELECT 'zˈɑmok' AS ipa, map('Gender', array('Masc'), 'Case', array('Nom', 'Acc')) AS f").select(registry.syllables("ipa"), registry.format_morphology("f")).first()
     assert row[0] == ["zˈɑ", "mok"] and row[1] == "Case=Acc,Nom|Gender=Masc"
+
+
+def test_a_query_name_is_given_once():
+    from tonarium.plans import catalog, models, products  # noqa: F401
+
+    def distribution(spark, sf_dir):
+        """A second query of a name that is taken."""
+
+    with pytest.raises(ValueError, match="distribution"):
+        catalog.query(None)(distribution)
+    assert catalog.QUERIES["distribution"] is not distribution
+    assert {"ensemble_accepted", "trained_ensemble_accepted"} <= set(catalog.QUERIES)
+    assert set(catalog.ORACLE_SQL) <= set(catalog.QUERIES)
