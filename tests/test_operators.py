@@ -98,3 +98,14 @@ def test_quality(spark):
     assert one == other != quality.content_hash(frame.limit(2), ["a", "b"]).first()
     bad = spark.createDataFrame([('{"a": 1}',), ("{",), (None,)], "j string")
     assert tuple(quality.json_validity(bad, "j").first()) == (3, 1)
+
+
+def test_a_fitted_forest_answers_after_counts_were_observed(spark):
+    from pyspark.sql import Observation
+
+    from tonarium.operators import ml
+
+    seen = Observation()
+    assert len(spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()) == seen.get["n"] == 3
+    rows = spark.range(12).selectExpr("'a' AS lemma", "string(id) AS form", "'N' AS pos", "2 AS syllables", "double(id % 2) AS y", "double(id % 2) AS x")
+    assert [r.yhat for r in ml.predict(ml.fit(rows, trees=3, depth=2), rows).orderBy(F.col("form").cast("int")).collect()] == [0, 1] * 6

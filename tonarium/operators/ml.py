@@ -45,7 +45,8 @@ def fit(train: DataFrame, *, trees: int = 20, depth: int = 8, seed: int = 42, fr
     names = [c for c in train.columns if c not in ("lemma", "form", "pos", "syllables", "y")]
     train = train if fraction >= 1 else train.sample(fraction, seed=seed)
     forest = RandomForestClassifier(labelCol="y", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed)
-    return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep"), forest]).fit(train)
+    # the copy leaves the training summary: it holds the session, which tasks can't be sent once counts were observed in it
+    return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep"), forest]).fit(train).copy()
 
 
 def predict(model: PipelineModel, rows: DataFrame, threshold: float = 0.0) -> DataFrame:
