@@ -145,3 +145,17 @@ def test_classifier(spark):
     got = ml.predict(model, data).collect()
     assert len(got) == 36 and sum(r.y == r.yhat for r in got) >= 34 and all(abs(sum(r.p) - 1) < 1e-9 for r in got)
     assert len(ml.importances(model, 5)) == 5
+
+
+def test_tables_of_many_forms(spark, tmp_path):
+    # equal rows are rows of their own: each child has one form
+    row = "SELECT 'a' AS lemma, 'af' AS form, array(0) AS stress, 'NOUN' AS pos, 'd' AS main_definition, 0 AS src_ord, 0 AS form_ord, b AS block FROM VALUES (1), (1), (2) AS t(b)"
+    tables = sinks.star_tables(spark.sql(row).repartition(4, "block"), ["array('c', 'e') AS categories", "map(src_ord, form) AS meta"], 4)
+    assert {n: t.count() for n, t in tables.items()} == {"word_form": 3, "lemma_entry": 1, "definition": 1, "category": 6, "meta": 1, "possible_stress_index": 1}
+    joined = tables["category"].join(tables["word_form"].hint("merge").withColumnRenamed("id", "word_form_id"), ["block", "word_form_id"])
+    assert joined.count() == 6
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "hashpartitioning" not in plan  # following a reference shuffles nothing
+    made = [t.name for t in spark.catalog.listTables() if t.name.startswith("star_")]
+    scratch.clean(spark)
+    assert made and not [t.name for t in spark.catalog.listTables() if t.name.startswith("star_")]
