@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tonarium.operators import boost
@@ -117,3 +118,16 @@ def test_a_pruned_trial_stops(spark):
     seen = []
     model = boost.fit(frame(spark, x, y, held), NAMES, setting=boost.Setting(rounds=9, depth=1), stop=lambda r, loss: seen.append(loss) or r == 3)
     assert len(seen) == 4 == len(model.metrics)
+
+
+def test_running_medians_of_many_trials(spark):
+    # a window over all earlier trials put each trial's losses in order anew
+    rng = np.random.default_rng(5)
+    losses = rng.random(20_000).round(6)
+    rows = spark.createDataFrame(pa.table({"trial": pa.array(range(20_000)), "round": pa.array([k % 2 + 3 for k in range(20_000)]), "loss": losses}).to_pandas())
+    found = boost.prunes(rows)
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r.trial: r.median for r in found.collect()}
+    for t in (0, 1, 2, 9, 10, 4001, 19_999):
+        before = losses[[k for k in range(t) if k % 2 == t % 2]]
+        assert got[t] is None if not len(before) else abs(got[t] - np.median(before)) < 1e-12

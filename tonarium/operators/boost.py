@@ -13,6 +13,7 @@ an expression; walk_recursive() is the same as a recursive query.
 
 from __future__ import annotations
 
+import heapq
 import json
 import math
 from collections.abc import Callable, Iterator
@@ -327,11 +328,36 @@ def prunes(curves: DataFrame, warmup: int = 3, startup: int = 5) -> DataFrame:
     round, loss).  A trial is pruned at a round (from warmup on) at which its
     loss is above the median of the earlier trials' losses at that round, once
     startup of them were there."""
-    earlier = Window.partitionBy("round").orderBy("trial").rowsBetween(Window.unboundedPreceding, -1)
-    rows = curves.select("trial", "round", "loss", F.percentile("loss", F.lit(0.5)).over(earlier).alias("median"), F.count("loss").over(earlier).alias("_n"))
+    curves = curves.select("trial", "round", F.col("loss").cast("double").alias("loss"))
+    medians = curves.repartition("round").sortWithinPartitions("round", "trial")
+    rows = medians.mapInArrow(_running_medians, _MEDIANS.format(*(curves.schema[c].dataType.simpleString() for c in ("trial", "round", "loss"))))
     return rows.select("trial", "round", "loss", "median", (F.coalesce(F.col("loss") > F.col("median"), F.lit(False)) & (F.col("_n") >= startup) & (F.col("round") >= warmup)).alias("pruned"))
 
 
+_MEDIANS = "trial {}, round {}, loss {}, median double, _n long"
+
+
+def _running_medians(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by round and trial, with the median of the losses before each
+    in its round, and their number.  Two heaps meet at the median; a task keeps
+    the losses of one round, and no row.  A loss of nan counts as infinite."""
+    now, low, high = _running_medians, [], []  # no round yet
+    for batch in batches:
+        medians, counts = [], []
+        for key, loss in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            if key != now:
+                now, low, high = key, [], []
+            n = len(low) + len(high)
+            counts.append(n)
+            medians.append(None if not n else -low[0] if n % 2 else (-low[0] + high[0]) / 2)
+            if loss is not None:
+                loss = math.inf if math.isnan(loss) else loss
+                heapq.heappush(high, -heapq.heappushpop(low, -loss))
+                if len(high) > len(low):
+                    heapq.heappush(low, -heapq.heappop(high))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(medians, pa.float64()), pa.array(counts, pa.int64())], [*batch.schema.names, "median", "_n"])
+
+
 def median_rule(curves: dict[int, dict[int, float]], trial: int, warmup: int = 3, startup: int = 5) -> Callable[[int, float], bool]:
     """The same rule while a trial runs, as fit()'s stop; keeps its curve."""
     mine = curves.setdefault(trial, {})
