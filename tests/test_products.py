@@ -172,3 +172,23 @@ def test_long_words_are_words(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert products.QUERIES["mark_many"](spark, str(tmp_path)).count() == 2
     assert {r.word[:4]: r.stress for r in products.QUERIES["trie_scan"](spark, str(tmp_path)).collect()} == {"cafe": "[1]", "bbbb": "[]"}
+
+
+def test_votes_that_tie_up_to_the_order_of_sums(spark):
+    # 0.1 + 0.2 + 0.3 is not 0.3 + 0.2 + 0.1: the first label wins all the same
+    rows = [(1, 0.5, [a, b]) for a, b in ((0.1, 0.3), (0.2, 0.2), (0.3, 0.1))] + [(2, 0.5, [b, a]) for a, b in ((0.1, 0.3), (0.2, 0.2), (0.3, 0.1))]
+    frame = spark.createDataFrame(rows, "row_id int, fitness double, p array<double>").coalesce(1)
+    assert {r.row_id: r.yhat for r in evaluate.soft_vote(frame).collect()} == {1: 0, 2: 0}
+
+
+def test_thirds_of_many_trials(spark):
+    rows = [(k * 7 % 5003 * 3, float(k)) for k in range(5003)]
+    frame = spark.createDataFrame(rows, "trial long, fitness double").repartition(3)
+    ordered = [f for _, f in sorted(rows)]
+    third = len(rows) // 3
+    found = evaluate.progression(frame)
+    assert tuple(found.first()) == (round(sum(ordered[:third]) / third, 6), round(sum(ordered[-third:]) / third, 6))
+    alone = [line for line in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Window [row_number" in line]
+    assert len(alone) == 2  # only inside the ranges that a third ends in
+    none = spark.createDataFrame([(None, 1.0), (5, 3.0), (9, None)], "trial long, fitness double")
+    assert tuple(evaluate.progression(none).first()) == (1.0, None)
