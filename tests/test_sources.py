@@ -159,3 +159,17 @@ def test_tables_of_many_forms(spark, tmp_path):
     made = [t.name for t in spark.catalog.listTables() if t.name.startswith("star_")]
     scratch.clean(spark)
     assert made and not [t.name for t in spark.catalog.listTables() if t.name.startswith("star_")]
+
+
+def test_equal_lines_are_read_once(spark, tmp_path):
+    from tonarium.plans import products
+
+    rows = [(k, "así casa así") for k in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'es' AS lang", "'src1' AS source").write.parquet(str(tmp_path / "documents.parquet"))
+    counted, real = [], products.stored_counts
+    products.stored_counts = lambda lines: counted.append(real(lines)) or counted[-1]
+    try:
+        got = products.QUERIES["marked_text_scan"](spark, str(tmp_path)).collect()
+    finally:
+        products.stored_counts = real
+    assert [(r.stress, r.n) for r in got] and counted[0].count() < 12 and counted[0].agg({"times": "sum"}).first()[0] == 120
