@@ -24,3 +24,23 @@ def test_bag_union(spark):
     assert sorted(map(str, got.collect())) == sorted(["Row(n=1, s='x', part='data')"] * 2 + ["Row(n=1, s='x', part='hand')", "Row(n=None, s='y', part='hand')"])
     with pytest.raises(ValueError):
         sampling.bag_union()
+
+
+def test_heads_by_rows_of_a_doc_id(spark, tmp_path):
+    from collections import Counter
+
+    from tonarium.plans import products
+
+    texts = [(1, "gatos ven cada perro"), (1, "uno dos"), (2, "casas"), (None, "gatos ven"), (3, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").selectExpr("*", "'es' AS lang", "'src1' AS source").write.parquet(str(tmp_path / "documents.parquet"))
+    lemma = lambda w: w[:-1] if w.endswith("s") and len(w) > 3 else w
+    want: Counter = Counter()
+    rows = [(d, t.split()) for d, t in texts if t]
+    for doc, words in rows:
+        for i, w in enumerate(words):
+            head = i if i % 3 == 0 else i - 1
+            met = [o[head] for d, o in rows if doc is not None and d == doc and head < len(o)]
+            want.update((lemma(w), lemma(h)) for h in met) if met else want.update([(lemma(w), None)])
+    found = products.QUERIES["lemmas_and_heads"](spark, str(tmp_path))
+    assert Counter({(r.lemma, r.head_lemma): r.n for r in found.collect()}) == want
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()  # pairs are counted before lemmas are looked up
