@@ -38,8 +38,9 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (those that similarities of
-    0.8 or more of five-word shingles connect): a row of its smallest doc_id,
-    or one without a doc_id if no row of the group has one.  Rows that share a
+    0.8 or more of five-word shingles connect; SimHash fingerprints find the pairs
+    within three bits, min-hashes those beyond): a row of its smallest doc_id, or
+    one without a doc_id if no row of the group has one.  Rows that share a
     doc_id, or lack one, are told apart by their row numbers.
     """
     rows = common.written(nearcopies.marked(docs.select(*COLUMNS)), "near-prints")  # fixes the row numbers

@@ -138,3 +138,28 @@ def test_known_parts_are_connected_already():
     assert nearcopies.connected(sets).tolist() == [0, 1, 0, 3]
     assert nearcopies.connected(sets, [7, 8, 9, 8]).tolist() == [0, 1, 0, 1]
     assert nearcopies.connected(sets, [7, 7, 9, 9]).tolist() == [0, 0, 0, 0]
+
+
+def test_fingerprints_find_pairs_within_three_bits(spark):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(5000)}" for _ in range(2000)]
+    texts = [" ".join([*base, *(f"x{j}" for j in range(k))]) for k in range(4)] + [" ".join(f"y{rng.randrange(5000)}" for _ in range(2000))]
+    sets = [nearcopies.shingle_set(t.encode()) for t in texts]
+    apart = lambda i, j: (nearcopies.fingerprint(sets[i]) ^ nearcopies.fingerprint(sets[j])).bit_count()
+    assert all(apart(i, i + 1) <= 3 for i in range(3)) and apart(0, 4) > 3
+    rows = nearcopies.written(nearcopies.marked(spark.createDataFrame(list(enumerate(texts)), "i int, text string")), "rows")
+    # keys that agree nowhere: only the SimHash operator can find a pair
+    alone = nearcopies.written(rows.withColumn("_keys", F.transform("_keys", lambda k: k + F.col("i"))), "rows")
+    name = {r._print: r.i for r in rows.collect()}
+    for given in (rows, alone):
+        found = nearcopies.groups(given).collect()
+        assert {name[r.node] for r in found} | {name[r.root] for r in found} == {0, 1, 2, 3}
+        assert len({r.root for r in found}) == 1 and len(found) == 3
+
+
+def test_fingerprints_that_agree_are_checked_exactly(spark):
+    texts = [" ".join(f"{x}{k}" for k in range(40)) for x in "ab"]
+    rows = nearcopies.marked(spark.createDataFrame([(t,) for t in texts], "text string")).withColumn("_fingerprint", F.lit(5).cast("long"))
+    rows = nearcopies.written(rows, "rows")
+    assert nearcopies.fingerprint_links(rows).count() == 1
+    assert nearcopies.groups(rows).collect() == []

@@ -1,16 +1,22 @@
 """Groups of texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
 
-At that similarity 64-bit SimHash fingerprints differ in about 10 bits, give or
-take 3, too many for a search by deletion variants.  So pairs are found by
-min-hashes and verified on the shingles themselves:
-
 A text's print is the digest of its set of shingle hashes; texts of one set
-have one print and are linked by it.  A print is filed under 32 keys, each made
-of four min-hashes.  Two prints meet if a key agrees and 128 bits, one of each
-min-hash, differ in at most 36.  A pair of similarity 0.8 fails to meet with a
-probability below 1e-7 (calculated for independent min-hashes), a more similar one more rarely.  Prints that meet,
-directly or over others, form a candidate group (under a key of more than CROWD
-prints all meet); large-star and small-star steps collect it.  Candidate groups
+have one print and are linked by it.  Prints meet in two ways, each for the
+pairs that the other leaves out:
+
+Those whose SimHash fingerprints differ in at most three bits are linked by the
+SimHash operator (simhash.py: deletion variants, popcounts), without exception.
+
+At the least similarity fingerprints differ in about 10 bits, give or take 3,
+too many for deletion variants.  For pairs of more than three bits a print is
+filed under 32 keys, each made of four min-hashes.  Two prints meet if a key
+agrees and 128 bits, one of each min-hash, differ in at most 36.  A pair of
+similarity 0.8 fails to meet with a probability below 1e-7 (calculated for
+independent min-hashes), a more similar one more rarely.
+
+Prints that meet, directly or over others, form a candidate group (under a key
+of more than CROWD prints all meet); the operator's large-star and small-star
+steps collect it.  An exact check on the shingles follows: candidate groups
 are then split into those that exact similarities connect.  A task holds the
 shingle hashes of one group.  A group with more than BLOCK bytes of text is
 dealt into blocks.  First each block is connected by itself; the first print of
@@ -36,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
 from .common import written
-from .simhash import LINKS, SEED, components, forest, shingle_hashes
+from .simhash import DISTANCE, LINKS, SEED, components, fingerprint, forest, links, shingle_hashes
 
 WORDS = 5
 #: The least similarity, as a fraction.
@@ -89,10 +95,11 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 def marked(docs: DataFrame, *, text_col: str = "text", words: int = WORDS) -> DataFrame:
     """docs with _print (long), _keys (array of long), _sketch (array of two
-    long) and _row, a number of the row that stays the same once it is stored."""
+    long), _fingerprint (long: SimHash of the set) and _row, a number of the row
+    that stays the same once it is stored."""
     place = docs.columns.index(text_col)
-    names = [*docs.columns, "_print", "_keys", "_sketch"]
-    schema = StructType([*docs.schema.fields]).add("_print", LongType()).add("_keys", ArrayType(LongType())).add("_sketch", ArrayType(LongType()))
+    names = [*docs.columns, "_print", "_keys", "_sketch", "_fingerprint"]
+    schema = StructType([*docs.schema.fields]).add("_print", LongType()).add("_keys", ArrayType(LongType())).add("_sketch", ArrayType(LongType())).add("_fingerprint", LongType())
 
     def lists(values: list[np.ndarray]) -> pa.ListArray:
         ends = np.cumsum([0, *map(len, values)], dtype=np.int32)
@@ -106,8 +113,8 @@ def marked(docs: DataFrame, *, text_col: str = "text", words: int = WORDS) -> Da
                 part = batch.slice(at, 1024)
                 sets = [shingle_set(t or b"", words) for t in part.column(place).cast(pa.binary()).to_pylist()]
                 signs = [signature(s) if len(s) else (none, none) for s in sets]
-                prints = pa.array(np.array([digest(s) for s in sets], np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([*part.columns, prints, lists([k for k, _ in signs]), lists([s for _, s in signs])], names)
+                prints, fingers = (pa.array(np.array([of(s) for s in sets], np.uint64).view(np.int64)) for of in (digest, fingerprint))
+                yield pa.RecordBatch.from_arrays([*part.columns, prints, lists([k for k, _ in signs]), lists([s for _, s in signs]), fingers], names)
 
     return docs.mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id())
 
@@ -156,17 +163,18 @@ def _cut(batches: Iterator[pa.RecordBatch], crowd: int) -> Iterator[tuple[pa.Tab
 
 
 def _meet(apart: int, crowd: int):
-    """Task: rows (key, print, x, y) sorted by key to links (a, b)."""
+    """Task: rows (key, print, x, y, f) sorted by key to links (a, b), but for
+    those of fingerprints (f) that the SimHash operator links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        links: list[tuple[np.ndarray, np.ndarray]] = []
+        met: list[tuple[np.ndarray, np.ndarray]] = []
         held = 0
 
         def out(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
             for at in range(0, len(a), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(a[at : at + 50_000]), pa.array(b[at : at + 50_000])], ["a", "b"])
 
-        def groups(more, keys, prints, x, y) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        def groups(more, keys, prints, x, y, f) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             if more:
                 yield prints[1:], np.full(len(prints) - 1, prints[0])
                 return
@@ -174,6 +182,7 @@ def _meet(apart: int, crowd: int):
             sizes = np.diff(np.r_[starts, len(keys)])
             two = starts[sizes == 2]
             ok = np.bitwise_count(x[two] ^ x[two + 1]) + np.bitwise_count(y[two] ^ y[two + 1]) <= apart
+            ok &= np.bitwise_count(f[two] ^ f[two + 1]) > DISTANCE
             yield prints[two][ok], prints[two + 1][ok]
             for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
                 p = prints[s : s + n]
@@ -181,23 +190,24 @@ def _meet(apart: int, crowd: int):
                     yield p[1:], np.full(n - 1, p[0])
                     continue
                 differ = np.bitwise_count(x[s : s + n, None] ^ x[None, s : s + n]) + np.bitwise_count(y[s : s + n, None] ^ y[None, s : s + n])
-                i, j = np.nonzero(np.triu(differ <= apart, 1))
+                far = np.bitwise_count(f[s : s + n, None] ^ f[None, s : s + n]) > DISTANCE
+                i, j = np.nonzero(np.triu((differ <= apart) & far, 1))
                 yield forest(p[i], p[j])
 
         for piece, more in _cut(batches, crowd):
             for a, b in groups(more, *(c.to_numpy() if k < 2 else c.to_numpy().view(np.uint64) for k, c in enumerate(piece.columns))):
                 if not len(a):
                     continue
-                links.append((a, b))
+                met.append((a, b))
                 held += len(a)
                 if held > LINKS:
-                    links = [forest(*map(np.concatenate, zip(*links, strict=True)))]
-                    held = len(links[0][0])
+                    met = [forest(*map(np.concatenate, zip(*met, strict=True)))]
+                    held = len(met[0][0])
                     if held > LINKS // 2:
-                        yield from out(*links[0])
-                        links, held = [], 0
-        if links:
-            yield from out(*forest(*map(np.concatenate, zip(*links, strict=True))))
+                        yield from out(*met[0])
+                        met, held = [], 0
+        if met:
+            yield from out(*forest(*map(np.concatenate, zip(*met, strict=True))))
 
     return run
 
@@ -207,6 +217,7 @@ def connected(sets: list[np.ndarray], known: list | None = None, apart: int = AP
     of one known part are connected already."""
     sketches = np.array([signature(s)[1] for s in sets])
     x, y = sketches[:, 0].copy(), sketches[:, 1].copy()
+    f = np.array([fingerprint(s) for s in sets], np.uint64)
     group = np.arange(len(sets))
     seen: dict = {}
     n = 0  # groups so far
@@ -219,7 +230,7 @@ def connected(sets: list[np.ndarray], known: list | None = None, apart: int = AP
             continue
         if n == 1:
             continue
-        near = np.flatnonzero(np.bitwise_count(x[:i] ^ x[i]) + np.bitwise_count(y[:i] ^ y[i]) <= apart)
+        near = np.flatnonzero((np.bitwise_count(x[:i] ^ x[i]) + np.bitwise_count(y[:i] ^ y[i]) <= apart) | (np.bitwise_count(f[:i] ^ f[i]) <= DISTANCE))
         near = near[group[near] != group[i]]
         while len(near):
             j = near[-1]
@@ -274,17 +285,17 @@ def _linked(rows: DataFrame, tasks: DataFrame, text_col: str, words: int) -> Dat
 def _parts(rows: DataFrame, large: DataFrame, block: int, text_col: str, words: int) -> DataFrame:
     """node, root: links found inside blocks, then among the first prints of what
     each block has connected, as long as a round leaves half of them or less."""
-    left, links, n = large, None, large.count()
+    left, inside, n = large, None, large.count()
     for k in range(n.bit_length()):
         blocks = written(left.groupBy("_group").agg(F.ceil(F.sum("_size") / block).alias("_blocks")), "near-blocks")
         own = F.pmod(F.xxhash64("_print", F.lit(k)), "_blocks").cast("string")
         found = _linked(rows, left.join(blocks, "_group").select("_group", own.alias("_a"), F.lit("").alias("_b"), F.col("_print").alias("_known"), "_print", "_row"), text_col, words)
-        links = found if links is None else links.unionByName(found)
+        inside = found if inside is None else inside.unionByName(found)
         left = written(left.join(found.select(F.col("node").alias("_print")), "_print", "left_anti"), "near-left")
         before, n = n, left.count()
         if 2 * n > before:
             break
-    return links
+    return inside
 
 
 def _across(large: DataFrame, known: DataFrame, block: int) -> DataFrame:
@@ -308,13 +319,25 @@ def _across(large: DataFrame, known: DataFrame, block: int) -> DataFrame:
     return tasks.select("_group", F.least(own, "_theirs").alias("_a"), F.greatest(own, "_theirs").alias("_b"), "_known", "_print", "_row")
 
 
+def fingerprint_links(rows: DataFrame) -> DataFrame:
+    """a, b: links that connect all prints whose fingerprints differ in at most
+    three bits, by the SimHash operator; rows as for groups()."""
+    held = rows.where(F.size("_keys") > 0).select(F.col("_fingerprint").alias("fingerprint"), "_print").distinct()
+    held = written(held, "near-fingerprints")
+    least = written(held.groupBy("fingerprint").agg(F.min("_print").alias("least")), "near-least")
+    first = lambda end: least.select(F.col("fingerprint").alias(end), F.col("least").alias(f"_{end}"))
+    apart = links(least.select("fingerprint")).join(first("a"), "a").join(first("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    same = held.join(least, "fingerprint").where("_print <> least").select(F.col("_print").alias("a"), F.col("least").alias("b"))
+    return apart.unionByName(same)
+
+
 def groups(rows: DataFrame, *, text_col: str = "text", words: int = WORDS, apart: int = APART, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
     """node, root: for each _print that isn't the first of its group, the first.
     rows: what marked() returns, stored."""
-    distinct = rows.where(F.size("_keys") > 0).select("_print", "_keys", "_sketch").dropDuplicates(["_print"])
-    filed = distinct.select(F.explode("_keys").alias("key"), F.col("_print").alias("print"), F.col("_sketch")[0].alias("x"), F.col("_sketch")[1].alias("y"))
+    distinct = rows.where(F.size("_keys") > 0).select("_print", "_keys", "_sketch", "_fingerprint").dropDuplicates(["_print"])
+    filed = distinct.select(F.explode("_keys").alias("key"), F.col("_print").alias("print"), F.col("_sketch")[0].alias("x"), F.col("_sketch")[1].alias("y"), F.col("_fingerprint").alias("f"))
     met = filed.repartition("key").sortWithinPartitions("key", "print").mapInArrow(_meet(apart, crowd), "a long, b long")
-    met = components(met.distinct(), "near-components")
+    met = components(fingerprint_links(rows).unionByName(met.distinct()), "near-components")
     # a group's first print is a member, too
     members = met.unionByName(met.select(F.col("root").alias("node"), "root")).distinct().withColumnsRenamed({"node": "_print", "root": "_group"})
     # of a print's copies one row is read on, so that no task meets them all
@@ -328,7 +351,7 @@ def groups(rows: DataFrame, *, text_col: str = "text", words: int = WORDS, apart
         return found
     large = written(one.join(large, "_group").drop("_total"), "near-large")
     inside = _parts(rows, large, block, text_col, words)
-    pairs = lambda links: links.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    pairs = lambda found: found.select(F.col("node").alias("a"), F.col("root").alias("b"))
     known = written(components(pairs(inside), "near-inside"), "near-inside")
     across = _linked(rows, _across(large, known, block), text_col, words)
     return found.unionByName(components(pairs(known.unionByName(across)), "near-across"))
