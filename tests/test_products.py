@@ -192,3 +192,26 @@ def test_thirds_of_many_trials(spark):
     assert len(alone) == 2  # only inside the ranges that a third ends in
     none = spark.createDataFrame([(None, 1.0), (5, 3.0), (9, None)], "trial long, fitness double")
     assert tuple(evaluate.progression(none).first()) == (1.0, None)
+
+
+def test_tokens_are_described_once_a_form(spark):
+    from tonarium.operators import filters
+
+    text = "Aa bB CCCCCC dddddd Eeeeeee. x, " * 400 + "A! B? no space.End  " * 3
+    plan = filters.token_attributes(spark.createDataFrame([(1, text)], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert "RLIKE" not in plan and "regexp_replace" not in plan  # no pattern is matched for every token
+    held = filters.PIECES_HELD, filters.TEXT_HELD, filters.PIECES_KNOWN
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, None, 1], "text": [text, " ", text]})
+    whole = pa.Table.from_batches(filters._attributes(iter([batch]))).to_pylist()
+    try:
+        filters.PIECES_HELD, filters.TEXT_HELD, filters.PIECES_KNOWN = 50, 37, 3
+        cut = pa.Table.from_batches(filters._attributes(iter([batch]))).to_pylist()
+    finally:
+        filters.PIECES_HELD, filters.TEXT_HELD, filters.PIECES_KNOWN = held
+    assert cut == whole and all(text[r["idx"] :].startswith(r["form"]) for r in whole)
+    one = whole[: len(whole) // 2]
+    assert [r["i"] for r in one] == list(range(len(one))) and whole[len(one) :] == one
+    found = {r["form"]: (r["shape"], r["is_lower"], r["is_upper"], r["is_title"]) for r in one}
+    assert found["bB"] == ("xX", 0, 0, 0) and found["CCCCCC"] == ("XXXX", 0, 1, 0) and found["dddddd"] == ("xxxx", 1, 0, 0) and found["Eeeeeee"] == ("Xxxxx", 0, 0, 1) and found["A"] == ("X", 0, 1, 1)
