@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from tonarium.operators import ml, variants
 from tonarium.sources import readers, scratch, sinks
 from tonarium.streaming import incremental
@@ -161,6 +163,21 @@ def test_tables_of_many_forms(spark, tmp_path):
     assert made and not [t.name for t in spark.catalog.listTables() if t.name.startswith("star_")]
 
 
+@pytest.mark.parametrize("dealt", [True, False])
+def test_tables_of_many_forms_are_kept_in_order(spark, dealt):
+    # rows that come out of order, and those of a bucket from several tasks
+    rows = spark.range(600).selectExpr("concat('l', id % 7) AS lemma", "concat('f', id) AS form", "array(int(id % 3), 4) AS stress", "'NOUN' AS pos", "'d' AS main_definition", "0 AS src_ord", "599 - id AS form_ord", "pmod(hash(id), 40) AS block")
+    rows = rows.repartition(4, "block") if dealt else rows.repartition(3)
+    tables = sinks.star_tables(rows, ["array(form, 'c') AS categories"], 4)
+    assert {r.stress_indices for r in tables["word_form"].collect()} == {"[0,4]", "[1,4]", "[2,4]"}
+    joined = tables["category"].join(tables["word_form"].hint("merge").withColumnRenamed("id", "word_form_id"), ["block", "word_form_id"])
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "hashpartitioning" not in plan
+    # as stored, or each join sorts all forms anew; several files of a bucket are no order
+    assert not dealt or scratch.one_file_each(tables["word_form"]) and "Sort [" not in plan
+    assert sorted((r.form, r.category) for r in joined.collect()) == sorted((f"f{k}", c) for k in range(600) for c in (f"f{k}", "c"))
+
+
 def test_equal_lines_are_read_once(spark, tmp_path):
     from tonarium.plans import products
 
