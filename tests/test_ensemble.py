@@ -76,3 +76,49 @@ def test_ensemble_cases(spark):
     assert ensemble.vote(rows.limit(0), one).count() == 0
     with pytest.raises(ValueError):
         ensemble.vote(rows, one.limit(0))
+
+
+def test_members_grown_together_equal_those_grown_alone(spark):
+    x, y, held = data(150)
+    rows = frame(spark, x, y, held)
+    tried = [boost.Setting(rounds=30, depth=2, rate=0.9, patience=2, refresh=3), boost.Setting(rounds=4, depth=3, rate=0.3, refresh=3)]
+    together = ensemble.train(rows, NAMES, tried, classes=3)
+    for setting, model in zip(tried, together):
+        alone = boost.fit(rows, NAMES, classes=3, setting=setting)
+        assert [m[0] for m in model.metrics] == [m[0] for m in alone.metrics] and [m[3] for m in model.metrics] == [m[3] for m in alone.metrics]
+        assert np.allclose([m[1:3] for m in model.metrics], [m[1:3] for m in alone.metrics]) and [t[:2] for t in model.trees] == [t[:2] for t in alone.trees]
+    assert len(together[0].metrics) != len(together[1].metrics) == 5
+    named = {f"s{i}": m.table(spark) for i, m in enumerate(together)}
+    said = {r.id: r for r in boost.walk_many(rows, named).collect()}
+    for name, model in named.items():
+        assert all(np.allclose(said[r.id][name], r.scores) for r in boost.walk(rows, model).collect())
+    assert sorted(map(tuple, rows.select("id", "a", "y").collect()), key=str) == sorted(((r.id, r.a, r.y) for r in said.values()), key=str)
+
+
+@pytest.fixture
+def asked(spark, monkeypatch):
+    """What the queries ask for and train, over rows at hand."""
+    from tonarium.plans import models
+
+    seen = {}
+    x, y, held = data(300)
+
+    def labelled(spark, sf_dir, groups):
+        seen["groups"] = groups
+        return frame(spark, x, y, held).selectExpr("concat('f', id) AS form", "3 AS syllables", "a", "b", "c", "y", "held"), NAMES
+
+    real = ensemble.train
+    monkeypatch.setattr(models, "labelled", labelled)
+    monkeypatch.setattr(ensemble, "train", lambda *a, **k: seen.setdefault("models", real(*a, **k)))
+    seen["held"] = int(held.sum())
+    return seen
+
+
+def test_only_the_held_out_loss_ends_a_member(spark, asked):
+    from tonarium.plans import models
+
+    assert models.QUERIES["trained_ensemble"](spark, "").count() == 300
+    assert asked["groups"] == ["shape", "clusters", "contexts", "morphology"] and len(asked["models"]) == 6
+    for model in asked["models"]:
+        grown, best = len(model.metrics) - 1, next(r for r, _, _, last in model.metrics if last)
+        assert 3 < grown == best + models.MEMBER.patience < models.MEMBER.rounds
