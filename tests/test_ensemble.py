@@ -122,3 +122,12 @@ def test_only_the_held_out_loss_ends_a_member(spark, asked):
     for model in asked["models"]:
         grown, best = len(model.metrics) - 1, next(r for r, _, _, last in model.metrics if last)
         assert 3 < grown == best + models.MEMBER.patience < models.MEMBER.rounds
+
+
+def test_the_whole_members_are_what_is_accepted(spark, asked):
+    from tonarium.plans import models
+
+    report = models.QUERIES["trained_ensemble_accepted"](spark, "").first()
+    assert asked["groups"] == models.GROUPS and max(len(m.metrics) for m in asked["models"]) > 4
+    best = max(np.mean([r.yhat == r.y for r in boost.walk(models.labelled(spark, "", models.GROUPS)[0].where("held"), m.table(spark)).select("yhat", "y").collect()]) for m in asked["models"])
+    assert abs(report["base"] - best) < 1e-5 and report["base_hand"] == round(report["base"] * asked["held"])
